@@ -10,6 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import datetime as dt
+
+from storelens.plans import conditionals as s2
 from storelens.plans import summaries as s1
 from storelens.sources.tables import Tables, load_tables
 
@@ -32,6 +35,20 @@ ENTRIES: dict[str, Entry] = {
     "avg_state_population": (s1.avg_state_population, {}),
     "max_order_by_customer": (s1.max_order_by_customer, {}),
     "orders_by_month_name": (s1.orders_by_month_name, {}),
+    # script 2 - conditionals and pivots
+    "gender_flags": (s2.gender_flags, {}),
+    "gender_percentages": (s2.gender_percentages, {}),
+    "sales_by_payment_label": (s2.sales_by_payment_label, {}),
+    "orders_by_state_min": (s2.orders_by_state_min, {"min_orders": 500}),
+    "first_shipment_volume": (s2.first_shipment_volume, {"years": (1996, 1997, 1998)}),
+    "order_count_by_channel_pivot": (s2.order_count_by_channel_pivot, {}),
+    "weekend_order_flag": (s2.weekend_order_flag, {}),
+    "weekend_share_by_state": (s2.weekend_share_by_state, {}),
+    "orders_by_price_band": (s2.orders_by_price_band, {"edges": (0, 10000, 50000, 100000, 400000)}),
+    "subscriber_loyalty_years": (s2.subscriber_loyalty_years,
+                                 {"max_id": 10000, "as_of": dt.date(2001, 12, 31)}),
+    "first_year_performance": (s2.first_year_performance, {"years": (1997, 1998, 1999, 2000)}),
+    "avg_price_state_payment_pivot": (s2.avg_price_state_payment_pivot, {}),
 }
 
 
