@@ -1,0 +1,40 @@
+"""Variance and standard deviation from exact sums.
+
+S1 = sum(x) and S2 = sum(x*x) are exact for decimal and integer inputs, so
+VAR/VARP/STDEV/STDEVP below are the same IEEE operations in any engine that
+evaluates the same formula; they are plain algebraic aggregates (partial
+aggregation, no per-group state beyond three numbers).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _sums(x: Column, scale: int) -> tuple[Column, Column, Column]:
+    xd = x.cast(f"decimal(18,{scale})")
+    return (F.sum(xd).cast("double"), F.sum(xd * xd).cast("double"), F.count(x).cast("double"))
+
+
+def _ss(x: Column, scale: int) -> tuple[Column, Column]:
+    s1, s2, n = _sums(x, scale)
+    return s2 - s1 * s1 / n, n
+
+
+def var_pop(x: Column, scale: int = 2) -> Column:
+    ss, n = _ss(x, scale)
+    return ss / F.nullif(n, F.lit(0.0))
+
+
+def var_samp(x: Column, scale: int = 2) -> Column:
+    ss, n = _ss(x, scale)
+    return ss / F.nullif(n - 1, F.lit(0.0))
+
+
+def stddev_pop(x: Column, scale: int = 2) -> Column:
+    return F.sqrt(var_pop(x, scale))
+
+
+def stddev_samp(x: Column, scale: int = 2) -> Column:
+    return F.sqrt(var_samp(x, scale))

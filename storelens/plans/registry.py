@@ -14,6 +14,7 @@ import datetime as dt
 
 from storelens.plans import conditionals as s2
 from storelens.plans import summaries as s1
+from storelens.plans import windows as s4
 from storelens.sources.tables import Tables, load_tables
 
 Entry = tuple[Callable[..., DataFrame], dict]
@@ -49,6 +50,18 @@ ENTRIES: dict[str, Entry] = {
                                  {"max_id": 10000, "as_of": dt.date(2001, 12, 31)}),
     "first_year_performance": (s2.first_year_performance, {"years": (1997, 1998, 1999, 2000)}),
     "avg_price_state_payment_pivot": (s2.avg_price_state_payment_pivot, {}),
+    # script 4 - windows
+    "state_population_rank": (s4.state_population_rank, {}),
+    "county_rank_variants": (s4.county_rank_variants, {"state": "S04"}),
+    "price_quartiles": (s4.price_quartiles, {"group": "LARGE"}),
+    "top_decile_customers": (s4.top_decile_customers, {"state": "S04", "years": (1997, 1998)}),
+    "order_summary_by_year": (s4.order_summary_by_year, {}),
+    "fee_dispersion_by_plan": (s4.fee_dispersion_by_plan, {"max_id": 10000}),
+    "month_vs_first_year": (s4.month_vs_first_year, {"years": (1996, 1997, 1998)}),
+    "new_subscribers_vs_last_plan": (s4.new_subscribers_vs_last_plan, {"years": (1996, 1997, 1998, 1999)}),
+    "best_sellers_prev_next": (s4.best_sellers_prev_next, {"k": 10, "exclude": ("#N/A", "PROMO")}),
+    "county_population_distribution": (s4.county_population_distribution, {"states": ("S05", "S03")}),
+    "median_order_by_month": (s4.median_order_by_month, {}),
 }
 
 
