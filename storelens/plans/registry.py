@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 import datetime as dt
 
 from storelens.plans import conditionals as s2
+from storelens.plans import probability as s7
+from storelens.plans import quality as s3
 from storelens.plans import summaries as s1
 from storelens.plans import windows as s4
 from storelens.sources.tables import Tables, load_tables
@@ -62,6 +64,32 @@ ENTRIES: dict[str, Entry] = {
     "best_sellers_prev_next": (s4.best_sellers_prev_next, {"k": 10, "exclude": ("#N/A", "PROMO")}),
     "county_population_distribution": (s4.county_population_distribution, {"states": ("S05", "S03")}),
     "median_order_by_month": (s4.median_order_by_month, {}),
+    # script 3 - referential checks and repairs
+    "zip_keys_unmatched": (s3.zip_keys_unmatched, {}),
+    "zip_county_orphans": (s3.zip_county_orphans, {}),
+    "zip_county_repaired": (s3.zip_county_repaired, {}),
+    "zip_census_orphans": (s3.zip_census_orphans, {}),
+    "zip_census_repaired": (s3.zip_census_repaired, {}),
+    "orders_unknown_zip": (s3.orders_unknown_zip, {}),
+    "orders_repaired": (s3.orders_repaired, {}),
+    "order_lines_orphans": (s3.order_lines_orphans, {}),
+    "order_lines_repaired": (s3.order_lines_repaired, {}),
+    "orders_unknown_customer": (s3.orders_unknown_customer, {}),
+    "customers_with_placeholder": (s3.customers_with_placeholder, {}),
+    # script 7 - probabilities and odds
+    "odds_payment_oc": (s7.odds_payment, {"types": ("OC",)}),
+    "odds_payment_oc_mc": (s7.odds_payment, {"types": ("OC", "MC")}),
+    "odds_payment_db": (s7.odds_payment, {"types": ("DB",), "base": ("DB", "MC", "VI", "AE")}),
+    "share_by_payment": (s7.share_by_payment, {}),
+    "share_by_gender": (s7.share_by_gender, {}),
+    "share_by_weekday": (s7.share_by_weekday, {}),
+    "share_by_channel": (s7.share_by_channel, {}),
+    "product_gender_share": (s7.product_gender_share, {"group": "SMALL"}),
+    "state_population_share": (s7.state_population_share, {}),
+    "commute_shares": (s7.commute_shares, {"states": ("S01", "S02", "S03", "S04")}),
+    "share_by_price_band": (s7.share_by_price_band, {"edges": (0, 10000, 50000, 100000, 400000)}),
+    "foreign_born_share": (s7.foreign_born_share, {"zips": ("000001", "000002", "000003")}),
+    "age_shares": (s7.age_shares, {"state": "S06"}),
 }
 
 
