@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 import datetime as dt
 
 from storelens.plans import conditionals as s2
+from storelens.plans import location as s5
+from storelens.plans import parameterised as s6
 from storelens.plans import probability as s7
 from storelens.plans import quality as s3
 from storelens.plans import summaries as s1
@@ -90,6 +92,44 @@ ENTRIES: dict[str, Entry] = {
     "share_by_price_band": (s7.share_by_price_band, {"edges": (0, 10000, 50000, 100000, 400000)}),
     "foreign_born_share": (s7.foreign_born_share, {"zips": ("000001", "000002", "000003")}),
     "age_shares": (s7.age_shares, {"state": "S06"}),
+    # script 5 - location
+    "areas_million_homes": (s5.areas_million_homes, {}),
+    "areas_with_orders": (s5.areas_with_orders, {}),
+    "foreign_born_split": (s5.foreign_born_split, {}),
+    "top_payment_points": (s5.top_payment_points, {}),
+    "customers_by_location": (s5.customers_by_location, {}),
+    "work_at_home_share": (s5.work_at_home_share, {}),
+    "top_sales_zip_by_state": (s5.top_sales_zip_by_state, {}),
+    "top_customer_zip_by_state": (s5.top_customer_zip_by_state, {}),
+    "low_income_placemarks": (s5.low_income_placemarks, {}),
+    "top_customer_placemarks": (s5.top_customer_placemarks, {}),
+    "distance_to_state_reference_sphere": (s5.distance_to_state_reference, {"metric": "sphere"}),
+    "distance_to_state_reference_ellipsoid": (s5.distance_to_state_reference, {"metric": "ellipsoid"}),
+    "areas_within_of_most_populated_sphere": (s5.areas_within_of_most_populated, {"metric": "sphere"}),
+    "areas_within_of_most_populated_ellipsoid": (s5.areas_within_of_most_populated, {"metric": "ellipsoid"}),
+    # script 6 - parameterised functions, two calls each as in the reference
+    "orders_with_delay": (s6.orders_with_delay, {"days": 10}),
+    "orders_with_delay_2": (s6.orders_with_delay, {"days": 100}),
+    "count_orders_with_delay": (s6.count_orders_with_delay, {"days": 10}),
+    "count_orders_with_delay_2": (s6.count_orders_with_delay, {"days": 100}),
+    "top_products": (s6.top_products, {"n": 10}),
+    "top_products_2": (s6.top_products, {"n": 15}),
+    "areas_other_language": (s6.areas_other_language, {"limit": 0.66}),
+    "areas_other_language_2": (s6.areas_other_language, {"limit": 2.0 / 3}),
+    "areas_closest_in_size": (s6.areas_closest_in_size, {"area": 34.02, "n": 10}),
+    "areas_closest_in_size_2": (s6.areas_closest_in_size, {"area": 154.54, "n": 20}),
+    "customers_by_purchase": (s6.customers_by_purchase, {"lo": 1963.00, "hi": 39950.00}),
+    "customers_by_purchase_2": (s6.customers_by_purchase, {"lo": 5678.99, "hi": 9876.54}),
+    "areas_named_like": (s6.areas_named_like, {"text": "brand#1"}),
+    "areas_named_like_2": (s6.areas_named_like, {"text": "BRAND#2"}),
+    "active_subscribers": (s6.active_subscribers, {"cutoff": dt.date(1999, 10, 12)}),
+    "active_subscribers_2": (s6.active_subscribers, {"cutoff": dt.date(2005, 10, 12)}),
+    "areas_around_point": (s6.areas_around_point, {"lat": 37.25, "lon": -92.51, "radius": 100}),
+    "areas_around_point_2": (s6.areas_around_point, {"lat": 37.25, "lon": -92.51, "radius": 300}),
+    "state_info": (s6.state_info, {"state": "S07"}),
+    "state_info_2": (s6.state_info, {"state": "S08"}),
+    "customers_per_month": (s6.customers_per_month, {"year": 1996}),
+    "customers_per_month_2": (s6.customers_per_month, {"year": 1997}),
 }
 
 
