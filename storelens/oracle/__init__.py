@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from storelens.oracle import script1, script2, script3, script4, script5, script6, script7
+from storelens.oracle import script1, script2, script3, script4, script5, script6, script7, script8, script9
 from storelens.oracle.views import with_views
 
-_MODULES = (script1, script2, script3, script4, script5, script6, script7)
+_MODULES = (script1, script2, script3, script4, script5, script6, script7, script8, script9)
 
 
 def oracle_texts() -> dict[str, str]:

@@ -12,17 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 import datetime as dt
 
+from storelens.plans import classify as s9
 from storelens.plans import conditionals as s2
 from storelens.plans import location as s5
 from storelens.plans import parameterised as s6
 from storelens.plans import probability as s7
 from storelens.plans import quality as s3
+from storelens.plans import sampling as s8
 from storelens.plans import summaries as s1
 from storelens.plans import windows as s4
 from storelens.sources.tables import Tables, load_tables
 
 Entry = tuple[Callable[..., DataFrame], dict]
 
+_MODEL = {"model_year": 1999, "score_year": 2000, "gender": "F"}
+_CUTOFF = dt.date(2000, 1, 1)
+
 ENTRIES: dict[str, Entry] = {
     # script 1 - summaries, joins, CTEs
     "population_by_state": (s1.population_by_state, {}),
@@ -130,6 +135,33 @@ ENTRIES: dict[str, Entry] = {
     "state_info_2": (s6.state_info, {"state": "S08"}),
     "customers_per_month": (s6.customers_per_month, {"year": 1996}),
     "customers_per_month_2": (s6.customers_per_month, {"year": 1997}),
+    # script 8 - sampling and value models
+    "sample_top_percent": (s8.sample_top_percent, {"pct": 10.0, "seed": "42"}),
+    "sample_hash_percent": (s8.sample_hash_percent, {"pct": 10.0, "seed": "42"}),
+    "sample_repeated": (s8.sample_repeated, {"mult": 79, "add": 19, "pct": 10}),
+    "group_share": (s8.group_share, {}),
+    "sample_stratified": (s8.sample_stratified, {"step": 100, "offset": 3}),
+    "big_orders_weekend_split": (s8.big_orders_weekend_split, {"year": 2000, "min_price": 250000.0}),
+    "sample_balanced": (s8.sample_balanced, {"k": 50, "year": 2000, "min_price": 250000.0, "seed": "42"}),
+    "avg_price_by_year": (s8.avg_price_by_year, {"gender": "F", "years": (1999, 2000)}),
+    "value_model_state": (s8.value_model, {"dims": ("State",), **_MODEL}),
+    "value_model_zip": (s8.value_model, {"dims": ("ZipCode",), **_MODEL}),
+    "value_model_payment": (s8.value_model, {"dims": ("PaymentType",), **_MODEL}),
+    "value_model_channel": (s8.value_model, {"dims": ("Channel",), **_MODEL}),
+    "value_model_channel_payment": (s8.value_model, {"dims": ("Channel", "PaymentType"), **_MODEL}),
+    "avg_price_all_years": (s8.avg_price_all_years, {"gender": "F"}),
+    "value_chart": (s8.value_chart, {"dims": ("Channel", "PaymentType"), "buckets": 10, **_MODEL}),
+    # script 9 - classification models and state signatures
+    "high_order_probability": (s9.high_order_probability, {"year": 1999, "limit": 250000.0}),
+    "naive_bayes": (s9.naive_bayes, {"year": 1999, "limit": 250000.0}),
+    "lookup_product_dow": (s9.lookup_product_dow, {"split": _CUTOFF}),
+    "lookup_product_week": (s9.lookup_product_week, {"split": _CUTOFF}),
+    "lookup_zip_payment": (s9.lookup_zip_payment, {"split": _CUTOFF}),
+    "state_top_payment": (s9.state_top_payment, {"cutoff": _CUTOFF}),
+    "state_top_group": (s9.state_top_group, {"cutoff": _CUTOFF}),
+    "state_orders": (s9.state_orders, {"cutoff": _CUTOFF}),
+    "state_signature": (s9.state_signature, {"cutoff": _CUTOFF}),
+    "three_years_of_sales": (s9.three_years_of_sales, {"cutoff": _CUTOFF}),
 }
 
 
