@@ -31,33 +31,35 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str, p: f
                       cont: str = "percentile_cont", disc: str = "percentile_disc") -> DataFrame:
     """One row per group with PERCENTILE_CONT(p) (double) and PERCENTILE_DISC(p)
     (value type) over ``value`` (NULL values are ignored, as in SQL)."""
-    v = df.select(*group_cols, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    g = list(group_cols)
+    v = df.select(*g, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     lo_q, hi_q = max(0.0, p - MARGIN), min(1.0, p + MARGIN)
-    stats = v.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", [lo_q, hi_q], ACCURACY).alias("_b"))
-    stats = stats.select(*group_cols, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    # target ranks (1-based): cont interpolates between r1 and r2, disc is r3
+    stats = v.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"),
+                              F.percentile_approx("_v", [lo_q, hi_q], ACCURACY).alias("_b"))
     h = F.lit(1.0) + (F.col("_n") - 1) * p
-    stats = stats.select(*group_cols, "_n", "_lo", "_hi",
+    # one row per group; checkpointed so that the sketch bounds are fixed values
+    # for every later use, even if a stage is recomputed after an executor loss
+    stats = stats.select(*g, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"),
                          F.floor(h).cast("bigint").alias("_r1"), F.ceil(h).cast("bigint").alias("_r2"),
                          (h - F.floor(h)).alias("_frac"),
-                         F.greatest(F.ceil(F.col("_n") * p), F.lit(1)).cast("bigint").alias("_r3"))
-    joined = v.join(stats.select(*group_cols, "_lo", "_hi"), list(group_cols))
-    below = joined.groupBy(*group_cols).agg(F.count(F.when(F.col("_v") < F.col("_lo"), 1)).alias("_below"))
-    mids = (joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-            .groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*group_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    mids = mids.withColumn("_cum", F.sum("_c").over(w))
-    ranked = (mids.join(below, list(group_cols))
-              .select(*group_cols, "_v", (F.col("_below") + F.col("_cum") - F.col("_c") + 1).alias("_start"),
-                      (F.col("_below") + F.col("_cum")).alias("_end")))
-    at = ranked.join(stats, list(group_cols))
+                         F.greatest(F.ceil(F.col("_n") * p), F.lit(1)).cast("bigint").alias("_r3")
+                         ).checkpoint(eager=True)
+    # one pass: rows below the bracket collapse into one count per group, rows in
+    # the bracket into one count per distinct value, rows above are dropped
+    vs = v.join(stats.select(*g, "_lo", "_hi"), g)
+    cls = F.when(F.col("_v") < F.col("_lo"), 0).when(F.col("_v") <= F.col("_hi"), 1).otherwise(2)
+    hist = (vs.withColumn("_cls", cls).where(F.col("_cls") < 2)
+            .groupBy(*g, "_cls", F.when(F.col("_cls") == 1, F.col("_v")).alias("_val"))
+            .agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*g).orderBy("_cls", "_val").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (hist.withColumn("_end", F.sum("_c").over(w)).where(F.col("_cls") == 1)
+              .withColumn("_start", F.col("_end") - F.col("_c") + 1))
+    at = ranked.join(stats.select(*g, "_r1", "_r2", "_r3", "_frac"), g)
 
     def pick(r: str):
-        return F.max(F.when((F.col("_start") <= F.col(r)) & (F.col(r) <= F.col("_end")), F.col("_v")))
+        return F.max(F.when((F.col("_start") <= F.col(r)) & (F.col(r) <= F.col("_end")), F.col("_val")))
 
-    res = at.groupBy(*group_cols).agg(pick("_r1").alias("_v1"), pick("_r2").alias("_v2"),
-                                      pick("_r3").alias("_v3"), F.max("_frac").alias("_frac"))
+    res = at.groupBy(*g).agg(pick("_r1").alias("_v1"), pick("_r2").alias("_v2"),
+                             pick("_r3").alias("_v3"), F.max("_frac").alias("_frac"))
     v1, v2 = F.col("_v1").cast("double"), F.col("_v2").cast("double")
-    return res.select(*group_cols, (v1 + F.col("_frac") * (v2 - v1)).alias(cont), F.col("_v3").alias(disc))
+    return res.select(*g, (v1 + F.col("_frac") * (v2 - v1)).alias(cont), F.col("_v3").alias(disc))

@@ -47,9 +47,8 @@ def naive_bayes(t: Tables, year: int = 2014, limit: float = 100.0) -> DataFrame:
     actual = d.groupBy("Channel", "PaymentType").agg(F.sum("_h").alias("_s"), F.count(F.lit(1)).alias("_n"))
     by_ch = actual.groupBy("Channel").agg(safe_ratio(F.sum("_s"), F.sum("_n")).alias("p_channel"))
     by_pay = actual.groupBy("PaymentType").agg(safe_ratio(F.sum("_s"), F.sum("_n")).alias("p_payment"))
-    overall = actual.agg(safe_ratio(F.sum("_s"), F.sum("_n")).alias("p_overall"))
-    j = (actual.join(by_ch, "Channel").join(by_pay, "PaymentType")
-         .crossJoin(F.broadcast(overall)))  # one row: bounded broadcast
+    overall = actual.agg(safe_ratio(F.sum("_s"), F.sum("_n"))).scalar()
+    j = actual.join(by_ch, "Channel").join(by_pay, "PaymentType").withColumn("p_overall", overall)
     pred = F.lit(1.0) / F.nullif(F.col("p_overall"), F.lit(0.0)) * F.col("p_channel") * F.col("p_payment")
     return (j.select(F.col("Channel").alias("channel"), F.round("p_channel", 6).alias("p_channel"),
                      F.col("PaymentType").alias("payment_type"), F.round("p_payment", 6).alias("p_payment"),

@@ -167,9 +167,7 @@ def distance_to_state_reference(t: Tables, metric: str = "sphere") -> DataFrame:
 
 def areas_within_of_most_populated(t: Tables, miles: float = 100.0, metric: str = "sphere") -> DataFrame:
     z = t.zip_census.select("state", "zcta5", "ZIPName", "County", "Stab", "Longitude", "Latitude", "TotPop")
-    mx = z.agg(F.max("TotPop").alias("_max"))
-    # one-row aggregate: broadcast is bounded by construction
-    centres = z.join(F.broadcast(mx), z.TotPop == mx._max).select("zcta5", "Latitude", "Longitude")
+    centres = z.where(F.col("TotPop") == z.agg(F.max("TotPop")).scalar()).select("zcta5", "Latitude", "Longitude")
     near = pairs_within(z.drop("TotPop"), centres, miles, metric)
     return (near.select("state", "zcta5", F.col("ZIPName").alias("zip_name"), F.col("County").alias("county"),
                         F.col("Stab").alias("stab"), F.col("Longitude").alias("longitude"),

@@ -61,14 +61,14 @@ def not_in(df: DataFrame, col: str, other: DataFrame, other_col: str) -> DataFra
     """``df.col NOT IN (SELECT other_col FROM other)`` with SQL NULL rules:
     no row at all if the list holds a NULL, and never a row whose value is NULL.
 
-    Written as a hash anti join plus a one-row flag instead of Spark's
-    null-aware anti join, which needs a broadcastable list (else a nested loop).
+    Written as a hash anti join plus a scalar "list has a NULL" flag instead
+    of Spark's null-aware anti join, which needs a broadcastable list (else a
+    nested loop join).
     """
     keys = other.select(F.col(other_col).alias("_k"))
-    has_null = keys.agg(F.max(F.col("_k").isNull().cast("int")).alias("_has_null"))
+    has_null = keys.agg(F.max(F.col("_k").isNull().cast("int"))).scalar()
     anti = df.where(F.col(col).isNotNull()).join(keys, F.col(col) == F.col("_k"), "left_anti")
-    return (anti.crossJoin(F.broadcast(has_null))
-            .where(F.coalesce(F.col("_has_null"), F.lit(0)) == 0).drop("_has_null"))
+    return anti.where(F.coalesce(has_null, F.lit(0)) == 0)
 
 
 def _stage(key: str):

@@ -97,22 +97,22 @@ def scored_orders(t: Tables, dims: Sequence[str], model_year: int = 2014, score_
     """Score-year orders with the model-year average of their dimension cell
     (``model``), falling back to the overall model-year average.
 
-    The model is one row per dimension cell and the fallback one row, so the
-    score set is never shuffled for the prediction beyond the equi join.
+    The model is one row per dimension cell and the fallback a scalar
+    subquery, so the score set meets the model in one equi join.
     Orders without a campaign are not scored when a dimension is the channel
     (inner join, as in the reference)."""
     data = _gender_orders(t, gender).where(in_years("OrderDate", [model_year, score_year]))
     model_rows = data.where(in_years("OrderDate", [model_year]))
-    fallback = model_rows.agg((F.sum("TotalPrice").cast("double") / F.count("TotalPrice")).alias("_fallback"))
+    fallback = model_rows.agg(F.sum("TotalPrice").cast("double") / F.count("TotalPrice")).scalar()
     score = data.where(in_years("OrderDate", [score_year]))
     if "Channel" in dims:
         camp = t.campaigns.select("CampaignId", "Channel")
         score, model_rows = score.join(camp, "CampaignId"), model_rows.join(camp, "CampaignId")
     model = model_rows.groupBy(*dims).agg(
         (F.sum("TotalPrice").cast("double") / F.count("TotalPrice")).alias("_cell"))
-    scored = score.join(model, list(dims), "left").crossJoin(F.broadcast(fallback))
+    scored = score.join(model, list(dims), "left")
     return scored.select("OrderId", F.col("TotalPrice").alias("score"),
-                         F.coalesce(F.col("_cell"), F.col("_fallback")).alias("model"))
+                         F.coalesce(F.col("_cell"), fallback).alias("model"))
 
 
 def value_model(t: Tables, dims: Sequence[str] = ("State",), model_year: int = 2014, score_year: int = 2015,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.semantics import as_long, int_avg, money_avg, money_sum, month_abbr
+from storelens.operators.joins import full_outer_with_small
 from storelens.sources.tables import Tables
 
 
@@ -40,10 +41,10 @@ def price_rollup(t: Tables, exclude: str = "#N/A") -> DataFrame:
 
 
 def product_vs_overall_avg(t: Tables) -> DataFrame:
-    overall = t.products.agg(money_avg("FullPrice").alias("average_full_price"))
-    # one-row aggregate: broadcasting it is size-bounded by construction
-    return (t.products.select(F.col("ProductId").alias("product_id"), F.col("FullPrice").alias("full_price"))
-            .crossJoin(F.broadcast(overall))
+    # scalar subquery: evaluated once, its one value is attached to every row
+    overall = t.products.agg(money_avg("FullPrice")).scalar()
+    return (t.products.select(F.col("ProductId").alias("product_id"), F.col("FullPrice").alias("full_price"),
+                              overall.alias("average_full_price"))
             .orderBy("product_id"))
 
 
@@ -72,11 +73,13 @@ def orders_with_state(t: Tables) -> DataFrame:
 
 
 def state_orders_x_channel_campaigns(t: Tables, state: str = "WY", channel: str = "WEB") -> DataFrame:
-    o = t.orders.where(F.col("State") == state).select("OrderId", "CustomerId", "City", "CampaignId")
-    c = t.campaigns.where(F.col("Channel") == channel).select("CampaignId", "Discount")
-    return (o.join(c, o.CampaignId == c.CampaignId, "full")
-            .select(o.OrderId.alias("order_id"), o.CustomerId.alias("customer_id"),
-                    o.City.alias("city"), c.Discount.alias("discount")))
+    o = t.orders.where(F.col("State") == state).select(
+        F.col("OrderId").alias("order_id"), F.col("CustomerId").alias("customer_id"), F.col("City").alias("city"),
+        F.col("CampaignId").alias("_ocamp"))
+    c = t.campaigns.where(F.col("Channel") == channel).select(F.col("CampaignId").alias("_ccamp"),
+                                                               F.col("Discount").alias("discount"))
+    both = full_outer_with_small(o, c, "_ocamp", "_ccamp")
+    return both.select("order_id", "customer_id", "city", "discount")
 
 
 def in_stock_value_by_group(t: Tables, exclude: str = "#N/A") -> DataFrame:

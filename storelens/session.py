@@ -35,11 +35,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="storelens-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", current)
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        sc.setCheckpointDir(configured)
+        return configured
+    # unset (local tests only): a fresh scratch folder
+    scratch = tempfile.mkdtemp(prefix="storelens-ckpt-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", scratch)
+    sc.setCheckpointDir(scratch)
+    return scratch
