@@ -105,3 +105,32 @@ def main(argv: list[str]) -> int:
 
 if __name__ == "__main__":
     sys.exit(main(sys.argv[1:]))
+
+
+def compare_strict(spark_df, con, sql: str) -> str | None:
+    """pandas path: Spark ``toPandas`` against DuckDB ``df``; equal dtypes
+    (datetime units aside) and exactly equal values, rows in sorted order."""
+    import pandas as pd
+
+    sp = spark_df.toPandas()
+    dp = con.execute(sql).df()
+    cols = sorted(sp.columns)
+    if cols != sorted(dp.columns):
+        return f"columns differ: {sorted(sp.columns)} vs {sorted(dp.columns)}"
+    sp, dp = sp[cols], dp[cols]
+    for c in cols:
+        a, b = sp[c].dtype, dp[c].dtype
+        if str(a).startswith("datetime64") and str(b).startswith("datetime64"):
+            sp[c], dp[c] = sp[c].astype("datetime64[ns]"), dp[c].astype("datetime64[ns]")
+        elif a != b:
+            return f"dtype of {c}: spark={a} duck={b}"
+    if len(sp) != len(dp):
+        return f"row count differs: {len(sp)} vs {len(dp)}"
+    sp = sp.sort_values(cols, na_position="first").reset_index(drop=True)
+    dp = dp.sort_values(cols, na_position="first").reset_index(drop=True)
+    ha = pd.util.hash_pandas_object(sp, index=False)
+    hb = pd.util.hash_pandas_object(dp, index=False)
+    if (ha != hb).any():
+        i = int((ha != hb).to_numpy().nonzero()[0][0])
+        return f"row {i}: spark={sp.iloc[i].tolist()} duck={dp.iloc[i].tolist()}"
+    return None

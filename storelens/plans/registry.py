@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import datetime as dt
 
@@ -165,9 +167,32 @@ ENTRIES: dict[str, Entry] = {
 }
 
 
-def run(key: str, spark: SparkSession, sf_dir: str, tables: Tables | None = None) -> DataFrame:
+def export_types(df: DataFrame) -> DataFrame:
+    """Uniform result types at the query boundary: integers as BIGINT, decimals
+    as DOUBLE (sums are exact decimals up to this cast), dates as TIMESTAMP_NTZ
+    at midnight (the type the source tables store dates in).  Library
+    functions keep their natural types; only ``queries()`` results pass here."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
+            c = c.cast("bigint")
+        elif isinstance(f.dataType, (T.DecimalType, T.FloatType)):
+            c = c.cast("double")
+        elif isinstance(f.dataType, T.DateType):
+            c = c.cast("timestamp_ntz")
+        else:
+            out.append(c)
+            continue
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def run(key: str, spark: SparkSession, sf_dir: str, tables: Tables | None = None,
+        export: bool = True) -> DataFrame:
     fn, params = ENTRIES[key]
-    return fn(tables or load_tables(spark, sf_dir), **params)
+    df = fn(tables or load_tables(spark, sf_dir), **params)
+    return export_types(df) if export else df
 
 
 def query_callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
