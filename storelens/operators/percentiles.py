@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storelens.session import ensure_checkpoint_dir
+
 ACCURACY = 10000
 MARGIN = 20.0 / ACCURACY  # bracket half-width in quantile units
 
@@ -31,6 +33,7 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str, p: f
                       cont: str = "percentile_cont", disc: str = "percentile_disc") -> DataFrame:
     """One row per group with PERCENTILE_CONT(p) (double) and PERCENTILE_DISC(p)
     (value type) over ``value`` (NULL values are ignored, as in SQL)."""
+    ensure_checkpoint_dir(df.sparkSession)
     g = list(group_cols)
     v = df.select(*g, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     lo_q, hi_q = max(0.0, p - MARGIN), min(1.0, p + MARGIN)

@@ -34,7 +34,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if unset."""
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    Only a local-mode session (tests, benchmarks) without the setting gets a
+    fresh scratch folder; on a cluster a missing setting is an error, because
+    a machine-local folder would not survive the loss of an executor.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -43,7 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    # unset (local tests only): a fresh scratch folder
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (e.g. on HDFS or an object store)")
     scratch = tempfile.mkdtemp(prefix="storelens-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", scratch)
     sc.setCheckpointDir(scratch)
