@@ -15,7 +15,44 @@ def full_outer_with_small(big: DataFrame, small: DataFrame, big_key: str, small_
     rows whose key never occurs in big (anti join against big's distinct keys,
     a partial aggregation).  NULL keys never match, as in the full join.
     """
-    matched = big.join(small, big[big_key] == small[small_key], "left")
+    matched = big.join(broadcast_if_small(small), big[big_key] == small[small_key], "left")
     keys = big.select(F.col(big_key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     unmatched = small.join(keys, small[small_key] == F.col("_k"), "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
+
+
+def _row_width(df: DataFrame) -> int:
+    """Rough bytes per row from the schema (strings counted as 32 bytes)."""
+    width = 0
+    for f in df.schema.fields:
+        name = f.dataType.typeName()
+        width += 32 if name in ("string", "binary") else 16 if name == "decimal" else 8
+    return max(width, 8)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None, rows: int | None = None) -> DataFrame:
+    """Broadcast hint for a dimension whose measured size is under the limit.
+
+    The size is checked, not assumed: one count of the (filtered, projected)
+    dimension times the schema's row width, against Spark's own
+    ``spark.sql.autoBroadcastJoinThreshold`` (disabled when that is -1).
+    Beyond the limit the join stays a shuffle join, which AQE can still split
+    on skewed keys.  Checking up front keeps the fact side from being
+    shuffled at all, which a runtime conversion cannot undo.
+    """
+    if max_bytes is None:
+        raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        max_bytes = _parse_bytes(raw)
+    if max_bytes < 0:
+        return df
+    est = (df.count() if rows is None else rows) * _row_width(df)
+    return F.broadcast(df) if est <= max_bytes else df
+
+
+def _parse_bytes(text: str) -> int:
+    t = str(text).strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for suffix in sorted(units, key=len, reverse=True):
+        if t.endswith(suffix) and t[: -len(suffix)].strip().lstrip("-").isdigit():
+            return int(t[: -len(suffix)]) * units[suffix]
+    return int(t)

@@ -23,7 +23,7 @@ def _high(limit: float) -> Column:
 
 def _campaign_orders(t: Tables, year: int) -> DataFrame:
     o = t.orders.where(in_years("OrderDate", [year])).select("OrderId", "CampaignId", "TotalPrice", "PaymentType")
-    return o.join(t.campaigns.select("CampaignId", "Channel"), "CampaignId")
+    return o.join(t.dimension("campaigns", "CampaignId", "Channel"), "CampaignId")
 
 
 def high_order_probability(t: Tables, year: int = 2014, limit: float = 100.0) -> DataFrame:
@@ -109,14 +109,14 @@ def state_top_payment(t: Tables, cutoff: dt.date = dt.date(2016, 1, 1)) -> DataF
 def state_top_group(t: Tables, cutoff: dt.date = dt.date(2016, 1, 1)) -> DataFrame:
     o = t.orders.where(F.col("OrderDate") < F.lit(cutoff)).select("OrderId", "State")
     rows = (o.join(t.order_lines.select("OrderId", "ProductId"), "OrderId")
-            .join(t.products.select("ProductId", "GroupName"), "ProductId"))
+            .join(t.dimension("products", "ProductId", "GroupName"), "ProductId"))
     return mode_by_key(rows, ["State"], "GroupName").select(F.col("State").alias("state"),
                                                             F.col("GroupName").alias("group_name"))
 
 
 def state_orders(t: Tables, cutoff: dt.date = dt.date(2016, 1, 1)) -> DataFrame:
     o = t.orders.where(F.col("OrderDate") < F.lit(cutoff)).select("OrderId", "CustomerId", "State", "TotalPrice")
-    c = t.customers.select("CustomerId", "HouseholdId")
+    c = t.dimension("customers", "CustomerId", "HouseholdId")
     return (o.join(c, "CustomerId").groupBy(F.col("State").alias("state"))
             .agg(F.count("OrderId").alias("n_orders"), money_sum("TotalPrice").alias("total_price"),
                  money_avg("TotalPrice").alias("avg_price"), F.count("HouseholdId").alias("n_household_ids")))

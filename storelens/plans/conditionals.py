@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.semantics import (as_long, in_years, is_blank_len, is_weekend, money_sum,
                                            price_band, year_diff)
+from storelens.operators.joins import broadcast_if_small
 from storelens.sources.tables import Tables
 
 # Fixed values of the reference: payment code labels and the price-band labels.
@@ -65,7 +66,7 @@ def sales_by_payment_label(t: Tables) -> DataFrame:
 
 
 def orders_by_state_min(t: Tables, min_orders: int = 5000, default: str = "Undefined ZipCode") -> DataFrame:
-    o, z = t.orders.select("OrderId", "ZipCode"), t.zip_census.select("zcta5", "Stab")
+    o, z = t.orders.select("OrderId", "ZipCode"), t.dimension("zip_census", "zcta5", "Stab")
     return (o.join(z, o.ZipCode == z.zcta5, "left")
             .groupBy(F.coalesce(z.Stab, F.lit(default)).alias("stab"))
             .agg(F.count(F.lit(1)).alias("number_of_orders"))
@@ -84,7 +85,7 @@ def first_shipment_volume(t: Tables, years: Sequence[int] = (2009, 2010, 2011))
 
 def order_count_by_channel_pivot(t: Tables,
                                  channels: Sequence[str] = ("WEB", "AD", "MAIL", "REFERRAL")) -> DataFrame:
-    o, c = t.orders.select("OrderId", "CampaignId"), t.campaigns.select("CampaignId", "Channel")
+    o, c = t.orders.select("OrderId", "CampaignId"), t.dimension("campaigns", "CampaignId", "Channel")
     pv = o.join(c, "CampaignId").groupBy().pivot("Channel", list(channels)).agg(F.count("OrderId"))
     # PIVOT's COUNT of an empty cell is 0
     return pv.select(F.lit("Count").alias("campaign_channel"),
@@ -97,7 +98,8 @@ def weekend_order_flag(t: Tables) -> DataFrame:
 
 
 def weekend_share_by_state(t: Tables) -> DataFrame:
-    known = t.zip_census.select(F.col("Stab").alias("State")).distinct()
+    # the distinct states are a handful of rows: measured, then broadcast
+    known = broadcast_if_small(t.zip_census.select(F.col("Stab").alias("State")).distinct())
     o = t.orders.select("OrderId", "State", "OrderDate").join(known, "State", "left_semi")
     return (o.groupBy(F.col("State").alias("state"))
             .agg(F.round(F.avg(_flag(is_weekend("OrderDate"), 100.0, 0.0)), 2).alias("avg_weekend_order"))
@@ -122,7 +124,7 @@ def subscriber_loyalty_years(t: Tables, max_id: int = 10000,
 
 def first_year_performance(t: Tables, years: Sequence[int] = (2013, 2014, 2015, 2016)) -> DataFrame:
     o = t.orders.select("CampaignId", "OrderDate", "TotalPrice")
-    c = t.campaigns.select("CampaignId", "Channel")
+    c = t.dimension("campaigns", "CampaignId", "Channel")
     y = F.year("OrderDate")
     per_year = [F.sum(F.when(y == yr, F.col("TotalPrice"))).cast("double")
                 / F.nullif(F.count(F.when(y == yr, F.col("TotalPrice"))), F.lit(0)) for yr in years]
@@ -135,7 +137,7 @@ def avg_price_state_payment_pivot(t: Tables, types: Sequence[str] = ("AE", "VI",
     o = t.orders.select("ZipCode", "TotalPrice",
                         F.when(F.col("PaymentType") == "??", F.lit("OC"))
                          .otherwise(F.col("PaymentType")).alias("PaymentType"))
-    z = t.zip_census.select("zcta5", "Stab")
+    z = t.dimension("zip_census", "zcta5", "Stab")
     pv = (o.join(z, o.ZipCode == z.zcta5)
           .groupBy("Stab").pivot("PaymentType", list(types))
           .agg(F.sum("TotalPrice").alias("s"), F.count("TotalPrice").alias("n")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.geo import distance_miles, rad
 from storelens.functions.semantics import as_long, concat_text, money_sum, pct
+from storelens.operators.joins import broadcast_if_small
 from storelens.operators.ranking import mode_by_key
 from storelens.operators.spatial import pairs_within
 from storelens.sources.tables import Tables
@@ -43,7 +44,8 @@ def areas_million_homes(t: Tables, pct_min: float = 50.0, box: Sequence[float] =
 
 
 def areas_with_orders(t: Tables, box: Sequence[float] = US_BOX) -> DataFrame:
-    zips = t.orders.select(F.col("ZipCode").alias("zcta5"))
+    # distinct order ZIPs first (partial aggregation), so a hot ZIP is one row
+    zips = t.orders.select(F.col("ZipCode").alias("zcta5")).distinct()
     return t.zip_census.where(_in_box(box)).join(zips, "zcta5", "left_semi").select(*_area_cols())
 
 
@@ -59,7 +61,7 @@ def foreign_born_split(t: Tables, pct_min: float = 10.0, box: Sequence[float] =
 def top_payment_points(t: Tables, cards: Sequence[tuple[str, str]] = CARD_COLUMNS) -> DataFrame:
     top = mode_by_key(t.orders.select("ZipCode", "PaymentType"), ["ZipCode"], "PaymentType", ties="all")
     top = top.where(F.col("PaymentType").isin(*[c for c, _ in cards]))
-    z = t.zip_census.select("zcta5", "Longitude", "Latitude")
+    z = t.dimension("zip_census", "zcta5", "Longitude", "Latitude")
     j = top.join(z, top.ZipCode == z.zcta5)
     return j.select(F.col("Longitude").alias("longitude"),
                     *[F.when(F.col("PaymentType") == code, F.col("Latitude")).otherwise(F.lit(0.0)).alias(name)
@@ -100,7 +102,8 @@ def top_customer_zip_by_state(t: Tables, box: Sequence[float] = US_BOX) -> DataF
     o = t.orders.where(F.col("State") != "")
     per = o.groupBy("ZipCode", "State").agg(F.countDistinct("CustomerId").alias("nb_cust"))
     best = _top_zip_per_state(per, "nb_cust")
-    best = best.join(t.zip_census.select(F.col("Stab").alias("State")), "State", "left_semi")
+    best = best.join(broadcast_if_small(t.zip_census.select(F.col("Stab").alias("State")).distinct()),
+                     "State", "left_semi")
     z = t.zip_census.where(_in_box(box)).select("zcta5", "Longitude", "Latitude")
     return (z.join(best, z.zcta5 == best.ZipCode)
             .orderBy("State", "ZipCode")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.semantics import as_long, dow_int, dow_name, price_band, safe_ratio
+from storelens.operators.joins import broadcast_if_small
 from storelens.plans.conditionals import DEFAULT_BAND_EDGES, band_labels
 from storelens.sources.tables import Tables
 
@@ -49,17 +50,17 @@ def share_by_weekday(t: Tables) -> DataFrame:
 
 
 def share_by_channel(t: Tables) -> DataFrame:
-    o, c = t.orders.select("OrderId", "CampaignId"), t.campaigns.select("CampaignId", "Channel")
+    o, c = t.orders.select("OrderId", "CampaignId"), t.dimension("campaigns", "CampaignId", "Channel")
     g = (o.join(c, "CampaignId").groupBy(F.col("Channel").alias("channel"))
          .agg(F.count(F.lit(1)).alias("orders_per_channel")))
     return _share(g, "orders_per_channel", "total", 3)
 
 
 def product_gender_share(t: Tables, group: str = "BOOK") -> DataFrame:
-    p = t.products.where(F.col("GroupName") == group).select("ProductId", "GroupName")
+    p = broadcast_if_small(t.products.where(F.col("GroupName") == group).select("ProductId", "GroupName"))
     ol = t.order_lines.select("OrderId", "ProductId")
     o = t.orders.select("OrderId", "CustomerId")
-    c = t.customers.where(F.col("Gender").isin("M", "F")).select("CustomerId", "Gender")
+    c = broadcast_if_small(t.customers.where(F.col("Gender").isin("M", "F")).select("CustomerId", "Gender"))
     rows = p.join(ol, "ProductId").join(o, "OrderId").join(c, "CustomerId")
     g = F.col("Gender")
     agg = (rows.groupBy(F.col("ProductId").alias("product_id"), F.col("GroupName").alias("group_name"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storelens.operators.joins import broadcast_if_small
 from storelens.sources.tables import Tables
 
 
@@ -37,6 +38,8 @@ def repair_pipeline(t: Tables) -> dict[str, DataFrame]:
     census_orphans = census.join(county_ok, census.zcta5 == county_ok.ZipCode, "left_anti")
     census_ok = census.join(county_ok, census.zcta5 == county_ok.ZipCode, "left_semi")
     orders = t.orders
+    # the repaired census is a dimension: broadcast it if it measures small
+    census_ok = broadcast_if_small(census_ok)
     orders_orphans = orders.join(census_ok, orders.ZipCode == census_ok.zcta5, "left_anti")
     orders_ok = orders.join(census_ok, orders.ZipCode == census_ok.zcta5, "left_semi")
     lines = t.order_lines

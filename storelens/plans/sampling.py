@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.semantics import as_long, in_years, is_weekend, money_avg, safe_ratio, seeded_key
 from storelens.operators import sampling
+from storelens.operators.joins import broadcast_if_small
 from storelens.operators.ranking import ntile
 from storelens.sources.tables import Tables
 
@@ -77,7 +78,7 @@ def sample_balanced(t: Tables, k: int = 50, year: int = 2015, min_price: float =
 # --- average-value models -------------------------------------------------
 
 def _gender_orders(t: Tables, gender: str) -> DataFrame:
-    c = t.customers.where(F.col("Gender") == gender).select("CustomerId")
+    c = broadcast_if_small(t.customers.where(F.col("Gender") == gender).select("CustomerId"))
     return t.orders.join(c, "CustomerId")
 
 
@@ -106,7 +107,7 @@ def scored_orders(t: Tables, dims: Sequence[str], model_year: int = 2014, score_
     fallback = model_rows.agg(F.sum("TotalPrice").cast("double") / F.count("TotalPrice")).scalar()
     score = data.where(in_years("OrderDate", [score_year]))
     if "Channel" in dims:
-        camp = t.campaigns.select("CampaignId", "Channel")
+        camp = t.dimension("campaigns", "CampaignId", "Channel")
         score, model_rows = score.join(camp, "CampaignId"), model_rows.join(camp, "CampaignId")
     model = model_rows.groupBy(*dims).agg(
         (F.sum("TotalPrice").cast("double") / F.count("TotalPrice")).alias("_cell"))

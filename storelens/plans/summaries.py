@@ -66,7 +66,7 @@ def all_orders_with_customer(t: Tables) -> DataFrame:
 
 
 def orders_with_state(t: Tables) -> DataFrame:
-    o, z = t.orders, t.zip_census.select("zcta5", "Stab")
+    o, z = t.orders, t.dimension("zip_census", "zcta5", "Stab")
     return (o.join(z, o.ZipCode == z.zcta5, "left")
             .select(o.OrderId.alias("order_id"), o.ZipCode.alias("zip_code"), z.Stab.alias("stab"))
             .orderBy("order_id"))

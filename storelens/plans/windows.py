@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions import moments
 from storelens.functions.semantics import MONEY_SUM, as_long, in_years, money_avg, money_sum, month_abbr
+from storelens.operators.joins import broadcast_if_small
 from storelens.operators.percentiles import exact_percentiles
 from storelens.operators.ranking import ntile
 from storelens.sources.tables import Tables
@@ -106,7 +107,7 @@ def new_subscribers_vs_last_plan(t: Tables, years: Sequence[int] = (2003, 2004,
 
 
 def best_sellers_prev_next(t: Tables, k: int = 10, exclude: Sequence[str] = ("#N/A", "FREEBIE")) -> DataFrame:
-    p = t.products.where(~F.col("GroupName").isin(*exclude)).select("ProductId", "GroupName")
+    p = broadcast_if_small(t.products.where(~F.col("GroupName").isin(*exclude)).select("ProductId", "GroupName"))
     sales = (t.order_lines.select("ProductId", "TotalPrice").join(p, "ProductId")
              .groupBy(F.col("GroupName").alias("group_name"), F.col("ProductId").alias("product_id"))
              .agg(money_sum("TotalPrice").alias("sum_price")))

@@ -43,12 +43,23 @@ class Tables:
     spark: SparkSession
     sf_dir: str
     _raw: dict = field(default_factory=dict, repr=False)
+    _rows: dict = field(default_factory=dict, repr=False)
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
             self._raw[name] = load_raw(self.spark, self.sf_dir, name)
         return self._raw[name]
 
+    def dimension(self, name: str, *cols: str | Column) -> DataFrame:
+        """A projection of a dimension relation for a join with a fact table,
+        with a broadcast hint only if its measured size is under Spark's
+        broadcast threshold (one cached count per relation)."""
+        from storelens.operators.joins import broadcast_if_small
+        base = getattr(self, name)
+        if name not in self._rows:
+            self._rows[name] = base.count()
+        return broadcast_if_small(base.select(*cols) if cols else base, rows=self._rows[name])
+
     @cached_property
     def orders(self) -> DataFrame:
         o = self.raw("orders")
