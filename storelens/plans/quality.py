@@ -30,34 +30,42 @@ def zip_keys_unmatched(t: Tables) -> DataFrame:
     return left.unionByName(right).orderBy(F.asc_nulls_first("zcta5"), F.asc_nulls_first("zip_code"))
 
 
-def repair_pipeline(t: Tables) -> dict[str, DataFrame]:
-    """Every check and repair of the script, each reading the previous repair."""
+def repair_pipeline(t: Tables, stages: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """Every check and repair of the script, each reading the previous repair
+    (``stages`` limits the result to the named entries)."""
     census, county = t.zip_census, t.zip_county
     county_orphans = county.join(census, county.ZipCode == census.zcta5, "left_anti")
     county_ok = county.join(census, county.ZipCode == census.zcta5, "left_semi")
     census_orphans = census.join(county_ok, census.zcta5 == county_ok.ZipCode, "left_anti")
     census_ok = census.join(county_ok, census.zcta5 == county_ok.ZipCode, "left_semi")
-    orders = t.orders
-    # the repaired census is a dimension: broadcast it if it measures small
-    census_ok = broadcast_if_small(census_ok)
-    orders_orphans = orders.join(census_ok, orders.ZipCode == census_ok.zcta5, "left_anti")
-    orders_ok = orders.join(census_ok, orders.ZipCode == census_ok.zcta5, "left_semi")
-    lines = t.order_lines
-    lines_orphans = lines.join(orders_ok, "OrderId", "left_anti")
-    lines_ok = lines.join(orders_ok, "OrderId", "left_semi")
-    return {
+    out = {
         "zip_county_orphans": county_orphans.select(_nulls("zcta5"), F.col("ZipCode").alias("zip_code"))
                                             .orderBy("zip_code"),
         "zip_county_repaired": county_ok,
         "zip_census_orphans": census_orphans.select("zcta5", _nulls("zip_code")).orderBy("zcta5"),
         "zip_census_repaired": census_ok,
-        "orders_unknown_zip": orders_orphans.orderBy("ZipCode", "OrderId"),
-        "orders_repaired": orders_ok,
-        "order_lines_orphans": lines_orphans.orderBy("OrderId", "OrderLineId"),
-        "order_lines_repaired": lines_ok,
-        "orders_unknown_customer": not_in(orders_ok, "CustomerId", t.customers, "CustomerId")
-                                   .select(F.col("CustomerId").alias("customer_id")),
     }
+    wanted = set(stages or ORDER_STAGES + tuple(out))
+    if wanted & set(ORDER_STAGES):
+        # the repaired census is a dimension: broadcast it if it measures small
+        zips = broadcast_if_small(census_ok.select("zcta5"))
+        orders = t.orders
+        orders_ok = orders.join(zips, orders.ZipCode == zips.zcta5, "left_semi")
+        lines = t.order_lines
+        out.update({
+            "orders_unknown_zip": orders.join(zips, orders.ZipCode == zips.zcta5, "left_anti")
+                                        .orderBy("ZipCode", "OrderId"),
+            "orders_repaired": orders_ok,
+            "order_lines_orphans": lines.join(orders_ok, "OrderId", "left_anti").orderBy("OrderId", "OrderLineId"),
+            "order_lines_repaired": lines.join(orders_ok, "OrderId", "left_semi"),
+            "orders_unknown_customer": not_in(orders_ok, "CustomerId", t.customers, "CustomerId")
+                                       .select(F.col("CustomerId").alias("customer_id")),
+        })
+    return {k: v for k, v in out.items() if k in wanted}
+
+
+ORDER_STAGES = ("orders_unknown_zip", "orders_repaired", "order_lines_orphans", "order_lines_repaired",
+                "orders_unknown_customer")
 
 
 def not_in(df: DataFrame, col: str, other: DataFrame, other_col: str) -> DataFrame:
@@ -76,7 +84,7 @@ def not_in(df: DataFrame, col: str, other: DataFrame, other_col: str) -> DataFra
 
 def _stage(key: str):
     def run(t: Tables) -> DataFrame:
-        return repair_pipeline(t)[key]
+        return repair_pipeline(t, (key,))[key]
     run.__name__ = key
     run.__doc__ = f"``repair_pipeline(t)['{key}']``"
     return run
