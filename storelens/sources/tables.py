@@ -198,3 +198,23 @@ def _calendar_cols(d: Column) -> list[Column]:
 
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
+
+
+# Fixed values of the reference: its table names.
+REFERENCE_NAMES = {
+    "orders": "Orders", "order_lines": "OrderLines", "products": "Products", "customers": "Customers",
+    "campaigns": "Campaigns", "calendar": "Calendar", "subscribers": "Subscribers",
+    "zip_census": "ZipCensus", "zip_county": "ZipCounty",
+}
+
+
+def register_views(t: Tables, prefix: str = "") -> list[str]:
+    """Register the nine relations as temporary views under the reference's
+    table names (optionally prefixed), so that SQL written against them runs
+    in ``spark.sql``.  Spark names are case-insensitive: use a prefix when a
+    raw ``orders`` view already exists in the session."""
+    names = []
+    for attr, name in REFERENCE_NAMES.items():
+        getattr(t, attr).createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names

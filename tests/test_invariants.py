@@ -50,3 +50,17 @@ def test_balanced_sample_bound(tables):
     s = s8.sample_balanced(tables, k=50, year=2000, min_price=250000.0)
     per_class = s.groupBy(F.col("weekend").isNull()).count().collect()
     assert all(r[1] <= 50 for r in per_class)
+
+
+def test_reference_sql_runs_on_registered_views(spark, tables):
+    from storelens.plans import summaries
+    from storelens.sources.tables import register_views
+    register_views(tables, prefix="ref_")
+    sql = spark.sql("""
+        WITH CTE_TotalPriceOrder AS (
+          SELECT OrderId, SUM(TotalPrice) AS TotalPriceOrder FROM ref_OrderLines GROUP BY OrderId)
+        SELECT o.CustomerID AS customer_id, MAX(cte.TotalPriceOrder) AS total_price_customer
+        FROM CTE_TotalPriceOrder cte JOIN ref_Orders o ON o.OrderId = cte.OrderId
+        GROUP BY o.CustomerID HAVING o.CustomerID <> 0""")
+    lib = summaries.max_order_by_customer(tables)
+    assert sorted(map(tuple, sql.collect())) == sorted(map(tuple, lib.collect()))
