@@ -20,14 +20,17 @@ from storelens.operators.ranking import row_numbers
 HASH_DIGITS = 6  # hex digits of the digest used as a uniform number
 
 
-def hash_threshold(pct: float) -> str:
-    """Hex text t such that ``substr(md5, 1, 6) < t`` holds for ``pct`` % of digests."""
-    return format(min(16 ** HASH_DIGITS, round(pct / 100.0 * 16 ** HASH_DIGITS)), f"0{HASH_DIGITS}x")
+def hash_threshold(pct: float) -> str | None:
+    """Hex text t such that ``substr(md5, 1, 6) < t`` holds for ``pct`` % of
+    digests; None when every row qualifies (pct >= 100)."""
+    n = round(max(0.0, pct) / 100.0 * 16 ** HASH_DIGITS)
+    return None if n >= 16 ** HASH_DIGITS else format(n, f"0{HASH_DIGITS}x")
 
 
 def hash_sample(df: DataFrame, key: str | Column, pct: float, seed: str) -> DataFrame:
     """About ``pct`` % of the rows, chosen by the digest of (seed, key): a filter, no shuffle."""
-    return df.where(F.substring(seeded_key(seed, key), 1, HASH_DIGITS) < F.lit(hash_threshold(pct)))
+    t = hash_threshold(pct)
+    return df if t is None else df.where(F.substring(seeded_key(seed, key), 1, HASH_DIGITS) < F.lit(t))
 
 
 def top_percent(df: DataFrame, pct: float, order: Sequence[Column]) -> DataFrame:

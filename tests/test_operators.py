@@ -143,6 +143,7 @@ def test_samples(spark):
     df = spark.createDataFrame([(i, i % 2) for i in range(2000)], "id long, c long")
     n = hash_sample(df, "id", 10.0, "s").count()
     assert 120 < n < 280
-    assert hash_threshold(100) == "1000000" or hash_sample(df, "id", 100.0, "s").count() == 2000
+    assert hash_threshold(100) is None and hash_sample(df, "id", 100.0, "s").count() == 2000
+    assert hash_threshold(0) == "000000" and hash_sample(df, "id", 0.0, "s").count() == 0
     b = balanced_sample(df, "c", 50, "s", "id")
     assert sorted(r[1] for r in b.groupBy("c").count().collect()) == [50, 50]
