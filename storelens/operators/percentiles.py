@@ -11,9 +11,9 @@ task.  Here each group only ever sends a thin slice of its values to one task:
 3. a window over those few distinct values gives each value's rank range;
    the values at the target ranks give the exact results.
 
-If a group's bracket misses a target rank (impossible within the sketch's
-error bound, checked anyway) the result for that group is NULL rather than a
-wrong number.
+The per-group results are checked: a group whose bracket missed a target
+rank (impossible within the sketch's error bound) is recomputed with Spark's
+exact aggregate, so every group gets its exact value.
 """
 
 from __future__ import annotations
@@ -65,4 +65,16 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str, p: f
     res = at.groupBy(*g).agg(pick("_r1").alias("_v1"), pick("_r2").alias("_v2"),
                              pick("_r3").alias("_v3"), F.max("_frac").alias("_frac"))
     v1, v2 = F.col("_v1").cast("double"), F.col("_v2").cast("double")
-    return res.select(*g, (v1 + F.col("_frac") * (v2 - v1)).alias(cont), F.col("_v3").alias(disc))
+    res = res.select(*g, (v1 + F.col("_frac") * (v2 - v1)).alias(cont), F.col("_v3").alias(disc),
+                     (F.col("_v1").isNull() | F.col("_v2").isNull() | F.col("_v3").isNull()).alias("_miss"))
+    # one row per group: materialise once, then check that every group found its ranks
+    res = res.checkpoint(eager=True)
+    hit = res.where(~F.col("_miss")).drop("_miss")
+    if res.where(F.col("_miss")).limit(1).count() == 0:
+        return hit
+    # groups the bracket missed (outside the sketch's error bound): exact aggregate for those only
+    missed = res.where(F.col("_miss")).select(*g)
+    exact = (v.join(missed, g, "left_semi").groupBy(*g)
+             .agg(F.percentile(F.col("_v").cast("double"), p).alias(cont),
+                  F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY _v)").alias(disc)))
+    return hit.unionByName(exact)

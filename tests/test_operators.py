@@ -147,3 +147,16 @@ def test_samples(spark):
     assert hash_threshold(0) == "000000" and hash_sample(df, "id", 0.0, "s").count() == 0
     b = balanced_sample(df, "c", 50, "s", "id")
     assert sorted(r[1] for r in b.groupBy("c").count().collect()) == [50, 50]
+
+
+def test_exact_percentiles_fallback_when_bracket_misses(spark, monkeypatch):
+    from storelens.operators import percentiles
+    # an inverted bracket (lower bound above the upper one) misses every target rank
+    monkeypatch.setattr(percentiles, "MARGIN", -0.3)
+    rnd = random.Random(11)
+    df = spark.createDataFrame([(g, float(rnd.randint(0, 99))) for g in range(3) for _ in range(200)],
+                               "g long, v double")
+    got = {r.g: (r.percentile_cont, r.percentile_disc) for r in percentiles.exact_percentiles(df, ["g"], "v").collect()}
+    want = {r.g: (r.c, r.d) for r in df.groupBy("g").agg(
+        F.percentile("v", 0.5).alias("c"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("d")).collect()}
+    assert got == want
