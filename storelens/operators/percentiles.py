@@ -57,13 +57,15 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str, p: f
     w = Window.partitionBy(*g).orderBy("_cls", "_val").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (hist.withColumn("_end", F.sum("_c").over(w)).where(F.col("_cls") == 1)
               .withColumn("_start", F.col("_end") - F.col("_c") + 1))
-    at = ranked.join(stats.select(*g, "_r1", "_r2", "_r3", "_frac"), g)
+    at = ranked.join(stats.select(*g, "_r1", "_r2", "_r3"), g)
 
     def pick(r: str):
         return F.max(F.when((F.col("_start") <= F.col(r)) & (F.col(r) <= F.col("_end")), F.col("_val")))
 
-    res = at.groupBy(*g).agg(pick("_r1").alias("_v1"), pick("_r2").alias("_v2"),
-                             pick("_r3").alias("_v3"), F.max("_frac").alias("_frac"))
+    picks = at.groupBy(*g).agg(pick("_r1").alias("_v1"), pick("_r2").alias("_v2"), pick("_r3").alias("_v3"))
+    # every group of ``stats`` stays (NULL picks when nothing fell in its bracket)
+    res = stats.select(*g, "_frac").join(picks, [stats[c].eqNullSafe(picks[c]) for c in g], "left").select(
+        *[stats[c] for c in g], "_frac", "_v1", "_v2", "_v3")
     v1, v2 = F.col("_v1").cast("double"), F.col("_v2").cast("double")
     res = res.select(*g, (v1 + F.col("_frac") * (v2 - v1)).alias(cont), F.col("_v3").alias(disc),
                      (F.col("_v1").isNull() | F.col("_v2").isNull() | F.col("_v3").isNull()).alias("_miss"))
@@ -74,7 +76,7 @@ def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str, p: f
         return hit
     # groups the bracket missed (outside the sketch's error bound): exact aggregate for those only
     missed = res.where(F.col("_miss")).select(*g)
-    exact = (v.join(missed, g, "left_semi").groupBy(*g)
+    exact = (v.join(missed, [v[c].eqNullSafe(missed[c]) for c in g], "left_semi").groupBy(*g)
              .agg(F.percentile(F.col("_v").cast("double"), p).alias(cont),
                   F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY _v)").alias(disc)))
     return hit.unionByName(exact)
