@@ -113,3 +113,29 @@ def mode_by_key(df: DataFrame, key: Sequence[str], label: str, weight: Column |
         return best.select(*key, F.col("_b.l").alias(label), F.negative("_b.n").alias("_cnt"))
     w = Window.partitionBy(*key).orderBy(F.desc("_cnt"))
     return counted.withColumn("_rk", F.rank().over(w)).where(F.col("_rk") == 1).drop("_rk")
+
+
+def top_k_per_group(df: DataFrame, group: Sequence[str | Column], order: Sequence[Column], k: int,
+                    rn: str | None = None) -> DataFrame:
+    """Rows with ROW_NUMBER() OVER (PARTITION BY group ORDER BY order) <= k.
+
+    Up to Spark's group-limit threshold the window filter is planned with a
+    partial WindowGroupLimit (each task keeps k rows per group before the
+    shuffle).  Above it Spark would sort whole groups in one task, so the
+    range-partitioned numbering is used instead."""
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    name = rn or "_rn"
+    if 0 < k <= limit:
+        w = Window.partitionBy(*group).orderBy(*order)
+        out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+    else:
+        cols = []
+        for i, g in enumerate(group):
+            if isinstance(g, str):
+                cols.append(g)
+            else:
+                df = df.withColumn(f"_grp{i}", g)
+                cols.append(f"_grp{i}")
+        out = row_numbers(df, order, partition_by=cols, rn=name).where(F.col(name) <= k)
+        out = out.drop(*[c for c in cols if c.startswith("_grp")])
+    return out if rn else out.drop(name)

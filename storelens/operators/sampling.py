@@ -8,14 +8,13 @@ same digest in any SQL engine, so samples can be checked exactly.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.semantics import seeded_key
-from storelens.operators.ranking import row_numbers
+from storelens.operators.ranking import row_numbers, top_k_per_group
 
 HASH_DIGITS = 6  # hex digits of the digest used as a uniform number
 
@@ -47,8 +46,6 @@ def every_kth(df: DataFrame, order: Sequence[Column], keep: Column, rn: str = "r
 
 
 def balanced_sample(df: DataFrame, cls: str | Column, k: int, seed: str, key: str) -> DataFrame:
-    """At most ``k`` rows per class, in seeded random order.  The filter on
-    row_number lets Spark keep only k rows per class in each task before the
-    shuffle, so a class holding most rows never reaches one task whole."""
-    w = Window.partitionBy(cls).orderBy(seeded_key(seed, key), F.col(key))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    """At most ``k`` rows per class, in seeded random order; no class is ever
+    sorted whole in one task (see ``ranking.top_k_per_group``)."""
+    return top_k_per_group(df, [cls], [seeded_key(seed, key).asc(), F.col(key).asc()], k)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.geo import distance_miles, rad
-from storelens.functions.semantics import as_long, concat_text, money_sum, pct
+from storelens.functions.semantics import concat_text, money_sum, pct
 from storelens.operators.joins import broadcast_if_small
 from storelens.operators.ranking import mode_by_key
 from storelens.operators.spatial import pairs_within

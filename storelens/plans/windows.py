@@ -18,7 +18,7 @@ from storelens.functions import moments
 from storelens.functions.semantics import MONEY_SUM, as_long, in_years, money_avg, money_sum, month_abbr
 from storelens.operators.joins import broadcast_if_small
 from storelens.operators.percentiles import exact_percentiles
-from storelens.operators.ranking import ntile
+from storelens.operators.ranking import ntile, top_k_per_group
 from storelens.sources.tables import Tables
 
 
@@ -112,8 +112,9 @@ def best_sellers_prev_next(t: Tables, k: int = 10, exclude: Sequence[str] = ("#N
              .groupBy(F.col("GroupName").alias("group_name"), F.col("ProductId").alias("product_id"))
              .agg(money_sum("TotalPrice").alias("sum_price")))
     w = Window.partitionBy("group_name").orderBy(F.desc("sum_price"), "product_id")
-    # row_number <= k lets Spark keep only k rows per group in each task before the shuffle
-    top = sales.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    # top k per group without sorting a whole group in one task; LAG/LEAD then
+    # run over the k kept rows per group only
+    top = top_k_per_group(sales, ["group_name"], [F.desc("sum_price"), F.asc("product_id")], k)
     return (top.select("group_name", "product_id", "sum_price",
                        F.lag("sum_price").over(w).alias("prev_price"),
                        F.lead("sum_price").over(w).alias("next_price"))

@@ -160,3 +160,18 @@ def test_exact_percentiles_fallback_when_bracket_misses(spark, monkeypatch):
     want = {r.g: (r.c, r.d) for r in df.groupBy("g").agg(
         F.percentile("v", 0.5).alias("c"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("d")).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_top_k_per_group_both_paths(spark, k):
+    from storelens.operators.ranking import top_k_per_group
+    rnd = random.Random(k)
+    df = spark.createDataFrame([(i, rnd.choice("abc"), rnd.randint(0, 9)) for i in range(200)], "id long, g string, v long")
+    order = [F.desc("v"), F.asc("id")]
+    want = _rows(top_k_per_group(df, ["g"], order, k), "id")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1")
+    try:
+        got = _rows(top_k_per_group(df, ["g"], order, k), "id")
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert got == want and len(got) == 3 * k
