@@ -18,7 +18,8 @@ from storelens.plans.quality import not_in
 
 
 def _rows(df, *cols):
-    return sorted(tuple(r) for r in df.select(*cols).collect())
+    return sorted((tuple(r) for r in df.select(*cols).collect()),
+                  key=lambda r: tuple((v is None, v if v is not None else 0) for v in r))
 
 
 @pytest.mark.parametrize("slices", [1, 3, 50])
@@ -175,3 +176,30 @@ def test_top_k_per_group_both_paths(spark, k):
     finally:
         spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
     assert got == want and len(got) == 3 * k
+
+
+def test_full_outer_with_small_equals_full_join(spark):
+    from storelens.operators.joins import full_outer_with_small
+    big = spark.createDataFrame([(i, i % 7 if i % 11 else None) for i in range(300)], "id long, bk long")
+    small = spark.createDataFrame([(k, f"s{k}") for k in (None, 0, 3, 6, 9, 12)], "sk long, label string")
+    got = _rows(full_outer_with_small(big, small, "bk", "sk"), "id", "bk", "sk", "label")
+    want = _rows(big.join(small, big.bk == small.sk, "full"), "id", "bk", "sk", "label")
+    assert got == want
+
+
+def test_broadcast_if_small_checks_size(spark):
+    from storelens.operators.joins import broadcast_if_small
+    df = spark.range(100)
+    hinted = broadcast_if_small(df, max_bytes=10_000)
+    plain = broadcast_if_small(df, max_bytes=100)
+    assert "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in plain._jdf.queryExecution().logical().toString().lower()
+    assert broadcast_if_small(df, max_bytes=-1) is df
+
+
+def test_median_approx_close_to_exact(tables):
+    from storelens.plans import windows
+    ex = {(r.year, r.month): r.percentile_disc for r in windows.median_order_by_month(tables).collect()}
+    ap = {(r.year, r.month): r.percentile_disc for r in windows.median_order_by_month(tables, approx=True).collect()}
+    # groups far below the sketch's accuracy: its rank error is under one row
+    assert ex == ap
