@@ -4,73 +4,128 @@
 a single-partition window: every row goes to one task.  ``row_numbers`` gives
 the same numbers with all work spread out:
 
-1. range-partition the rows on (group keys, order keys) into ``n`` slices and
-   sort each slice; ``monotonically_increasing_id`` then encodes
-   (slice index, position in slice);
-2. the slices are checkpointed to the shared checkpoint folder, so both uses
-   below read the same slices (range boundaries come from sampling and would
-   differ between two evaluations) and lost executors do not change them;
-3. a small table of per-(slice, group) counts gives, through a window over at
-   most ``n`` rows per group, the offset of each slice inside its group;
-4. row number = offset + position - first position of the group in the slice.
+1. a bounded random sample of the (group, order) key tuples is sorted and
+   cut into ``n`` slices; the ``n - 1`` boundary tuples become literals of
+   the plan, and each row's slice is a binary search over them (a CASE tree
+   of depth log2 n).  Because the slice is a pure function of the row, every
+   use and every recomputation (lost executor) places a row in the same slice;
+   nothing is checkpointed;
+2. per-(slice, group) counts give, through a window over at most ``n`` rows
+   per group, the offset of each slice inside its group;
+3. row number = offset + ROW_NUMBER() within (slice, group): a window over
+   about 1/n of the rows.  A hot key value is spread over several slices
+   because the boundaries are whole key tuples, tie-break included.
 
 Order keys must end in a column that is unique within a group, as the
-reference's tie-breaks require anyway.
+reference's tie-breaks require anyway.  Keys are given as ``asc(c)`` /
+``desc(c)`` (SQL defaults: NULLS FIRST ascending, NULLS LAST descending).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelens.session import ensure_checkpoint_dir
+SAMPLE_PER_SLICE = 20
+MAX_SLICES = 512
 
-_POS_BITS = 33  # monotonically_increasing_id = slice << 33 | position
 
+@dataclass(frozen=True)
+class Key:
+    col: Column
+    ascending: bool = True
+
+    def order(self, c: Column | None = None) -> Column:
+        c = self.col if c is None else c
+        return c.asc() if self.ascending else c.desc()
+
+
+def asc(c: str | Column) -> Key:
+    return Key(F.col(c) if isinstance(c, str) else c, True)
 
-def _slices(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(n, 1)
 
+def desc(c: str | Column) -> Key:
+    return Key(F.col(c) if isinstance(c, str) else c, False)
 
-def row_numbers(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str] = (),
+
+def _slices(df: DataFrame) -> int:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(n, MAX_SLICES))
+
+
+def _after_or_at(keys: list[Column], dirs: list[bool], b: tuple) -> Column:
+    """Row key tuple >= boundary tuple ``b`` in the sort order."""
+    out = None
+    for k, up, v in reversed(list(zip(keys, dirs, b))):
+        if v is None:
+            gt = k.isNotNull() if up else F.lit(False)
+            eq = k.isNull()
+        else:
+            lit = F.lit(v)
+            gt = (k.isNotNull() & (k > lit)) if up else (k.isNull() | (k < lit))
+            eq = k.eqNullSafe(lit)
+        out = (gt | eq) if out is None else (gt | (eq & out))
+    return out
+
+
+def _slice_of(keys: list[Column], dirs: list[bool], bounds: list[tuple]) -> Column:
+    """Number of boundaries at or before the row's key (binary search)."""
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(_after_or_at(keys, dirs, bounds[mid - 1]), search(mid, hi)).otherwise(search(lo, mid - 1))
+    return search(0, len(bounds))
+
+
+def row_numbers(df: DataFrame, order: Sequence[Key], partition_by: Sequence[str] = (),
                 rn: str = "rn", size: str | None = None,
                 num_slices: int | None = None) -> DataFrame:
     """Add ``rn`` = ROW_NUMBER() OVER (PARTITION BY partition_by ORDER BY order);
     ``size`` (optional) = number of rows in the group."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = num_slices or _slices(df)
-    groups = [F.col(c) for c in partition_by]
-    keys = groups + list(order)
-    mid = F.col("_mid")
-    sliced = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_slice", F.shiftright(mid, _POS_BITS))
-              .withColumn("_pos", mid.bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
-              .checkpoint(eager=True))
-    gkeys = [f"_g{i}" for i in range(len(partition_by))]
-    counts = sliced.groupBy(F.col("_slice").alias("_cslice"),
-                            *[F.col(c).alias(g) for c, g in zip(partition_by, gkeys)]).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
-    w = Window.partitionBy(*gkeys).orderBy("_cslice")
+    keys = [asc(g) for g in partition_by] + list(order)
+    names = [f"_k{i}" for i in range(len(keys))]
+    base = df.select("*", *[k.col.alias(nm) for k, nm in zip(keys, names)])
+    kcols, dirs = [F.col(nm) for nm in names], [k.ascending for k in keys]
+    sort = [k.order(c) for k, c in zip(keys, kcols)]
+    # bounded sample of key tuples, sorted by Spark itself: the slice boundaries
+    sample = (base.select(*names).orderBy(F.rand(17)).limit(n * SAMPLE_PER_SLICE)
+              .orderBy(*sort).collect())
+    m = len(sample)
+    if m >= n:
+        bounds = [tuple(sample[(j * m) // n]) for j in range(1, n)]
+    else:
+        bounds = [tuple(r) for r in sample[1:]]
+    dedup: list[tuple] = []
+    for b in bounds:
+        if not dedup or dedup[-1] != b:
+            dedup.append(b)
+    sliced = base.withColumn("_slice", _slice_of(kcols, dirs, dedup))
+    gnames = [names[i] for i in range(len(partition_by))]
+    counts = sliced.groupBy("_slice", *gnames).agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*gnames).orderBy("_slice")
     counts = counts.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if size:
-        counts = counts.withColumn(size, F.sum("_cnt").over(Window.partitionBy(*gkeys)))
-    counts = counts.drop("_cnt")
+        counts = counts.withColumn(size, F.sum("_cnt").over(Window.partitionBy(*gnames)))
+    counts = counts.drop("_cnt").select(F.col("_slice").alias("_cslice"),
+                                        *[F.col(g).alias("_c" + g) for g in gnames], "_off",
+                                        *([size] if size else []))
     if not partition_by:
-        # at most num_slices rows: broadcast is bounded by construction
+        # at most one row per slice: a broadcast bounded by construction
         counts = F.broadcast(counts)
-    cond = [F.col("_slice") == F.col("_cslice")] + \
-           [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(partition_by, gkeys)]
-    out = sliced.join(counts, cond, "inner")
-    extra = [(F.col("_off") + F.col("_pos") - F.col("_first") + 1).alias(rn)]
+    local = Window.partitionBy("_slice", *gnames).orderBy(*sort[len(partition_by):])
+    numbered = sliced.withColumn("_local", F.row_number().over(local))
+    cond = [F.col("_slice") == F.col("_cslice")] + [F.col(g).eqNullSafe(F.col("_c" + g)) for g in gnames]
+    out = numbered.join(counts, cond, "inner")
+    extra = [(F.col("_off") + F.col("_local")).alias(rn)]
     if size:
         extra.append(F.col(size))
-    return out.select(*df.columns, *extra)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *extra)
 
 
 def ntile_of(rn: Column, size: Column, k: int) -> Column:
@@ -84,16 +139,16 @@ def ntile_of(rn: Column, size: Column, k: int) -> Column:
     return F.when(rn <= big, first).otherwise(rest)
 
 
-def ntile(df: DataFrame, k: int, order: Sequence[Column], partition_by: Sequence[str] = (),
+def ntile(df: DataFrame, k: int, order: Sequence[Key], partition_by: Sequence[str] = (),
           name: str = "ntile") -> DataFrame:
     numbered = row_numbers(df, order, partition_by, rn="_rn", size="_size")
     return numbered.withColumn(name, ntile_of(F.col("_rn"), F.col("_size"), k)).drop("_rn", "_size")
 
 
-def top_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
+def top_n(df: DataFrame, n: int, order: Sequence[Key]) -> DataFrame:
     """Global top-n: each task keeps its own n best rows, the driver merges them
     (TakeOrderedAndProject); ``order`` should end in a unique key."""
-    return df.orderBy(*order).limit(n)
+    return df.orderBy(*[o.order() for o in order]).limit(n)
 
 
 def mode_by_key(df: DataFrame, key: Sequence[str], label: str, weight: Column | None = None,
@@ -115,7 +170,7 @@ def mode_by_key(df: DataFrame, key: Sequence[str], label: str, weight: Column |
     return counted.withColumn("_rk", F.rank().over(w)).where(F.col("_rk") == 1).drop("_rk")
 
 
-def top_k_per_group(df: DataFrame, group: Sequence[str | Column], order: Sequence[Column], k: int,
+def top_k_per_group(df: DataFrame, group: Sequence[str | Column], order: Sequence[Key], k: int,
                     rn: str | None = None) -> DataFrame:
     """Rows with ROW_NUMBER() OVER (PARTITION BY group ORDER BY order) <= k.
 
@@ -126,7 +181,7 @@ def top_k_per_group(df: DataFrame, group: Sequence[str | Column], order: Sequenc
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     name = rn or "_rn"
     if 0 < k <= limit:
-        w = Window.partitionBy(*group).orderBy(*order)
+        w = Window.partitionBy(*group).orderBy(*[o.order() for o in order])
         out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
     else:
         cols = []

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.semantics import seeded_key
-from storelens.operators.ranking import row_numbers, top_k_per_group
+from storelens.operators.ranking import Key, asc, row_numbers, top_k_per_group
 
 HASH_DIGITS = 6  # hex digits of the digest used as a uniform number
 
@@ -32,14 +32,14 @@ def hash_sample(df: DataFrame, key: str | Column, pct: float, seed: str) -> Data
     return df if t is None else df.where(F.substring(seeded_key(seed, key), 1, HASH_DIGITS) < F.lit(t))
 
 
-def top_percent(df: DataFrame, pct: float, order: Sequence[Column]) -> DataFrame:
+def top_percent(df: DataFrame, pct: float, order: Sequence[Key]) -> DataFrame:
     """TOP p PERCENT in ``order``: the first ceil(N * p / 100) rows (distributed numbering)."""
     numbered = row_numbers(df, order, rn="_rn", size="_n")
     keep = F.col("_rn") <= F.ceil(F.col("_n") * F.lit(pct) / F.lit(100.0))
     return numbered.where(keep).drop("_rn", "_n")
 
 
-def every_kth(df: DataFrame, order: Sequence[Column], keep: Column, rn: str = "row_number") -> DataFrame:
+def every_kth(df: DataFrame, order: Sequence[Key], keep: Column, rn: str = "row_number") -> DataFrame:
     """Rows whose global row number (in ``order``) satisfies ``keep``
     (an expression over the column ``rn``)."""
     return row_numbers(df, order, rn=rn).where(keep)
@@ -48,4 +48,4 @@ def every_kth(df: DataFrame, order: Sequence[Column], keep: Column, rn: str = "r
 def balanced_sample(df: DataFrame, cls: str | Column, k: int, seed: str, key: str) -> DataFrame:
     """At most ``k`` rows per class, in seeded random order; no class is ever
     sorted whole in one task (see ``ranking.top_k_per_group``)."""
-    return top_k_per_group(df, [cls], [seeded_key(seed, key).asc(), F.col(key).asc()], k)
+    return top_k_per_group(df, [cls], [asc(seeded_key(seed, key)), asc(key)], k)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions import moments
 from storelens.functions.semantics import as_long, day_diff, in_years, int_avg, safe_ratio
-from storelens.operators.ranking import top_n
+from storelens.operators.ranking import asc, desc, top_n
 from storelens.operators.spatial import within_of_point
 from storelens.sources.tables import Tables
 
@@ -38,7 +38,7 @@ def count_orders_with_delay(t: Tables, days: int = 10) -> DataFrame:
 def top_products(t: Tables, n: int = 10) -> DataFrame:
     units = t.order_lines.groupBy(F.col("ProductId").alias("product_id")).agg(
         as_long(F.sum("NumUnits")).alias("total_units"))
-    return top_n(units, n, [F.desc("total_units"), F.asc("product_id")])
+    return top_n(units, n, [desc("total_units"), asc("product_id")])
 
 
 def areas_other_language(t: Tables, limit: float = 0.66) -> DataFrame:
@@ -52,7 +52,7 @@ def areas_other_language(t: Tables, limit: float = 0.66) -> DataFrame:
 
 def areas_closest_in_size(t: Tables, area: float = 0.0, n: int = 10) -> DataFrame:
     z = t.zip_census.select("Stab", "County", "AreaSQMI", "zcta5")
-    best = top_n(z, n, [F.abs(F.col("AreaSQMI") - F.lit(float(area))).asc(), F.asc("zcta5")])
+    best = top_n(z, n, [asc(F.abs(F.col("AreaSQMI") - F.lit(float(area)))), asc("zcta5")])
     return (best.orderBy("AreaSQMI", "zcta5")
             .select(F.col("Stab").alias("stab"), F.col("County").alias("county"), F.col("AreaSQMI").alias("area_sqmi")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from storelens.functions.semantics import as_long, in_years, is_weekend, money_avg, safe_ratio, seeded_key
 from storelens.operators import sampling
 from storelens.operators.joins import broadcast_if_small
-from storelens.operators.ranking import ntile
+from storelens.operators.ranking import asc, desc, ntile
 from storelens.sources.tables import Tables
 
 DEFAULT_SEED = "42"
@@ -24,7 +24,7 @@ def _product_cols():
 def sample_top_percent(t: Tables, pct: float = 10.0, seed: str = DEFAULT_SEED) -> DataFrame:
     c = t.campaigns.select(seeded_key(seed, "CampaignId").alias("guid"), F.col("CampaignId").alias("campaign_id"),
                            F.col("Channel").alias("channel"), F.col("Discount").alias("discount"))
-    return sampling.top_percent(c, pct, [F.asc("guid"), F.asc("campaign_id")]).orderBy("guid", "campaign_id")
+    return sampling.top_percent(c, pct, [asc("guid"), asc("campaign_id")]).orderBy("guid", "campaign_id")
 
 
 def sample_hash_percent(t: Tables, pct: float = 10.0, seed: str = DEFAULT_SEED) -> DataFrame:
@@ -33,7 +33,7 @@ def sample_hash_percent(t: Tables, pct: float = 10.0, seed: str = DEFAULT_SEED)
 
 def sample_repeated(t: Tables, mult: int = 79, add: int = 19, pct: int = 10) -> DataFrame:
     rn = F.col("row_number")
-    out = sampling.every_kth(t.products.select(*_product_cols()), [F.asc("product_id")],
+    out = sampling.every_kth(t.products.select(*_product_cols()), [asc("product_id")],
                              (rn * mult + add) % 100 < pct)
     return out.select(as_long("row_number").alias("row_number"), "product_id", "group_name", "is_in_stock",
                       "full_price")
@@ -47,7 +47,7 @@ def group_share(t: Tables) -> DataFrame:
 
 
 def sample_stratified(t: Tables, step: int = 100, offset: int = 3) -> DataFrame:
-    out = sampling.every_kth(t.products.select(*_product_cols()), [F.asc("group_name"), F.asc("product_id")],
+    out = sampling.every_kth(t.products.select(*_product_cols()), [asc("group_name"), asc("product_id")],
                              F.col("row_number") % step == offset)
     return (out.select(as_long("row_number").alias("row_number"), "product_id", "group_name", "is_in_stock",
                        "full_price").orderBy("group_name", "row_number"))
@@ -125,7 +125,7 @@ def value_model(t: Tables, dims: Sequence[str] = ("State",), model_year: int = 2
 def value_chart(t: Tables, dims: Sequence[str] = ("Channel", "PaymentType"), buckets: int = 10,
                 model_year: int = 2014, score_year: int = 2015, gender: str = "F") -> DataFrame:
     s = scored_orders(t, dims, model_year, score_year, gender)
-    tiled = ntile(s, buckets, [F.desc("model"), F.asc("OrderId")], name="decile")
+    tiled = ntile(s, buckets, [desc("model"), asc("OrderId")], name="decile")
     return (tiled.groupBy(as_long("decile").alias("decile"))
             .agg(F.round(F.avg("model"), 6).alias("avg_model"), money_avg("score").alias("avg_score"))
             .orderBy("decile"))

@@ -18,7 +18,7 @@ from storelens.functions import moments
 from storelens.functions.semantics import MONEY_SUM, as_long, in_years, money_avg, money_sum, month_abbr
 from storelens.operators.joins import broadcast_if_small
 from storelens.operators.percentiles import exact_percentiles
-from storelens.operators.ranking import ntile, top_k_per_group
+from storelens.operators.ranking import asc, desc, ntile, top_k_per_group
 from storelens.sources.tables import Tables
 
 
@@ -46,7 +46,7 @@ def county_rank_variants(t: Tables, state: str = "AL") -> DataFrame:
 def price_quartiles(t: Tables, group: str = "GAME", tiles: int = 4) -> DataFrame:
     p = (t.products.where((F.col("GroupName") == group) & (F.col("IsInStock") == "Y"))
          .select(F.col("ProductId").alias("product_id"), F.col("FullPrice").alias("full_price")))
-    q = ntile(p, tiles, [F.desc("full_price"), F.asc("product_id")], name="quartile")
+    q = ntile(p, tiles, [desc("full_price"), asc("product_id")], name="quartile")
     return q.select("product_id", "full_price", as_long("quartile").alias("quartile"))
 
 
@@ -55,7 +55,7 @@ def top_decile_customers(t: Tables, state: str = "AL", years: Sequence[int] = (2
     o = t.orders.where((F.col("State") == state) & (F.col("CustomerId") != 0) & in_years("OrderDate", years))
     per_year = (o.groupBy(as_long(F.year("OrderDate")).alias("year_order"), F.col("CustomerId").alias("customer"))
                 .agg(money_sum("TotalPrice").alias("total_price")))
-    tiled = ntile(per_year, tiles, [F.desc("total_price"), F.asc("customer")], partition_by=["year_order"],
+    tiled = ntile(per_year, tiles, [desc("total_price"), asc("customer")], partition_by=["year_order"],
                   name="group10")
     return (tiled.where(F.col("group10") == 1)
             .select("year_order", "customer", "total_price").orderBy("year_order", "customer"))
@@ -114,7 +114,7 @@ def best_sellers_prev_next(t: Tables, k: int = 10, exclude: Sequence[str] = ("#N
     w = Window.partitionBy("group_name").orderBy(F.desc("sum_price"), "product_id")
     # top k per group without sorting a whole group in one task; LAG/LEAD then
     # run over the k kept rows per group only
-    top = top_k_per_group(sales, ["group_name"], [F.desc("sum_price"), F.asc("product_id")], k)
+    top = top_k_per_group(sales, ["group_name"], [desc("sum_price"), asc("product_id")], k)
     return (top.select("group_name", "product_id", "sum_price",
                        F.lag("sum_price").over(w).alias("prev_price"),
                        F.lead("sum_price").over(w).alias("next_price"))

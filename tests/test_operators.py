@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from storelens.functions import geo, moments
 from storelens.functions.semantics import int_avg, is_blank_len, price_band, safe_ratio, year_diff
 from storelens.operators.percentiles import exact_percentiles
-from storelens.operators.ranking import mode_by_key, ntile, row_numbers
+from storelens.operators.ranking import asc, desc, mode_by_key, ntile, row_numbers
 from storelens.operators.sampling import balanced_sample, hash_sample, hash_threshold
 from storelens.operators.spatial import pairs_within
 from storelens.plans.quality import not_in
@@ -27,12 +27,12 @@ def test_row_numbers_equal_window(spark, slices):
     rnd = random.Random(slices)
     data = [(i, rnd.choice(["a", "b", None]), rnd.randint(0, 5)) for i in range(300)]
     df = spark.createDataFrame(data, "id long, g string, v long")
-    order = [F.desc("v"), F.asc("id")]
+    order = [desc("v"), asc("id")]
     got = row_numbers(df, order, num_slices=slices)
-    want = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
+    want = df.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("v"), F.asc("id"))))
     assert _rows(got, "id", "rn") == _rows(want, "id", "rn")
     got = row_numbers(df, order, partition_by=["g"], size="n", num_slices=slices)
-    w = Window.partitionBy("g").orderBy(*order)
+    w = Window.partitionBy("g").orderBy(F.desc("v"), F.asc("id"))
     want = (df.withColumn("rn", F.row_number().over(w))
             .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))))
     assert _rows(got, "id", "rn", "n") == _rows(want, "id", "rn", "n")
@@ -41,7 +41,7 @@ def test_row_numbers_equal_window(spark, slices):
 @pytest.mark.parametrize("k,n", [(4, 3), (4, 17), (10, 100), (10, 7), (3, 1)])
 def test_ntile_equals_window(spark, k, n):
     df = spark.createDataFrame([(i, i % 5) for i in range(n)], "id long, v long")
-    got = ntile(df, k, [F.desc("v"), F.asc("id")], name="t")
+    got = ntile(df, k, [desc("v"), asc("id")], name="t")
     want = df.withColumn("t", F.ntile(k).over(Window.orderBy(F.desc("v"), F.asc("id"))))
     assert _rows(got, "id", "t") == _rows(want, "id", "t")
     sizes = [r[0] for r in got.groupBy("t").count().select("count").collect()]
@@ -168,7 +168,7 @@ def test_top_k_per_group_both_paths(spark, k):
     from storelens.operators.ranking import top_k_per_group
     rnd = random.Random(k)
     df = spark.createDataFrame([(i, rnd.choice("abc"), rnd.randint(0, 9)) for i in range(200)], "id long, g string, v long")
-    order = [F.desc("v"), F.asc("id")]
+    order = [desc("v"), asc("id")]
     want = _rows(top_k_per_group(df, ["g"], order, k), "id")
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1")
     try:
