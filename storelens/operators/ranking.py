@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_SLICE = 20
-MAX_SLICES = 512
+SLICES_PER_PARTITION = 4  # slice ids are hash-partitioned: several per partition even out task sizes
+MAX_SLICES = 1024
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ def desc(c: str | Column) -> Key:
 
 def _slices(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(n, MAX_SLICES))
+    return max(1, min(n * SLICES_PER_PARTITION, MAX_SLICES))
 
 
 def _after_or_at(keys: list[Column], dirs: list[bool], b: tuple) -> Column:
