@@ -30,8 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_SLICE = 20
-SLICES_PER_PARTITION = 4  # slice ids are hash-partitioned: several per partition even out task sizes
-MAX_SLICES = 1024
+SLICES_PER_PARTITION = 1
+# boundaries are plan literals in a CASE tree: the cap keeps the generated code
+# small (search depth 8) while a slice stays about 1/256 of the input
+MAX_SLICES = 256
 
 
 @dataclass(frozen=True)
