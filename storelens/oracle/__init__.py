@@ -6,10 +6,11 @@ import functools
 import glob
 import os
 
-from storelens.oracle import script1, script2, script3, script4, script5, script6, script7, script8, script9
+from storelens.oracle import (classify, conditionals, location, parameterised, probability, quality, sampling,
+                              summaries, windows)
 from storelens.oracle.views import with_views
 
-_MODULES = (script1, script2, script3, script4, script5, script6, script7, script8, script9)
+_MODULES = (summaries, conditionals, quality, windows, location, parameterised, probability, sampling, classify)
 _RAW = ("orders", "lineitem", "part", "customer")
 _SCHEMA_DIRS = ("/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1")
 

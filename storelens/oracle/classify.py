@@ -1,4 +1,4 @@
-"""DuckDB oracle texts for classification models and signatures (script 9)."""
+"""DuckDB oracle texts for classification models and signatures."""
 
 _H = "CASE WHEN {p} > 250000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
 

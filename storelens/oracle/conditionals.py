@@ -1,4 +1,4 @@
-"""DuckDB oracle texts for conditionals and pivots (script 2)."""
+"""DuckDB oracle texts for conditionals and pivots."""
 
 SQL = {
     "gender_flags": """

@@ -1,4 +1,4 @@
-"""DuckDB oracle texts for probabilities and odds (script 7)."""
+"""DuckDB oracle texts for probabilities and odds."""
 
 
 def _odds(hit: str, base: str) -> str:

@@ -1,4 +1,4 @@
-"""DuckDB oracle texts for referential checks and repairs (script 3).
+"""DuckDB oracle texts for referential checks and repairs.
 
 The repairs are sequential, so later texts restate the earlier repairs as CTEs.
 """

@@ -1,4 +1,4 @@
-"""DuckDB oracle texts for sampling and value models (script 8)."""
+"""DuckDB oracle texts for sampling and value models."""
 
 from storelens.operators.sampling import hash_threshold
 

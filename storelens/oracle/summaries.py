@@ -1,4 +1,4 @@
-"""DuckDB oracle texts for the summaries (script 1)."""
+"""DuckDB oracle texts for the summaries."""
 
 SQL = {
     "population_by_state": """

@@ -1,4 +1,4 @@
-"""DuckDB oracle texts for window functions (script 4)."""
+"""DuckDB oracle texts for window functions."""
 
 
 def _var(x: str, denom: str) -> str:

@@ -1,4 +1,4 @@
-"""Naive Bayes, lookup models and state signatures (reference script 9)."""
+"""Naive Bayes, lookup models and state signatures."""
 
 from __future__ import annotations
 

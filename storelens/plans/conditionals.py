@@ -1,4 +1,4 @@
-"""Conditional logic and pivots (reference script 2)."""
+"""Conditional logic and pivots."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Location, distance and map placemarks (reference script 5)."""
+"""Location, distance and map placemarks."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Parameterised table and scalar functions (reference script 6).
+"""Parameterised table and scalar functions.
 
 Each function composes plan nodes, so a caller's filters and projections are
 optimised together with the function body (the reference's inline functions

@@ -1,4 +1,4 @@
-"""Probabilities and odds (reference script 7).
+"""Probabilities and odds.
 
 Shares are computed from one grouped aggregate: the denominator is the sum of
 the group counts over an unpartitioned window of that (bounded, already

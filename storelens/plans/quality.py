@@ -1,4 +1,4 @@
-"""Referential checks and repairs (reference script 3).
+"""Referential checks and repairs.
 
 The reference deletes orphans in place, one relation after the other; here a
 repair returns the corrected relation and the next check reads it, so the

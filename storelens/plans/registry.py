@@ -31,7 +31,7 @@ _MODEL = {"model_year": 1999, "score_year": 2000, "gender": "F"}
 _CUTOFF = dt.date(2000, 1, 1)
 
 ENTRIES: dict[str, Entry] = {
-    # script 1 - summaries, joins, CTEs
+    # summaries, joins, CTEs
     "population_by_state": (s1.population_by_state, {}),
     "foreign_born_by_county": (s1.foreign_born_by_county, {}),
     "avg_price_by_group": (s1.avg_price_by_group, {"min_avg": 949.0}),
@@ -47,7 +47,7 @@ ENTRIES: dict[str, Entry] = {
     "avg_state_population": (s1.avg_state_population, {}),
     "max_order_by_customer": (s1.max_order_by_customer, {}),
     "orders_by_month_name": (s1.orders_by_month_name, {}),
-    # script 2 - conditionals and pivots
+    # conditionals and pivots
     "gender_flags": (s2.gender_flags, {}),
     "gender_percentages": (s2.gender_percentages, {}),
     "sales_by_payment_label": (s2.sales_by_payment_label, {}),
@@ -61,7 +61,7 @@ ENTRIES: dict[str, Entry] = {
                                  {"max_id": 10000, "as_of": dt.date(2001, 12, 31)}),
     "first_year_performance": (s2.first_year_performance, {"years": (1997, 1998, 1999, 2000)}),
     "avg_price_state_payment_pivot": (s2.avg_price_state_payment_pivot, {}),
-    # script 4 - windows
+    # windows
     "state_population_rank": (s4.state_population_rank, {}),
     "county_rank_variants": (s4.county_rank_variants, {"state": "S04"}),
     "price_quartiles": (s4.price_quartiles, {"group": "LARGE"}),
@@ -73,7 +73,7 @@ ENTRIES: dict[str, Entry] = {
     "best_sellers_prev_next": (s4.best_sellers_prev_next, {"k": 10, "exclude": ("#N/A", "PROMO")}),
     "county_population_distribution": (s4.county_population_distribution, {"states": ("S05", "S03")}),
     "median_order_by_month": (s4.median_order_by_month, {}),
-    # script 3 - referential checks and repairs
+    # referential checks and repairs
     "zip_keys_unmatched": (s3.zip_keys_unmatched, {}),
     "zip_county_orphans": (s3.zip_county_orphans, {}),
     "zip_county_repaired": (s3.zip_county_repaired, {}),
@@ -85,7 +85,7 @@ ENTRIES: dict[str, Entry] = {
     "order_lines_repaired": (s3.order_lines_repaired, {}),
     "orders_unknown_customer": (s3.orders_unknown_customer, {}),
     "customers_with_placeholder": (s3.customers_with_placeholder, {}),
-    # script 7 - probabilities and odds
+    # probabilities and odds
     "odds_payment_oc": (s7.odds_payment, {"types": ("OC",)}),
     "odds_payment_oc_mc": (s7.odds_payment, {"types": ("OC", "MC")}),
     "odds_payment_db": (s7.odds_payment, {"types": ("DB",), "base": ("DB", "MC", "VI", "AE")}),
@@ -99,7 +99,7 @@ ENTRIES: dict[str, Entry] = {
     "share_by_price_band": (s7.share_by_price_band, {"edges": (0, 10000, 50000, 100000, 400000)}),
     "foreign_born_share": (s7.foreign_born_share, {"zips": ("000001", "000002", "000003")}),
     "age_shares": (s7.age_shares, {"state": "S06"}),
-    # script 5 - location
+    # location
     "areas_million_homes": (s5.areas_million_homes, {}),
     "areas_with_orders": (s5.areas_with_orders, {}),
     "foreign_born_split": (s5.foreign_born_split, {}),
@@ -114,7 +114,7 @@ ENTRIES: dict[str, Entry] = {
     "distance_to_state_reference_ellipsoid": (s5.distance_to_state_reference, {"metric": "ellipsoid"}),
     "areas_within_of_most_populated_sphere": (s5.areas_within_of_most_populated, {"metric": "sphere"}),
     "areas_within_of_most_populated_ellipsoid": (s5.areas_within_of_most_populated, {"metric": "ellipsoid"}),
-    # script 6 - parameterised functions, two calls each as in the reference
+    # parameterised functions, two calls each as in the reference
     "orders_with_delay": (s6.orders_with_delay, {"days": 10}),
     "orders_with_delay_2": (s6.orders_with_delay, {"days": 100}),
     "count_orders_with_delay": (s6.count_orders_with_delay, {"days": 10}),
@@ -137,7 +137,7 @@ ENTRIES: dict[str, Entry] = {
     "state_info_2": (s6.state_info, {"state": "S08"}),
     "customers_per_month": (s6.customers_per_month, {"year": 1996}),
     "customers_per_month_2": (s6.customers_per_month, {"year": 1997}),
-    # script 8 - sampling and value models
+    # sampling and value models
     "sample_top_percent": (s8.sample_top_percent, {"pct": 10.0, "seed": "42"}),
     "sample_hash_percent": (s8.sample_hash_percent, {"pct": 10.0, "seed": "42"}),
     "sample_repeated": (s8.sample_repeated, {"mult": 79, "add": 19, "pct": 10}),
@@ -153,7 +153,7 @@ ENTRIES: dict[str, Entry] = {
     "value_model_channel_payment": (s8.value_model, {"dims": ("Channel", "PaymentType"), **_MODEL}),
     "avg_price_all_years": (s8.avg_price_all_years, {"gender": "F"}),
     "value_chart": (s8.value_chart, {"dims": ("Channel", "PaymentType"), "buckets": 10, **_MODEL}),
-    # script 9 - classification models and state signatures
+    # classification models and state signatures
     "high_order_probability": (s9.high_order_probability, {"year": 1999, "limit": 250000.0}),
     "naive_bayes": (s9.naive_bayes, {"year": 1999, "limit": 250000.0}),
     "lookup_product_dow": (s9.lookup_product_dow, {"split": _CUTOFF}),

@@ -1,4 +1,4 @@
-"""Sampling and average-value models (reference script 8)."""
+"""Sampling and average-value models."""
 
 from __future__ import annotations
 

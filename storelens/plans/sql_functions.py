@@ -1,4 +1,4 @@
-"""The parameterised functions of script 6 as Spark SQL functions.
+"""The parameterised functions as Spark SQL functions.
 
 ``register_functions(t)`` registers the nine relations as views (reference
 names) and the functions as temporary SQL functions, so that reference-style

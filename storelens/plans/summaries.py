@@ -1,4 +1,4 @@
-"""Summaries, joins and CTEs (reference script 1)."""
+"""Summaries, joins and CTEs."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Window functions (reference script 4).
+"""Window functions.
 
 Windows over aggregated, bounded domains (states, counties, months, rate
 plans) use Spark's window operator directly.  Row-level numbering over data
