@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.semantics import as_long, dow_int, in_years, is_weekend, money_avg, money_sum, safe_ratio
+from storelens.functions.semantics import MONEY_SUM, as_long, dow_int, in_years, is_weekend, safe_ratio
 from storelens.operators.ranking import mode_by_key
 from storelens.sources.tables import Tables
 
@@ -115,11 +115,17 @@ def state_top_group(t: Tables, cutoff: dt.date = dt.date(2016, 1, 1)) -> DataFra
 
 
 def state_orders(t: Tables, cutoff: dt.date = dt.date(2016, 1, 1)) -> DataFrame:
-    o = t.orders.where(F.col("OrderDate") < F.lit(cutoff)).select("OrderId", "CustomerId", "State", "TotalPrice")
+    # orders are summed per (state, customer) before the join with customers:
+    # the join input shrinks and the anonymous customer 0 is one row per state
+    o = t.orders.where(F.col("OrderDate") < F.lit(cutoff))
+    per_cust = o.groupBy("State", "CustomerId").agg(
+        F.count("OrderId").alias("_n"), F.sum("TotalPrice").alias("_s"), F.count("TotalPrice").alias("_np"))
     c = t.dimension("customers", "CustomerId", "HouseholdId")
-    return (o.join(c, "CustomerId").groupBy(F.col("State").alias("state"))
-            .agg(F.count("OrderId").alias("n_orders"), money_sum("TotalPrice").alias("total_price"),
-                 money_avg("TotalPrice").alias("avg_price"), F.count("HouseholdId").alias("n_household_ids")))
+    j = per_cust.join(c, "CustomerId")
+    return (j.groupBy(F.col("State").alias("state"))
+            .agg(F.sum("_n").alias("n_orders"), F.sum("_s").cast(MONEY_SUM).alias("total_price"),
+                 F.round(F.sum("_s").cast("double") / F.sum("_np"), 6).alias("avg_price"),
+                 F.sum(F.when(F.col("HouseholdId").isNotNull(), F.col("_n")).otherwise(0)).alias("n_household_ids")))
 
 
 def state_signature(t: Tables, cutoff: dt.date = dt.date(2016, 1, 1)) -> DataFrame:
