@@ -143,7 +143,7 @@ def _reference_areas(t: Tables) -> DataFrame:
     groupBy-max then a join on (state, max): the per-state maxima are one row
     per state, so no state's areas are ever gathered in one task."""
     z = t.zip_census
-    mx = z.groupBy(F.col("Stab").alias("_mstab")).agg(F.max("FBEurope").alias("_max"))
+    mx = broadcast_if_small(z.groupBy(F.col("Stab").alias("_mstab")).agg(F.max("FBEurope").alias("_max")))
     return z.join(mx, (z.Stab == mx._mstab) & (z.FBEurope == mx._max)).select(
         z.Stab.alias("ref_stab"), z.zcta5.alias("ref_zcta5"), z.County.alias("ref_county"),
         z.ZIPName.alias("ref_zip_name"), z.Latitude.alias("_rlat"), z.Longitude.alias("_rlon"))
@@ -151,7 +151,9 @@ def _reference_areas(t: Tables) -> DataFrame:
 
 def distance_to_state_reference(t: Tables, metric: str = "sphere") -> DataFrame:
     z = t.zip_census.select("Stab", "zcta5", "County", "ZIPName", "Latitude", "Longitude")
-    ref = _reference_areas(t)
+    # a few rows per state (ties kept): measured, then broadcast, so the census
+    # is never shuffled on its 25-odd state keys
+    ref = broadcast_if_small(_reference_areas(t))
     j = z.join(ref, z.Stab == ref.ref_stab, "left")
     d = F.round(distance_miles(metric, F.col("Latitude"), F.col("Longitude"), F.col("_rlat"), F.col("_rlon")), 3)
     if metric == "sphere":
