@@ -93,13 +93,9 @@ def avg_price_all_years(t: Tables, gender: str = "F") -> DataFrame:
             .agg(money_avg("TotalPrice").alias("average_total_price")).orderBy("year"))
 
 
-def scored_orders(t: Tables, dims: Sequence[str], model_year: int = 2014, score_year: int = 2015,
-                  gender: str = "F") -> DataFrame:
-    """Score-year orders with the model-year average of their dimension cell
-    (``model``), falling back to the overall model-year average.
+def _model_parts(t: Tables, dims: Sequence[str], model_year: int, score_year: int, gender: str):
+    """(score rows, model cells, fallback scalar) of the average-value model.
 
-    The model is one row per dimension cell and the fallback a scalar
-    subquery, so the score set meets the model in one equi join.
     Orders without a campaign are not scored when a dimension is the channel
     (inner join, as in the reference)."""
     data = _gender_orders(t, gender).where(in_years("OrderDate", [model_year, score_year]))
@@ -111,6 +107,15 @@ def scored_orders(t: Tables, dims: Sequence[str], model_year: int = 2014, score_
         score, model_rows = score.join(camp, "CampaignId"), model_rows.join(camp, "CampaignId")
     model = model_rows.groupBy(*dims).agg(
         (F.sum("TotalPrice").cast("double") / F.count("TotalPrice")).alias("_cell"))
+    # one row per dimension cell: measured, then broadcast
+    return score, broadcast_if_small(model), fallback
+
+
+def scored_orders(t: Tables, dims: Sequence[str], model_year: int = 2014, score_year: int = 2015,
+                  gender: str = "F") -> DataFrame:
+    """Score-year orders with the model-year average of their dimension cell
+    (``model``), falling back to the overall model-year average."""
+    score, model, fallback = _model_parts(t, dims, model_year, score_year, gender)
     scored = score.join(model, list(dims), "left")
     return scored.select("OrderId", F.col("TotalPrice").alias("score"),
                          F.coalesce(F.col("_cell"), fallback).alias("model"))
@@ -118,8 +123,19 @@ def scored_orders(t: Tables, dims: Sequence[str], model_year: int = 2014, score_
 
 def value_model(t: Tables, dims: Sequence[str] = ("State",), model_year: int = 2014, score_year: int = 2015,
                 gender: str = "F") -> DataFrame:
-    s = scored_orders(t, dims, model_year, score_year, gender)
-    return s.agg(money_avg("score").alias("avg_score"), F.round(F.avg("model"), 6).alias("avg_model"))
+    """Averages of the actual and the predicted score-year price.
+
+    Score rows are first summed per dimension cell (exact decimal sums and
+    counts), so only one row per cell meets the model; the averages are the
+    cell sums over the cell counts."""
+    score, model, fallback = _model_parts(t, dims, model_year, score_year, gender)
+    cells = score.groupBy(*dims).agg(F.sum("TotalPrice").alias("_ss"), F.count("TotalPrice").alias("_sn"),
+                                     F.count(F.lit(1)).alias("_rows"))
+    pred = F.coalesce(F.col("_cell"), fallback)
+    j = cells.join(model, list(dims), "left")
+    return j.agg(F.round(F.sum("_ss").cast("double") / F.sum("_sn"), 6).alias("avg_score"),
+                 F.round(F.sum(pred * F.col("_rows")) / F.sum(F.when(pred.isNotNull(), F.col("_rows"))), 6)
+                 .alias("avg_model"))
 
 
 def value_chart(t: Tables, dims: Sequence[str] = ("Channel", "PaymentType"), buckets: int = 10,
