@@ -54,13 +54,15 @@ def _customer_order_cols(c: DataFrame, o: DataFrame) -> list:
 
 
 def customer_orders(t: Tables) -> DataFrame:
-    c, o = t.customers, t.orders.select("OrderId", "CustomerId", "OrderDate")
+    c, o = t.dimension("customers"), t.orders.select("OrderId", "CustomerId", "OrderDate")
     return (c.join(o, c.CustomerId == o.CustomerId, "inner")
             .select(*_customer_order_cols(c, o)).orderBy("customer_id", "order_id"))
 
 
 def all_orders_with_customer(t: Tables) -> DataFrame:
-    c, o = t.customers, t.orders.select("OrderId", "CustomerId", "OrderDate")
+    # customers are the build side when they measure small (a right outer join
+    # can build on its left side), so orders keep their partitioning
+    c, o = t.dimension("customers"), t.orders.select("OrderId", "CustomerId", "OrderDate")
     return (c.join(o, c.CustomerId == o.CustomerId, "right")
             .select(*_customer_order_cols(c, o)).orderBy(F.asc_nulls_first("customer_id"), "order_id"))
 
