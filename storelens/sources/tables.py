@@ -23,6 +23,10 @@ RAW_TABLES = ("orders", "lineitem", "part", "customer")
 
 MONEY = "decimal(12,2)"
 
+# Row counts of dimension relations, per (application, folder, relation).  A
+# count only decides whether a join side is broadcast, never a result.
+_ROW_COUNTS: dict[tuple[str, str, str], int] = {}
+
 
 def load_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -43,7 +47,6 @@ class Tables:
     spark: SparkSession
     sf_dir: str
     _raw: dict = field(default_factory=dict, repr=False)
-    _rows: dict = field(default_factory=dict, repr=False)
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
@@ -53,12 +56,13 @@ class Tables:
     def dimension(self, name: str, *cols: str | Column) -> DataFrame:
         """A projection of a dimension relation for a join with a fact table,
         with a broadcast hint only if its measured size is under Spark's
-        broadcast threshold (one cached count per relation)."""
+        broadcast threshold (one count per relation and session)."""
         from storelens.operators.joins import broadcast_if_small
         base = getattr(self, name)
-        if name not in self._rows:
-            self._rows[name] = base.count()
-        return broadcast_if_small(base.select(*cols) if cols else base, rows=self._rows[name])
+        key = (self.spark.sparkContext.applicationId, self.sf_dir.rstrip("/"), name)
+        if key not in _ROW_COUNTS:
+            _ROW_COUNTS[key] = base.count()
+        return broadcast_if_small(base.select(*cols) if cols else base, rows=_ROW_COUNTS[key])
 
     @cached_property
     def orders(self) -> DataFrame:
