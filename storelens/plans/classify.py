@@ -61,10 +61,11 @@ def lookup_model(rows: DataFrame, key: str, label: str, date: str, split: dt.dat
                  values: Sequence, names: Sequence[str], predicted: str) -> DataFrame:
     """Most frequent label per key before ``split`` (prediction) and from it
     (actual); pivot of the number of keys per (predicted, actual)."""
-    before = rows.where(F.col(date) < F.lit(split))
-    after = rows.where(F.col(date) >= F.lit(split))
-    look = mode_by_key(before, [key], label).select(key, F.col(label).alias("_pred"))
-    act = mode_by_key(after, [key], label).select(key, F.col(label).alias("_act"))
+    # one pass for both periods: the period flag is part of the mode's key
+    flagged = rows.withColumn("_after", F.col(date) >= F.lit(split))
+    best = mode_by_key(flagged, [key, "_after"], label)
+    look = best.where(~F.col("_after")).select(key, F.col(label).alias("_pred"))
+    act = best.where(F.col("_after")).select(key, F.col(label).alias("_act"))
     counts = look.join(act, key).groupBy("_pred", "_act").agg(F.count(F.lit(1)).alias("_n"))
     pv = counts.groupBy("_pred").pivot("_act", list(values)).agg(F.max("_n"))
     return (pv.select(F.col("_pred").alias(predicted),
