@@ -40,10 +40,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", "over_limit")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storelens.llm.common import shared_folder
+    from storelens.llm.warc import read_warc, write_warc
+
+    path = f"{shared_folder(spark)}/archives"
+    write_warc(table(spark, sf_dir, "pages"), path, smallest_revisit=0)
+    refers = F.regexp_extract("refers_to", r"^<urn:page:(\d+)>$", 1)
+    return read_warc(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
+        F.when(F.col("kind") == "revisit", refers.cast("long")).alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_histogram_shards": op3_histogram_shards,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
+    "op9_warc": op9_warc,
 }
 
 ORACLES: dict[str, str] = {}
