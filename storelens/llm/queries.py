@@ -24,6 +24,18 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storelens.llm.toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storelens.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.bpe import with_digests
 
@@ -54,9 +66,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_histogram_shards": op3_histogram_shards,
+    "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
     "op9_warc": op9_warc,
+    "op10_quality_fm": op10_quality_fm,
 }
 
 ORACLES: dict[str, str] = {}
