@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storelens.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.sharding import histogram_shards
 
@@ -65,6 +71,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rp_forest": op1_rp_forest,
     "op3_histogram_shards": op3_histogram_shards,
     "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op6_bpe": op6_bpe,
