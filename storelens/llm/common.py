@@ -61,3 +61,8 @@ def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing} in {df.columns}")
+
+
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has at most ``rows`` rows; else the planner's choice."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -20,6 +20,12 @@ def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storelens.llm.decontam import contaminations
+
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=80)
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.sharding import histogram_shards
 
@@ -72,6 +78,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
+    "op2_decontamination": op2_decontamination,
     "op3_histogram_shards": op3_histogram_shards,
     "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op6_bpe": op6_bpe,
@@ -80,4 +87,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_fm": op10_quality_fm,
 }
 
-ORACLES: dict[str, str] = {}
+_SHINGLES = """
+SELECT DISTINCT id, text, s FROM (
+  SELECT id, text, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM (SELECT {id} AS id, text,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\\x20\\x09-\\x0D]+') AS w
+        FROM {table}))"""
+
+ORACLES: dict[str, str] = {
+    "op2_decontamination": f"""
+WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
+     b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+     n AS (SELECT id, text, count(*) AS n FROM b GROUP BY ALL),
+     m AS (SELECT d.id AS doc_id, b.id AS item_id, d.text AS dt, b.text AS bt, count(*) AS m
+           FROM d JOIN b ON d.s = b.s GROUP BY ALL)
+SELECT doc_id, item_id, n.n AS n_shingles, m AS n_shared, m / n.n AS containment
+FROM m JOIN n ON n.id = item_id AND n.text = bt
+WHERE 100 * m >= 80 * n.n""",
+}
