@@ -64,6 +64,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", "over_limit")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storelens.llm.partenum import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.common import shared_folder
     from storelens.llm.warc import read_warc, write_warc
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_warc": op9_warc,
     "op10_quality_fm": op10_quality_fm,
 }
