@@ -18,7 +18,8 @@ signature stays in both.  That is what keeps a passage that very many documents
 from pairing them.  A part is never empty, unlike in fixed partitions.
 
 **Copies and families.** Documents with equal sets are one class.  Within a signature
-every class is first held against one leader; components of those links are formed;
+every class is first held against one leader, the class whose signatures are shared
+most (the original of edited copies); components of those links are formed;
 then only pairs of classes in different components are held against each other.  So a
 family of near copies costs rows in proportion to its size.  A pair first has to pass
 a bound that never rejects a link (sizes, and differences of counts in CELLS cells),
@@ -201,11 +202,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     signed = rows.select("text").mapInArrow(_per_slice(_signed, schema), "signature long, class long, n int")
     # one exchange; a class comes at most once from a slice of texts, so copies do not pile up on a signature
     signed = signed.repartition("signature").dropDuplicates(["signature", "class"])
-    group = "over (partition by signature)"
-    met = signed.selectExpr("*", f"min(class) {group} as leader", f"count(1) {group} as often").filter("often > 1")
-    held = "sum(signature & 3) over (partition by class order by often desc, signature)"
-    met = met.withColumn("held", F.expr(held)).filter("held * 5 >= n").drop("held", "often")
-    met = stored(met, folder, "met")
+    group, own = "over (partition by signature)", "over (partition by class"
+    met = signed.selectExpr("*", f"count(1) {group} as often").filter("often > 1")
+    held = f"sum(signature & 3) {own} order by often desc, signature)"
+    met = met.selectExpr("*", f"{held} as held", f"sum(often) {own}) / n as weight").filter("held * 5 >= n").drop("held", "often")
+    # the leader is the class whose shingles the others share most: the original, if they are its edited copies
+    met = stored(met.selectExpr("signature", "class", "n", f"max(struct(weight, class)) {group}.class as leader"), folder, "met")
 
     # every class against the leader of its signatures
     stars = met.filter("class != leader").select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct()
