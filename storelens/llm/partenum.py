@@ -239,3 +239,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     found = whole.join(whole.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("class", "component_id")
     return (members.join(found, "class", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs`` (doc_id, text) with one document of each group of :func:`near_duplicates`, that of the
+    smallest doc_id.  Rows repeated with their doc_id are one document, all of whose rows
+    stay or go; rows without an id cannot be named as copies and stay."""
+    folder = shared_folder(docs.sparkSession)
+    found = stored(near_duplicates(docs, percent), folder, "groups")
+    gone = stored(found.filter("doc_id != component_id").select("doc_id").distinct(), folder, "gone")
+    return docs.join(broadcast_up_to(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
