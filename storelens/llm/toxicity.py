@@ -29,9 +29,9 @@ class Ftrl:
     """alpha, beta: per-coordinate rate alpha / (beta + sqrt(sum of squared gradients));
     l1, l2: regularisation; bits: log2 of the number of buckets; rows: bound of the sample."""
 
-    alpha: float = 0.6
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 3.0
     l2: float = 1.0
     bits: int = 20
     epochs: int = 3
