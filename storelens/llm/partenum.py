@@ -2,20 +2,22 @@
 
 **Signatures.** The 64-bit hash domain of shingles is partitioned, and partitions of
 partitions enumerated: a node is a dyadic range of the domain; a set whose part in a
-node has at most BAND = 3 elements (the small size band) has one signature there, the
+node has at most BAND elements (the small size band) has one signature there, the
 part itself; a larger part (the large band) is split into the node's two halves, both
 enumerated the same way.  Nothing else depends on the size of a set, so sets of
 equal or neighbouring sizes always meet.
 
 **Why no link is lost.** Let d be the symmetric difference of r and s and T = |r| + |s|;
 J >= 0.8 is d <= T / 9.  Over the nodes at which the enumeration of r or s ends and no
-signature is shared, the parts (a, b) differ by a share of at least 1/7 of a + b (that
-of 3 against 4; equal bands that differ have more).  So those nodes hold at most
-7 T / 9, and shared signatures hold at least T / 9 >= 0.2 |r| elements of r, and as
-many of s.  Hence a set may leave out its most frequent signatures, in an order common
-to all sets, as long as they hold less than 0.2 of its elements: the rarest shared
-signature stays in both.  That is what keeps a passage that very many documents share
-from pairing them.  A part is never empty, unlike in fixed partitions.
+signature is shared, the parts (a, b) differ by a share of at least 1 / (2 BAND + 1) of
+a + b (that of BAND against BAND + 1; equal bands that differ have more).  So those
+nodes hold at most (2 BAND + 1) d, and shared signatures hold at least the share
+KEPT = 0.9 - 0.1 (2 BAND + 1) of r's elements, and of s's: (T - (2 BAND + 1) T / 9) / 2
+with T >= 1.8 |r|.  Hence a set may leave out its most frequent signatures, in an order
+common to all sets, as long as they hold less than KEPT of its elements: the rarest
+shared signature stays in both.  That is what keeps a passage that very many documents
+share from pairing them.  A small band drops more but has more signatures.  A part is
+never empty, unlike in fixed partitions, so no signature is shared by default.
 
 **Copies and families.** Documents with equal sets are one class.  Within a signature
 every class is first held against one leader, the class whose signatures are shared
@@ -29,10 +31,11 @@ then the exact sets decide.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm.common import broadcast_up_to, require, shared_folder, stored
@@ -40,10 +43,18 @@ from storelens.llm.components import components
 from storelens.llm.wordhash import U64, WordHasher, between_spaces, byte_slices, distinct, grams, mix
 
 WIDTH = 5
-BAND = 3
+BAND = 2
+#: KEPT in tenths.
+KEPT = 9 - (2 * BAND + 1)
 CELLS = 64
+#: Cells of the coarse counts that the join itself compares, packed into two longs.
+FOLDED = 16
 SLICE_BYTES = 4 << 20
+#: Rows of keys, or of narrow class and label tables, that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_CLASSES = 200_000
+#: Signatures before the one at hand that are looked at so as to find a pair only once.
+BEFORE = 32
 
 
 def shingle_sets(hasher: WordHasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +123,10 @@ def _sketches(hasher, texts, batch):
     key, at = shingle_sets(hasher, texts)
     row = np.repeat(np.arange(len(texts)), np.diff(at))
     cells = np.bincount(row * CELLS + (key & U64(CELLS - 1)).astype("int64"), minlength=CELLS * len(texts))
-    cells = np.minimum(cells, 255).astype("u1").reshape(len(texts), CELLS)
-    return batch.column(1), batch.column(2), np.diff(at), class_ids(key, at), [c.tobytes() for c in cells]
+    cells = cells.reshape(len(texts), CELLS)
+    folded = np.minimum(cells.reshape(len(texts), FOLDED, -1).sum(axis=2), 255).astype("u1").view("int64")
+    cells = np.minimum(cells, 255).astype("u1")
+    return batch.column(1), batch.column(2), np.diff(at), class_ids(key, at), [c.tobytes() for c in cells], folded[:, 0].copy(), folded[:, 1].copy()
 
 
 def _first_of_class(key: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -152,7 +165,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         x, y = (np.frombuffer(b"".join(v.to_pylist()), "u1").reshape(-1, CELLS).astype("i2") for v in (a, b))
         return pa.array(np.abs(x - y).sum(axis=1, dtype="i8"))
 
-    side = classes.select("class", "n", "cells")
+    side = broadcast_up_to(classes.select("class", "n", "cells"), BROADCAST_CLASSES)
     pairs = pairs.join(side.toDF("a", "na", "ca"), "a").join(side.toDF("b", "nb", "cb"), "b")
     pairs = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     # with d the symmetric difference: |r & s| / |r | s| = (T - d) / (T + d)
@@ -160,6 +173,14 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(F.col("d") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
 
+def _folded_difference(side: str) -> Column:
+    """What the eight counts packed in a long differ by: never more than the sets do."""
+    def count(of: str, i: int) -> Column:
+        return F.shiftrightunsigned(F.col(f"{of}.{side}"), 8 * i).bitwiseAND(F.lit(255))
+
+    return reduce(lambda x, y: x + y, [F.abs(count("one", i) - count("two", i)) for i in range(8)])
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     @F.arrow_udf("boolean")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -192,10 +213,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_key"))
 
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("cells", pa.binary())])
-    sketched = rows.mapInArrow(_per_slice(_sketches, schema), "doc_id long, text_key long, n int, class long, cells binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("cells", pa.binary()),
+                        ("low", pa.int64()), ("high", pa.int64())])
+    sketched = rows.mapInArrow(_per_slice(_sketches, schema), "doc_id long, text_key long, n int, class long, cells binary, low long, high long")
     members = stored(sketched, folder, "members")
-    classes = stored(members.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("cells").alias("cells"),
+    classes = stored(members.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("low").alias("low"), F.first("high").alias("high"),
                                                                 F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")), folder, "classes")
 
     schema = pa.schema([("signature", pa.int64()), ("class", pa.int64()), ("n", pa.int32())])
@@ -205,7 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     group, own = "over (partition by signature)", "over (partition by class"
     met = signed.selectExpr("*", f"count(1) {group} as often").filter("often > 1")
     held = f"sum(signature & 3) {own} order by often desc, signature)"
-    met = met.selectExpr("*", f"{held} as held", f"sum(often) {own}) / n as weight").filter("held * 5 >= n").drop("held", "often")
+    met = met.selectExpr("*", f"{held} as held", f"sum(often) {own}) / n as weight").filter(f"held * 10 >= n * {KEPT}").drop("held", "often")
     # the leader is the class whose shingles the others share most: the original, if they are its edited copies
     met = stored(met.selectExpr("signature", "class", "n", f"max(struct(weight, class)) {group}.class as leader"), folder, "met")
 
@@ -214,9 +236,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     stars = stored(_possible(stars, classes, percent), folder, "stars")
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), folder, f"{name}_classes")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class"))
         ids, kind = pa.schema([("class", pa.int64()), ("items", pa.binary())]), "class long, items binary"
-        keys = stored(classes.join(broadcast_up_to(wanted, BROADCAST_ROWS), "class", "left_semi").select("text_key").distinct(), folder, f"{name}_keys")
+        keys = stored(classes.join(wanted, "class", "left_semi").select("text_key").distinct(), folder, f"{name}_keys")
         texts = rows.join(broadcast_up_to(keys, BROADCAST_ROWS), "text_key", "left_semi")
         return stored(texts.select("text").mapInArrow(_per_slice(_exact, ids), kind).dropDuplicates(["class"]), folder, name)
 
@@ -224,18 +246,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     labels = components(links, folder, "star")
 
     # then the pairs of a signature that are still in different components
-    apart = met.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    apart = apart.selectExpr("*", f"min(label) {group} as low", f"max(label) {group} as high").filter("low < high").drop("low", "high")
-    apart = stored(apart, folder, "apart")
-    one, two = apart.filter("class != leader").alias("one"), apart.filter("class != leader").alias("two")
+    small = broadcast_up_to(labels.toDF("class", "label"), BROADCAST_CLASSES)
+    apart = met.join(small, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    apart = apart.selectExpr("*", f"min(label) {group} as l0", f"max(label) {group} as l1").filter("l0 < l1 and class != leader").drop("l0", "l1", "leader")
+    apart = apart.join(broadcast_up_to(classes.select("class", "low", "high"), BROADCAST_CLASSES), "class")
+    before = f"collect_list(signature) {own} order by signature rows between {BEFORE} preceding and 1 preceding)"
+    apart = stored(apart.selectExpr("*", f"{before} as before"), folder, "apart")
+    one, two = apart.alias("one"), apart.alias("two")
+    total = F.col("one.n") + F.col("two.n")
     sized = F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent
-    pairs = one.join(two, (F.col("one.signature") == F.col("two.signature")) & (F.col("one.label") < F.col("two.label")) & sized)
+    near = (_folded_difference("low") + _folded_difference("high")) * (100 + percent) <= total * (100 - percent)
+    first = ~F.arrays_overlap("one.before", "two.before")  # else an earlier signature has the pair
+    pairs = one.join(two, (F.col("one.signature") == F.col("two.signature")) & (F.col("one.label") < F.col("two.label")) & sized & near & first)
     pairs = pairs.select(F.col("one.class").alias("a"), F.col("two.class").alias("b")).distinct()
     pairs = stored(_possible(pairs, classes, percent), folder, "pairs")
-    more = _linked(pairs, sets_of(pairs, "pair_sets"), percent)
-    labels = components(links.unionByName(more), folder, "all")
-
-    whole = classes.join(labels.toDF("class", "label"), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
+    if pairs.limit(1).count():
+        # the links found there join whole components
+        more = _linked(pairs, sets_of(pairs, "pair_sets"), percent)
+        to = labels.toDF("class", "label")
+        for end in ("u", "v"):
+            more = more.join(to.toDF(end, "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+        joined = components(more, folder, "joined").toDF("label", "last")
+        # every class of a component, its smallest too, then what the component was joined to
+        to = to.unionByName(joined.select(F.col("label").alias("class"), "label"))
+        labels = stored(to.join(joined, "label", "left").select("class", F.coalesce("last", "label").alias("label")), folder, "labels")
+
+    small = broadcast_up_to(labels.toDF("class", "label"), BROADCAST_CLASSES)
+    whole = classes.join(small, "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     found = whole.join(whole.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("class", "component_id")
     return (members.join(found, "class", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
