@@ -1,82 +1,61 @@
 """Exact PERCENTILE_CONT / PERCENTILE_DISC per group without holding a group in one task.
 
-Spark's ``percentile`` aggregate keeps every value of a group in memory of one
-task.  Here each group only ever sends a thin slice of its values to one task:
+Spark's ``percentile`` aggregate keeps every value of a group in the memory of one
+task.  Here only counts are ordered:
 
-1. a mergeable sketch (``percentile_approx``, relative rank error 1/accuracy)
-   gives per group two values ``lo``/``hi`` whose ranks bracket the target
-   ranks with a wide safety margin;
-2. one pass counts the rows below ``lo`` and, for the rows in [lo, hi],
-   counts per distinct value (partial aggregation, so hot values collapse);
-3. a window over those few distinct values gives each value's rank range;
-   the values at the target ranks give the exact results.
+1. one count per (group, value), a partial aggregation, so hot values collapse;
+2. the range of a group's values is cut into ``buckets`` of equal width and a window
+   over at most that many counts tells which buckets hold the wanted ranks;
+3. a window over the distinct values of those buckets gives each value's ranks.
 
-The per-group results are checked: a group whose bracket missed a target
-rank (impossible within the sketch's error bound) is recomputed with Spark's
-exact aggregate, so every group gets its exact value.
+No sketch, no job while the plan is built; the counts of step 1 are one exchange
+that all steps read.  A NULL group is a group like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelens.session import ensure_checkpoint_dir
-
-ACCURACY = 10000
-MARGIN = 20.0 / ACCURACY  # bracket half-width in quantile units
-
 
 def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str, p: float = 0.5,
-                      cont: str = "percentile_cont", disc: str = "percentile_disc") -> DataFrame:
+                      cont: str = "percentile_cont", disc: str = "percentile_disc", buckets: int = 4096) -> DataFrame:
     """One row per group with PERCENTILE_CONT(p) (double) and PERCENTILE_DISC(p)
     (value type) over ``value`` (NULL values are ignored, as in SQL)."""
-    ensure_checkpoint_dir(df.sparkSession)
     g = list(group_cols)
-    v = df.select(*g, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    lo_q, hi_q = max(0.0, p - MARGIN), min(1.0, p + MARGIN)
-    stats = v.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"),
-                              F.percentile_approx("_v", [lo_q, hi_q], ACCURACY).alias("_b"))
-    h = F.lit(1.0) + (F.col("_n") - 1) * p
-    # one row per group; checkpointed so that the sketch bounds are fixed values
-    # for every later use, even if a stage is recomputed after an executor loss
-    stats = stats.select(*g, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"),
-                         F.floor(h).cast("bigint").alias("_r1"), F.ceil(h).cast("bigint").alias("_r2"),
-                         (h - F.floor(h)).alias("_frac"),
-                         F.greatest(F.ceil(F.col("_n") * p), F.lit(1)).cast("bigint").alias("_r3")
-                         ).checkpoint(eager=True)
-    # one pass: rows below the bracket collapse into one count per group, rows in
-    # the bracket into one count per distinct value, rows above are dropped
-    vs = v.join(stats.select(*g, "_lo", "_hi"), g)
-    cls = F.when(F.col("_v") < F.col("_lo"), 0).when(F.col("_v") <= F.col("_hi"), 1).otherwise(2)
-    hist = (vs.withColumn("_cls", cls).where(F.col("_cls") < 2)
-            .groupBy(*g, "_cls", F.when(F.col("_cls") == 1, F.col("_v")).alias("_val"))
-            .agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*g).orderBy("_cls", "_val").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (hist.withColumn("_end", F.sum("_c").over(w)).where(F.col("_cls") == 1)
-              .withColumn("_start", F.col("_end") - F.col("_c") + 1))
-    at = ranked.join(stats.select(*g, "_r1", "_r2", "_r3"), g)
+    keys = [f"_g{i}" for i in range(len(g))]
+    counts = (df.select(*[F.col(c).alias(k) for c, k in zip(g, keys)], F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
 
-    def pick(r: str):
-        return F.max(F.when((F.col("_start") <= F.col(r)) & (F.col(r) <= F.col("_end")), F.col("_val")))
+    def same(other: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+        """``other`` with its key columns renamed, and the null-safe condition to them."""
+        renamed = other.select(*[F.col(c).alias("r" + c) if c in cols else F.col(c) for c in other.columns])
+        return renamed, [F.col(c).eqNullSafe(F.col("r" + c)) for c in cols]
 
-    picks = at.groupBy(*g).agg(pick("_r1").alias("_v1"), pick("_r2").alias("_v2"), pick("_r3").alias("_v3"))
-    # every group of ``stats`` stays (NULL picks when nothing fell in its bracket)
-    res = stats.select(*g, "_frac").join(picks, [stats[c].eqNullSafe(picks[c]) for c in g], "left").select(
-        *[stats[c] for c in g], "_frac", "_v1", "_v2", "_v3")
-    v1, v2 = F.col("_v1").cast("double"), F.col("_v2").cast("double")
-    res = res.select(*g, (v1 + F.col("_frac") * (v2 - v1)).alias(cont), F.col("_v3").alias(disc),
-                     (F.col("_v1").isNull() | F.col("_v2").isNull() | F.col("_v3").isNull()).alias("_miss"))
-    # one row per group: materialise once, then check that every group found its ranks
-    res = res.checkpoint(eager=True)
-    hit = res.where(~F.col("_miss")).drop("_miss")
-    if res.where(F.col("_miss")).limit(1).count() == 0:
-        return hit
-    # groups the bracket missed (outside the sketch's error bound): exact aggregate for those only
-    missed = res.where(F.col("_miss")).select(*g)
-    exact = (v.join(missed, [v[c].eqNullSafe(missed[c]) for c in g], "left_semi").groupBy(*g)
-             .agg(F.percentile(F.col("_v").cast("double"), p).alias(cont),
-                  F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY _v)").alias(disc)))
-    return hit.unionByName(exact)
+    h = F.lit(1.0) + (F.col("_n") - 1) * p
+    groups = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"))
+    groups = groups.select(*keys, "_lo", "_hi", F.floor(h).cast("bigint").alias("_r1"), F.ceil(h).cast("bigint").alias("_r2"),
+                           (h - F.floor(h)).alias("_frac"), F.greatest(F.ceil(F.col("_n") * p), F.lit(1)).cast("bigint").alias("_r3"))
+    groups, on = same(groups, keys)
+    place = (F.col("_v").cast("double") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets
+    placed = counts.join(groups, on).drop(*["r" + k for k in keys]).withColumn("_b", F.coalesce(F.floor(place), F.lit(0)))
+
+    wanted = F.array("_r1", "_r2", "_r3")
+    own = [*keys, "_b"]
+    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    hist = placed.groupBy(*own).agg(F.sum("_c").alias("_bc"), F.first(wanted).alias("_w"))
+    hist = hist.withColumn("_before", F.sum("_bc").over(upto) - F.col("_bc"))
+    hist = hist.where(F.exists("_w", lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_bc"))))
+    hist, on = same(hist.select(*own, "_before"), own)
+    inside = Window.partitionBy(*own).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(hist, on).withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
+
+    def pick(r: str) -> Column:
+        return F.max(F.when((F.col("_end") - F.col("_c") < F.col(r)) & (F.col(r) <= F.col("_end")), F.col("_v")))
+
+    picks = ranked.groupBy(*keys).agg(pick("_r1").cast("double").alias("_v1"), pick("_r2").cast("double").alias("_v2"),
+                                      pick("_r3").alias(disc), F.first("_frac").alias("_frac"))
+    return picks.select(*[F.col(k).alias(c) for c, k in zip(g, keys)],
+                        (F.col("_v1") + F.col("_frac") * (F.col("_v2") - F.col("_v1"))).alias(cont), disc)

@@ -1,14 +1,12 @@
 """Spark session settings used by tests and the benchmark.
 
 Library code never creates a session; it only reads settings from the one it
-is given.  On a cluster the operator owns ``spark.checkpoint.dir``; the helper
-below only fills it in when it is unset (local tests).
+is given.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -29,28 +27,5 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session (tests, benchmarks) without the setting gets a
-    fresh scratch folder; on a cluster a missing setting is an error, because
-    a machine-local folder would not survive the loss of an executor.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (e.g. on HDFS or an object store)")
-    scratch = tempfile.mkdtemp(prefix="storelens-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    sc.setCheckpointDir(scratch)
-    return scratch
