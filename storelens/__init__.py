@@ -2,11 +2,10 @@
 
 Layout:
   sources/    the nine input relations over the raw parquet tables
-  functions/  column expressions (scalar semantics, distances, variances)
+  functions/  column expressions (scalar semantics, distances)
   operators/  distributed building blocks (row numbering, NTILE, exact
               percentiles, mode per key, distance join, sampling, joins)
   plans/      one function per analytics statement, grouped by theme;
               ``plans.registry`` maps query keys to functions + parameters
   oracle/     independent DuckDB texts of the same queries (tests only)
-  streaming/  (empty: the reference has no streaming)
 """

@@ -30,8 +30,8 @@ def pct(a: str | Column, b: str | Column) -> Column:
 
 
 def int_avg(c: str | Column) -> Column:
-    """AVG over integers truncates toward zero (SUM div COUNT), exact for long sums."""
-    return (F.sum(col(c)).cast("decimal(38,0)") / F.count(col(c))).cast("bigint")
+    """AVG over integers truncates toward zero: integer division of an exact sum by the count."""
+    return F.call_function("div", F.sum(col(c).cast("decimal(20,0)")), F.count(col(c)))
 
 
 def money_sum(c: str | Column) -> Column:

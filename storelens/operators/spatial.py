@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.geo import distance_miles
-from storelens.operators.joins import broadcast_if_small
 
 _MILES_PER_DEG_LAT_MIN = 68.0  # below the true minimum (about 68.7)
 _MILES_PER_DEG_LON_EQ = 69.0   # below the true maximum (about 69.2)
@@ -60,11 +59,11 @@ def pairs_within(points: DataFrame, centres: DataFrame, miles: float, metric: st
                  lat: str = "Latitude", lon: str = "Longitude", prefix: str = "c_") -> DataFrame:
     """Rows of ``points`` joined with every row of ``centres`` (columns renamed
     with ``prefix``) whose distance is below ``miles``; adds ``distance``."""
+    if miles <= 0:  # no distance is below it
+        points, miles = points.where(F.lit(False)), 1.0
     c = centres.select(*[F.col(x).alias(prefix + x) for x in centres.columns])
     c = c.withColumn("_cell", F.explode(centre_cells(F.col(prefix + lat), F.col(prefix + lon), miles)))
     c = c.select("*", F.col("_cell.clat").alias("_clat"), F.col("_cell.clon").alias("_clon")).drop("_cell")
-    # few centres x a few cells each: measured, then broadcast (points stay in place)
-    c = broadcast_if_small(c)
     clat, clon = point_cells(F.col(lat), F.col(lon), miles)
     p = points.withColumn("_clat", clat).withColumn("_clon", clon)
     d = distance_miles(metric, F.col(lat), F.col(lon), F.col(prefix + lat), F.col(prefix + lon))

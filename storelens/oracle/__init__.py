@@ -11,7 +11,7 @@ from storelens.oracle import (classify, conditionals, location, parameterised, p
 from storelens.oracle.views import with_views
 
 _MODULES = (summaries, conditionals, quality, windows, location, parameterised, probability, sampling, classify)
-_RAW = ("orders", "lineitem", "part", "customer")
+_RAW = ("orders", "lineitem", "part", "customer", "supplier")
 _SCHEMA_DIRS = ("/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1")
 
 # result types at the query boundary, as ``plans.registry.export_types``

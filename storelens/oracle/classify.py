@@ -1,89 +1,65 @@
-"""DuckDB oracle texts for classification models and signatures."""
+"""DuckDB texts for classification models and state signatures.
 
-_H = "CASE WHEN {p} > 250000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+The most frequent label of a key is the greatest (count, label order) of its counts.
+"""
 
+_HIGH = "avg((p > 250000 AND p IS NOT NULL)::INTEGER::DOUBLE)"
 
-def _mode(select_from: str, key: str, label: str, cond: str) -> str:
-    return f"""SELECT {key}, {label} FROM (
-    SELECT {key}, {label}, count(*) AS cnt,
-      row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, {label}) AS seq
-    {select_from} WHERE {cond} GROUP BY {key}, {label}) zg WHERE seq = 1"""
 
+def _top(rows: str, key: str, label: str) -> str:
+    """(k, l): the most frequent label of each key, the smallest of equally frequent ones."""
+    return f"""SELECT k, first(l ORDER BY n DESC, l) AS l
+  FROM (SELECT {key} AS k, {label} AS l, count(*) AS n FROM {rows} GROUP BY ALL) GROUP BY k"""
 
-def _lookup(rows: str, key: str, label: str, values: list, names: list[str], predicted: str,
-            extra: str = "") -> str:
-    cond = "OrderDate {op} DATE '2000-01-01'" + extra
-    cols = ",\n  ".join(f"CAST(max(CASE WHEN act = {v!r} THEN n END) AS BIGINT) AS {nm}"
-                        for v, nm in zip(values, names))
+
+def _lookup(rows: str, key: str, label: str, values: list, names: list[str], predicted: str) -> str:
+    cells = ",\n  ".join(f"nullif(count(*) FILTER (b.l = {v!r}), 0) AS {n}" for v, n in zip(values, names))
     return f"""
 WITH r AS ({rows}),
-lookup AS ({_mode('FROM r', key, label, cond.format(op='<'))}),
-actuals AS ({_mode('FROM r', key, label, cond.format(op='>='))}),
-result AS (SELECT l.{label} AS pred, a.{label} AS act, count(*) AS n
-           FROM lookup l JOIN actuals a ON l.{key} = a.{key} GROUP BY l.{label}, a.{label})
-SELECT pred AS {predicted},
-  {cols}
-FROM result GROUP BY pred ORDER BY pred"""
-
+a AS ({_top("r WHERE NOT later", key, label)}),
+b AS ({_top("r WHERE later", key, label)})
+SELECT a.l AS {predicted},
+  {cells}
+FROM a JOIN b USING (k) GROUP BY a.l"""
 
-_PROD_ROWS = """SELECT ol.ProductId, o.OrderDate, CAST(c.DOWint AS BIGINT) AS DOWint,
-    CASE WHEN c.DOWint = 1 OR c.DOWint = 7 THEN 'Weekend' ELSE 'Weekday' END AS Week
-  FROM bk_orders o JOIN bk_calendar c ON c."Date" = o.OrderDate JOIN bk_order_lines ol ON o.OrderId = ol.OrderId"""
 
-_STATE_PAYMENT = _mode("FROM bk_orders", "State", "PaymentType", "OrderDate < DATE '2000-01-01'")
-_STATE_GROUP = _mode("""FROM bk_orders o JOIN bk_order_lines ol ON ol.OrderId = o.OrderId
-      JOIN bk_products p ON p.ProductId = ol.ProductId""", "State", "GroupName", "OrderDate < DATE '2000-01-01'")
-_STATE_ORDERS = """
-SELECT o.State AS state, count(o.OrderId) AS n_orders, CAST(sum(o.TotalPrice) AS DECIMAL(38,2)) AS total_price,
-  round(CAST(sum(o.TotalPrice) AS DOUBLE) / count(o.TotalPrice), 6) AS avg_price,
-  count(c.HouseholdId) AS n_household_ids
-FROM bk_orders o JOIN bk_customers c ON c.CustomerId = o.CustomerId
-WHERE OrderDate < DATE '2000-01-01' GROUP BY State"""
+_LATER = "(OrderDate >= DATE '2000-01-01') AS later"
+_SOLD = f"""SELECT ProductId, (isodow(OrderDate) % 7 + 1)::BIGINT AS dow, if(isodow(OrderDate) >= 6, 'Weekend', 'Weekday') AS part, {_LATER}
+  FROM bk_order_lines JOIN bk_orders USING (OrderId) WHERE OrderDate IN (SELECT "Date" FROM bk_calendar)"""
+_EARLY = "(SELECT * FROM bk_orders WHERE OrderDate < DATE '2000-01-01')"
+_PAYMENT = _top(_EARLY, "State", "PaymentType")
+_GROUP = _top(f"{_EARLY} JOIN bk_order_lines USING (OrderId) JOIN bk_products USING (ProductId)", "State", "GroupName")
+_ORDERS = f"""SELECT State AS state, count(*) AS n_orders, sum(TotalPrice)::DECIMAL(38,2) AS total_price,
+  round(sum(TotalPrice)::DOUBLE / count(TotalPrice), 6) AS avg_price, count(HouseholdId) AS n_household_ids
+FROM {_EARLY} JOIN bk_customers USING (CustomerId) GROUP BY State"""
+_CAMPAIGN = """(SELECT Channel AS c, if(PaymentType IN ('??', 'OC'), 'Other', PaymentType) AS t, TotalPrice AS p
+      FROM bk_orders JOIN bk_campaigns USING (CampaignId) WHERE year(OrderDate) = 1999)"""
 
 SQL = {
     "high_order_probability": f"""
-SELECT c.Channel AS channel, round(avg({_H.format(p='o.TotalPrice')}), 6) AS high_probability,
-  CAST(sum(CASE WHEN o.TotalPrice > 250000 THEN 1 ELSE 0 END) AS BIGINT) AS n_high,
-  CAST(sum(CASE WHEN o.TotalPrice > 250000 THEN 0 ELSE 1 END) AS BIGINT) AS n_not_high
-FROM bk_orders o JOIN bk_campaigns c ON c.CampaignId = o.CampaignId
-WHERE year(o.OrderDate) = 1999 GROUP BY Channel ORDER BY Channel""",
+SELECT c AS channel, round({_HIGH}, 6) AS high_probability, count(*) FILTER (p > 250000) AS n_high,
+  count(*) - count(*) FILTER (p > 250000) AS n_not_high
+FROM {_CAMPAIGN} GROUP BY c""",
     "naive_bayes": f"""
-WITH cteData AS (
-  SELECT o.OrderId, o.TotalPrice,
-    CASE WHEN o.PaymentType = '??' OR o.PaymentType = 'OC' THEN 'Other' ELSE o.PaymentType END AS PaymentType,
-    c.Channel
-  FROM bk_orders o JOIN bk_campaigns c ON c.CampaignId = o.CampaignId WHERE year(o.OrderDate) = 1999),
-dimChannel AS (SELECT Channel, avg({_H.format(p='TotalPrice')}) AS p FROM cteData GROUP BY Channel),
-dimPayment AS (SELECT PaymentType, avg({_H.format(p='TotalPrice')}) AS p FROM cteData GROUP BY PaymentType),
-overall AS (SELECT avg({_H.format(p='TotalPrice')}) AS p FROM cteData),
-actual AS (SELECT Channel, PaymentType, avg({_H.format(p='TotalPrice')}) AS p FROM cteData
-           GROUP BY Channel, PaymentType)
-SELECT dimC.Channel AS channel, round(dimC.p, 6) AS p_channel, dimP.PaymentType AS payment_type,
-  round(dimP.p, 6) AS p_payment, round(o.p, 6) AS p_overall,
-  round(1.0::DOUBLE / nullif(o.p, 0.0) * dimC.p * dimP.p, 6) AS p_predicted, round(a.p, 6) AS p_actual
-FROM dimChannel dimC CROSS JOIN dimPayment dimP CROSS JOIN overall o
-JOIN actual a ON dimC.Channel = a.Channel AND dimP.PaymentType = a.PaymentType
-ORDER BY channel, payment_type""",
-    "lookup_product_dow": _lookup(_PROD_ROWS, "ProductId", "DOWint", list(range(1, 8)),
-                                  [f"d{i}" for i in range(1, 8)], "predicted_dow"),
-    "lookup_product_week": _lookup(_PROD_ROWS, "ProductId", "Week", ["Weekday", "Weekend"],
-                                   ["weekday", "weekend"], "predicted_week"),
-    "lookup_zip_payment": _lookup("SELECT ZipCode, PaymentType, OrderDate FROM bk_orders", "ZipCode",
-                                  "PaymentType", ["AE", "DB", "MC", "VI"], ["ae", "db", "mc", "vi"],
-                                  "predicted_payment", " AND PaymentType NOT IN ('OC', '??')"),
-    "state_top_payment": f"SELECT State AS state, PaymentType AS payment_type FROM ({_STATE_PAYMENT}) x",
-    "state_top_group": f"SELECT State AS state, GroupName AS group_name FROM ({_STATE_GROUP}) x",
-    "state_orders": _STATE_ORDERS,
+WITH s AS (SELECT c, t, {_HIGH} AS h, grouping(c) AS all_c, grouping(t) AS all_t FROM {_CAMPAIGN} GROUP BY CUBE (c, t))
+SELECT x.c AS channel, round(x.h, 6) AS p_channel, y.t AS payment_type, round(y.h, 6) AS p_payment, round(o.h, 6) AS p_overall,
+  round(x.h * y.h / nullif(o.h, 0), 6) AS p_predicted, round(z.h, 6) AS p_actual
+FROM s z JOIN s x ON x.c = z.c AND x.all_t = 1 AND x.all_c = 0 JOIN s y ON y.t = z.t AND y.all_c = 1 AND y.all_t = 0
+JOIN s o ON o.all_c = 1 AND o.all_t = 1
+WHERE z.all_c = 0 AND z.all_t = 0""",
+    "lookup_product_dow": _lookup(_SOLD, "ProductId", "dow", list(range(1, 8)), [f"d{i}" for i in range(1, 8)], "predicted_dow"),
+    "lookup_product_week": _lookup(_SOLD, "ProductId", "part", ["Weekday", "Weekend"], ["weekday", "weekend"], "predicted_week"),
+    "lookup_zip_payment": _lookup(f"SELECT ZipCode, PaymentType, {_LATER} FROM bk_orders WHERE PaymentType NOT IN ('OC', '??')",
+                                  "ZipCode", "PaymentType", ["AE", "DB", "MC", "VI"], ["ae", "db", "mc", "vi"], "predicted_payment"),
+    "state_top_payment": f"SELECT k AS state, l AS payment_type FROM ({_PAYMENT})",
+    "state_top_group": f"SELECT k AS state, l AS group_name FROM ({_GROUP})",
+    "state_orders": _ORDERS,
     "state_signature": f"""
-SELECT A.state, A.n_orders, A.total_price, A.avg_price, A.n_household_ids, B.PaymentType AS top_payment,
-  D.GroupName AS top_group, DATE '2000-01-01' AS cutoff_date
-FROM ({_STATE_ORDERS}) A JOIN ({_STATE_PAYMENT}) B ON A.state = B.State
-JOIN ({_STATE_GROUP}) D ON D.State = A.state
-WHERE A.state != '' ORDER BY A.state""",
+SELECT o.*, p.l AS top_payment, g.l AS top_group, DATE '2000-01-01' AS cutoff_date
+FROM ({_ORDERS}) o JOIN ({_PAYMENT}) p ON p.k = state JOIN ({_GROUP}) g ON g.k = state WHERE state <> ''""",
     "three_years_of_sales": """
-SELECT State AS state,
-  CAST(sum(CASE WHEN year(OrderDate) = 1998 THEN TotalPrice END) AS DECIMAL(38,2)) AS y_minus_2,
-  CAST(sum(CASE WHEN year(OrderDate) = 1999 THEN TotalPrice END) AS DECIMAL(38,2)) AS y_minus_1,
-  CAST(sum(CASE WHEN year(OrderDate) = 2000 THEN TotalPrice END) AS DECIMAL(38,2)) AS y
-FROM bk_orders GROUP BY State ORDER BY State""",
+SELECT State AS state, (sum(TotalPrice) FILTER (year(OrderDate) = 1998))::DECIMAL(38,2) AS y_minus_2,
+  (sum(TotalPrice) FILTER (year(OrderDate) = 1999))::DECIMAL(38,2) AS y_minus_1,
+  (sum(TotalPrice) FILTER (year(OrderDate) = 2000))::DECIMAL(38,2) AS y
+FROM bk_orders GROUP BY state""",
 }

@@ -1,104 +1,62 @@
-"""DuckDB oracle texts for conditionals and pivots."""
+"""DuckDB texts for conditional logic and pivots, as filtered aggregates and lookup lists."""
+
+_SHARE = "round(100.0::DOUBLE * count(*) FILTER ({}) / count(*), 2)"
+_BLANK = "length(rtrim(Gender)) <> 1"
+
+
+def _avg(kind: str) -> str:
+    some = f"FILTER (t = '{kind}')"
+    return f"round(CAST(sum(p) {some} AS DOUBLE) / nullif(count(p) {some}, 0), 6) AS {kind.lower()}"
+
 
 SQL = {
-    "gender_flags": """
-SELECT CustomerId AS customer_id,
-  CAST(CASE WHEN Gender = 'F' THEN 100 ELSE 0 END AS BIGINT) AS is_female,
-  CAST(CASE WHEN Gender = 'M' THEN 100 ELSE 0 END AS BIGINT) AS is_male,
-  CAST(CASE WHEN length(rtrim(Gender)) <> 1 THEN 100 ELSE 0 END AS BIGINT) AS is_unknown
-FROM bk_customers ORDER BY CustomerId""",
-    "gender_percentages": """
-WITH CTE_Male AS (SELECT round(avg(CASE WHEN Gender = 'M' THEN 100.0 ELSE 0 END), 2) AS avg_male FROM bk_customers),
-CTE_Female AS (SELECT round(avg(CASE WHEN Gender = 'F' THEN 100.0 ELSE 0 END), 2) AS avg_female FROM bk_customers),
-CTE_Unknown AS (SELECT round(avg(CASE WHEN length(rtrim(Gender)) <> 1 THEN 100.0 ELSE 0 END), 2) AS avg_unknown
-                FROM bk_customers)
-SELECT CAST(avg_male AS DOUBLE) AS avg_male, CAST(avg_female AS DOUBLE) AS avg_female,
-  CAST(avg_unknown AS DOUBLE) AS avg_unknown
-FROM CTE_Male, CTE_Female, CTE_Unknown""",
+    "gender_flags": f"""
+SELECT CustomerId AS customer_id, if(Gender = 'F', 100, 0)::BIGINT AS is_female, if(Gender = 'M', 100, 0)::BIGINT AS is_male,
+  if({_BLANK}, 100, 0)::BIGINT AS is_unknown
+FROM bk_customers""",
+    "gender_percentages": f"""
+SELECT {_SHARE.format("Gender = 'M'")} AS avg_male, {_SHARE.format("Gender = 'F'")} AS avg_female,
+  {_SHARE.format(_BLANK)} AS avg_unknown
+FROM bk_customers""",
     "sales_by_payment_label": """
-WITH CTE_PricePerType AS (
-  SELECT OrderId, CASE PaymentType WHEN 'AE' THEN 'American Express' WHEN 'DB' THEN 'Debit'
-    WHEN 'MC' THEN 'Mastercard' WHEN 'VI' THEN 'Visa' ELSE 'Other' END AS payment_type, TotalPrice
-  FROM bk_orders)
-SELECT payment_type, CAST(sum(TotalPrice) AS DECIMAL(38,2)) AS sum_total_price
-FROM CTE_PricePerType GROUP BY payment_type ORDER BY payment_type""",
+WITH names(code, label) AS (VALUES ('AE', 'American Express'), ('DB', 'Debit'), ('MC', 'Mastercard'), ('VI', 'Visa'))
+SELECT coalesce(label, 'Other') AS payment_type, sum(TotalPrice)::DECIMAL(38,2) AS sum_total_price
+FROM bk_orders LEFT JOIN names ON code = PaymentType GROUP BY ALL""",
     "orders_by_state_min": """
-WITH CTE_OrderAndState AS (
-  SELECT o.OrderId, o.ZipCode, coalesce(z.Stab, 'Undefined ZipCode') AS Stab
-  FROM bk_orders o LEFT JOIN bk_zip_census z ON o.ZipCode = z.zcta5)
-SELECT Stab AS stab, count(*) AS number_of_orders FROM CTE_OrderAndState
-GROUP BY Stab HAVING count(*) >= 500 ORDER BY Stab""",
+SELECT coalesce((SELECT Stab FROM bk_zip_census WHERE zcta5 = z), 'Undefined ZipCode') AS stab, sum(n)::BIGINT AS number_of_orders
+FROM (SELECT ZipCode AS z, count(*) AS n FROM bk_orders GROUP BY z) GROUP BY stab HAVING sum(n) >= 500""",
     "first_shipment_volume": """
-WITH CTE_ProductShipYear AS (
-  SELECT ProductId,
-    sum(CASE WHEN year(ShipDate) = 1996 THEN 1 END) AS y1,
-    sum(CASE WHEN year(ShipDate) = 1997 THEN 1 END) AS y2,
-    sum(CASE WHEN year(ShipDate) = 1998 THEN 1 END) AS y3
-  FROM bk_order_lines WHERE year(ShipDate) IN (1996, 1997, 1998) GROUP BY ProductId)
-SELECT ProductId AS product_id, CAST(coalesce(y1, y2, y3) AS BIGINT) AS first_shipment_volume
-FROM CTE_ProductShipYear ORDER BY ProductId""",
+SELECT i AS product_id, arg_min(n, y) AS first_shipment_volume
+FROM (SELECT ProductId AS i, year(ShipDate) AS y, count(*) AS n FROM bk_order_lines WHERE y BETWEEN 1996 AND 1998 GROUP BY ALL)
+GROUP BY i""",
     "order_count_by_channel_pivot": """
-SELECT 'Count' AS campaign_channel,
-  count(CASE WHEN c.Channel = 'WEB' THEN o.OrderId END) AS web,
-  count(CASE WHEN c.Channel = 'AD' THEN o.OrderId END) AS ad,
-  count(CASE WHEN c.Channel = 'MAIL' THEN o.OrderId END) AS mail,
-  count(CASE WHEN c.Channel = 'REFERRAL' THEN o.OrderId END) AS referral
-FROM bk_orders o JOIN bk_campaigns c ON o.CampaignId = c.CampaignId""",
+WITH n AS (SELECT Channel AS c, count(*) AS n FROM bk_orders JOIN bk_campaigns USING (CampaignId) GROUP BY c),
+m AS (SELECT map_from_entries(list((c, n))) AS m FROM n)
+SELECT 'Count' AS campaign_channel, coalesce(m['WEB'], 0) AS web, coalesce(m['AD'], 0) AS ad, coalesce(m['MAIL'], 0) AS mail,
+  coalesce(m['REFERRAL'], 0) AS referral
+FROM m""",
     "weekend_order_flag": """
-SELECT o.OrderId AS order_id, CASE WHEN c.DOW = 'Sat' OR c.DOW = 'Sun' THEN 100.0 ELSE 0 END::DOUBLE AS weekend_order
-FROM bk_orders o JOIN bk_calendar c ON o.OrderDate = c."Date\"""",
+SELECT OrderId AS order_id, if(isodow(OrderDate) >= 6, 100.0, 0.0)::DOUBLE AS weekend_order
+FROM bk_orders WHERE OrderDate IN (SELECT "Date" FROM bk_calendar)""",
     "weekend_share_by_state": """
-WITH CTE_WeekendOrder AS (
-  SELECT o.OrderId, o.State, CASE WHEN c.DOW = 'Sat' OR c.DOW = 'Sun' THEN 100.0 ELSE 0 END::DOUBLE AS w
-  FROM bk_orders o JOIN bk_calendar c ON o.OrderDate = c."Date"
-  WHERE o.State IN (SELECT DISTINCT Stab FROM bk_zip_census))
-SELECT State AS state, round(avg(w), 2) AS avg_weekend_order FROM CTE_WeekendOrder
-GROUP BY State ORDER BY avg_weekend_order DESC""",
+SELECT State AS state, round(100.0::DOUBLE * count(*) FILTER (isodow(OrderDate) >= 6) / count(*), 2) AS avg_weekend_order
+FROM (SELECT * FROM bk_orders SEMI JOIN bk_calendar ON "Date" = OrderDate) o
+WHERE EXISTS (SELECT 1 FROM bk_zip_census z WHERE z.Stab = o.State) GROUP BY ALL""",
     "orders_by_price_band": """
-WITH CTE_OrderPriceCategory AS (
-  SELECT o.OrderId, CASE
-      WHEN TotalPrice = 0 THEN 'Free Orders'
-      WHEN TotalPrice > 0 AND TotalPrice <= 10000 THEN 'Under $10000'
-      WHEN TotalPrice > 10000 AND TotalPrice <= 50000 THEN 'Under $50000'
-      WHEN TotalPrice > 50000 AND TotalPrice <= 100000 THEN 'Under $100000'
-      WHEN TotalPrice > 100000 AND TotalPrice <= 400000 THEN 'Under $400000'
-    END AS price_category
-  FROM bk_orders o)
-SELECT price_category, count(OrderId) AS number_of_orders FROM CTE_OrderPriceCategory
-GROUP BY price_category ORDER BY price_category NULLS FIRST""",
+WITH bands(low, high, label) AS (VALUES (0, 10000, 'Under $10000'), (10000, 50000, 'Under $50000'),
+  (50000, 100000, 'Under $100000'), (100000, 400000, 'Under $400000'))
+SELECT if(TotalPrice = 0, 'Free Orders', label) AS price_category, count(*) AS number_of_orders
+FROM bk_orders LEFT JOIN bands ON TotalPrice > low AND TotalPrice <= high GROUP BY ALL""",
     "subscriber_loyalty_years": """
-WITH CTE_SubscriberPerLoyalty AS (
-  SELECT SubscriberId, datediff('year', StartDate, coalesce(StopDate, DATE '2001-12-31')) AS loyalty
-  FROM bk_subscribers WHERE SubscriberId < 10000)
-SELECT CAST(loyalty AS BIGINT) AS loyalty_year, count(SubscriberId) AS number_of_subscribers
-FROM CTE_SubscriberPerLoyalty GROUP BY loyalty ORDER BY loyalty""",
+SELECT year(coalesce(StopDate, DATE '2001-12-31')) - year(StartDate) AS loyalty_year, count(*) AS number_of_subscribers
+FROM bk_subscribers WHERE SubscriberId < 10000 GROUP BY loyalty_year""",
     "first_year_performance": """
-WITH CTE_ChannelEffect AS (
-  SELECT c.Channel,
-    CAST(sum(CASE WHEN year(o.OrderDate) = 1997 THEN o.TotalPrice END) AS DOUBLE)
-      / count(CASE WHEN year(o.OrderDate) = 1997 THEN o.TotalPrice END) AS y1,
-    CAST(sum(CASE WHEN year(o.OrderDate) = 1998 THEN o.TotalPrice END) AS DOUBLE)
-      / count(CASE WHEN year(o.OrderDate) = 1998 THEN o.TotalPrice END) AS y2,
-    CAST(sum(CASE WHEN year(o.OrderDate) = 1999 THEN o.TotalPrice END) AS DOUBLE)
-      / count(CASE WHEN year(o.OrderDate) = 1999 THEN o.TotalPrice END) AS y3,
-    CAST(sum(CASE WHEN year(o.OrderDate) = 2000 THEN o.TotalPrice END) AS DOUBLE)
-      / count(CASE WHEN year(o.OrderDate) = 2000 THEN o.TotalPrice END) AS y4
-  FROM bk_campaigns c JOIN bk_orders o ON c.CampaignId = o.CampaignId GROUP BY c.Channel)
-SELECT Channel AS channel, round(coalesce(y1, y2, y3, y4), 6) AS first_performance FROM CTE_ChannelEffect""",
-    "avg_price_state_payment_pivot": """
-WITH sdata AS (
-  SELECT z.Stab, CASE WHEN o.PaymentType = '??' THEN 'OC' ELSE o.PaymentType END AS PaymentType, o.TotalPrice
-  FROM bk_orders o JOIN bk_zip_census z ON o.ZipCode = z.zcta5)
-SELECT Stab AS stab,
-  round(CAST(sum(CASE WHEN PaymentType = 'AE' THEN TotalPrice END) AS DOUBLE)
-    / count(CASE WHEN PaymentType = 'AE' THEN TotalPrice END), 6) AS ae,
-  round(CAST(sum(CASE WHEN PaymentType = 'VI' THEN TotalPrice END) AS DOUBLE)
-    / count(CASE WHEN PaymentType = 'VI' THEN TotalPrice END), 6) AS vi,
-  round(CAST(sum(CASE WHEN PaymentType = 'DB' THEN TotalPrice END) AS DOUBLE)
-    / count(CASE WHEN PaymentType = 'DB' THEN TotalPrice END), 6) AS db,
-  round(CAST(sum(CASE WHEN PaymentType = 'MC' THEN TotalPrice END) AS DOUBLE)
-    / count(CASE WHEN PaymentType = 'MC' THEN TotalPrice END), 6) AS mc,
-  round(CAST(sum(CASE WHEN PaymentType = 'OC' THEN TotalPrice END) AS DOUBLE)
-    / count(CASE WHEN PaymentType = 'OC' THEN TotalPrice END), 6) AS oc
-FROM sdata GROUP BY Stab ORDER BY Stab""",
+SELECT c AS channel, round(arg_min(a, y) FILTER (y BETWEEN 1997 AND 2000), 6) AS first_performance
+FROM (SELECT Channel AS c, year(OrderDate) AS y, sum(TotalPrice)::DOUBLE / count(TotalPrice) AS a
+      FROM bk_orders JOIN bk_campaigns USING (CampaignId) GROUP BY ALL)
+GROUP BY c""",
+    "avg_price_state_payment_pivot": f"""
+SELECT Stab AS stab, {', '.join(map(_avg, ('AE', 'VI', 'DB', 'MC', 'OC')))}
+FROM (SELECT Stab, replace(PaymentType, '??', 'OC') AS t, TotalPrice AS p FROM bk_zip_census JOIN bk_orders ON ZipCode = zcta5)
+GROUP BY Stab""",
 }

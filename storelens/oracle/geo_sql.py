@@ -1,12 +1,11 @@
-"""SQL text of the distance expressions in ``functions.geo`` (same operation order)."""
+"""Distance expressions for the DuckDB texts, from the published formulas and literal constants."""
 
 from __future__ import annotations
 
-import math
-
-from storelens.functions.geo import ELLIPSOID_A_FEET, ELLIPSOID_B_FEET, EARTH_RADIUS_MILES, FEET_PER_MILE
-
-PI = f"CAST({math.pi!r} AS DOUBLE)"
+PI = "CAST(3.141592653589793 AS DOUBLE)"
+# fixed values: mean earth radius in miles; Clarke 1880 (international foot) half axes in feet
+RADIUS = "CAST(3957.773 AS DOUBLE)"
+MAJOR, MINOR, FEET = 20926202.0, 20854895.0, 5280.0
 
 
 def dbl(v: float) -> str:
@@ -18,21 +17,19 @@ def rad(x: str) -> str:
 
 
 def sphere(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Spherical law of cosines."""
     p1, p2 = rad(lat1), rad(lat2)
-    c = f"sin({p1}) * sin({p2}) + cos({p1}) * cos({p2}) * cos({rad(lon1)} - {rad(lon2)})"
-    return f"(acos(greatest(-1.0, least(1.0, {c}))) * {dbl(EARTH_RADIUS_MILES)})"
+    angle = f"sin({p1}) * sin({p2}) + cos({p1}) * cos({p2}) * cos({rad(lon1)} - {rad(lon2)})"
+    return f"(acos(greatest(-1.0, least(1.0, {angle}))) * {RADIUS})"
 
 
 def ellipsoid(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    a, b = ELLIPSOID_A_FEET, ELLIPSOID_B_FEET
-    f = (a - b) / a
-    b1 = f"atan({dbl(1.0 - f)} * tan({rad(lat1)}))"
-    b2 = f"atan({dbl(1.0 - f)} * tan({rad(lat2)}))"
-    dl = f"({rad(lon2)} - {rad(lon1)})"
-    hav = f"(pow(sin(({b2} - {b1}) / 2), 2) + cos({b1}) * cos({b2}) * pow(sin({dl} / 2), 2))"
-    s = f"(2.0 * asin(sqrt(least(1.0, {hav}))))"
-    p, q = f"(({b1} + {b2}) / 2)", f"(({b2} - {b1}) / 2)"
-    x = f"(({s} - sin({s})) * pow(sin({p}) * cos({q}) / cos({s} / 2), 2))"
-    y = f"(({s} + sin({s})) * pow(cos({p}) * sin({q}) / sin({s} / 2), 2))"
-    d = f"({dbl(a)} * ({s} - {dbl(f / 2)} * ({x} + {y})))"
-    return f"((CASE WHEN {s} = 0 THEN 0.0 ELSE {d} END) / {dbl(FEET_PER_MILE)})"
+    """Lambert's formula for long lines, with the haversine angle of the reduced latitudes."""
+    flat = (MAJOR - MINOR) / MAJOR
+    u1, u2 = (f"atan(CAST({1 - flat!r} AS DOUBLE) * tan({rad(x)}))" for x in (lat1, lat2))
+    turn = f"pow(sin({rad(lon2)} / 2 - {rad(lon1)} / 2), 2)"
+    angle = f"(2.0 * asin(sqrt(least(1.0, pow(sin(({u2} - {u1}) / 2), 2) + cos({u1}) * cos({u2}) * {turn}))))"
+    mean, half = f"(({u1} + {u2}) / 2)", f"(({u2} - {u1}) / 2)"
+    x = f"({angle} - sin({angle})) * pow(sin({mean}) * cos({half}) / cos({angle} / 2), 2)"
+    y = f"({angle} + sin({angle})) * pow(cos({mean}) * sin({half}) / sin({angle} / 2), 2)"
+    return f"(CASE WHEN {angle} = 0 THEN 0.0 ELSE CAST({MAJOR / FEET!r} AS DOUBLE) * ({angle} - CAST({flat / 2!r} AS DOUBLE) * ({x} + {y})) END)"

@@ -1,6 +1,5 @@
 """DuckDB oracle texts for sampling and value models."""
 
-from storelens.operators.sampling import hash_threshold
 
 _SEED = "42"
 _MD5 = "md5(concat('" + _SEED + "|', CAST({k} AS VARCHAR)))"
@@ -66,7 +65,7 @@ WITH c AS (SELECT {_MD5.format(k='CampaignId')} AS guid, CampaignId AS campaign_
 r AS (SELECT *, row_number() OVER (ORDER BY guid, campaign_id) AS rn, count(*) OVER () AS n FROM c)
 SELECT guid, campaign_id, channel, discount FROM r WHERE rn <= ceil(n * 10.0 / 100.0) ORDER BY guid""",
     "sample_hash_percent": f"""
-SELECT * FROM bk_subscribers WHERE substr({_MD5.format(k='SubscriberId')}, 1, 6) < '{hash_threshold(10)}'""",
+SELECT * FROM bk_subscribers WHERE substr({_MD5.format(k='SubscriberId')}, 1, 6) < '19999a'""",
     "sample_repeated": f"""
 WITH CTE_RN_Products AS (
   SELECT CAST(row_number() OVER (ORDER BY ProductId) AS BIGINT) AS row_number, {_PRODUCTS} FROM bk_products)

@@ -12,7 +12,7 @@ VIEWS: dict[str, str] = {
     "bk_orders": """
 SELECT o_orderkey AS OrderId,
   CASE WHEN o_custkey % 10 = 0 THEN CAST(0 AS BIGINT) ELSE o_custkey END AS CustomerId,
-  o_orderkey % 45 AS CampaignId, CAST(o_orderdate AS DATE) AS OrderDate,
+  o_custkey // 14 AS CampaignId, CAST(o_orderdate AS DATE) AS OrderDate,
   concat('City', CAST(z AS VARCHAR)) AS City,
   CASE WHEN o_orderkey % 200 = 0 THEN '' ELSE concat('S', lpad(CAST(z % 25 AS VARCHAR), 2, '0')) END AS State,
   lpad(CAST(z AS VARCHAR), 6, '0') AS ZipCode,
@@ -36,11 +36,11 @@ SELECT c_custkey AS CustomerId, c_custkey % 400 AS HouseholdId,
   c_name AS FirstName
 FROM customer WHERE c_custkey % 10 <> 0""",
     "bk_campaigns": """
-SELECT p_partkey AS CampaignId,
-  CASE p_partkey % 5 WHEN 0 THEN 'WEB' WHEN 1 THEN 'AD' WHEN 2 THEN 'MAIL' WHEN 3 THEN 'REFERRAL'
+SELECT s_suppkey AS CampaignId,
+  CASE s_suppkey % 5 WHEN 0 THEN 'WEB' WHEN 1 THEN 'AD' WHEN 2 THEN 'MAIL' WHEN 3 THEN 'REFERRAL'
     ELSE 'CATALOG' END AS Channel,
-  p_size % 4 * 5 AS Discount
-FROM part WHERE p_partkey < 40""",
+  CAST(s_nationkey % 4 * 5 AS INTEGER) AS Discount
+FROM supplier""",
     "bk_subscribers": """
 SELECT o_orderkey AS SubscriberId, o_orderpriority AS RatePlan,
   CAST(o_totalprice AS DECIMAL(12,2)) AS MonthlyFee, CAST(o_orderdate AS DATE) AS StartDate,
@@ -55,8 +55,8 @@ SELECT lpad(CAST(p AS VARCHAR), 6, '0') AS zcta5, concat('State', CAST(p % 25 AS
   CASE WHEN p % 101 = 0 THEN NULL ELSE p_brand END AS County, p_name AS ZIPName,
   20 + CAST(p * 37 % 3500 AS DOUBLE) / 100 AS Latitude, -130 + CAST(p * 53 % 7000 AS DOUBLE) / 100 AS Longitude,
   CAST(p * 17 % 4000 AS DOUBLE) / 10 AS AreaSQMI,
-  b * 480 AS Males, b * 500 AS Females, CASE WHEN b = 0 THEN CAST(0 AS BIGINT) ELSE b * 1000 + p % 1000 END AS TotPop,
-  b * 10 AS FBEurope, b * 10 * (p % 15) AS FBMinusSea, b * 10 * (p % 25) AS BornOutsideUS,
+  b * 480 AS Males, b * 500 AS Females, CASE WHEN b = 0 THEN CAST(0 AS BIGINT) ELSE b * 1000 + p * 7 % 1000 END AS TotPop,
+  b * 1000 + p % 997 AS FBEurope, b * 10 * (p % 15) AS FBMinusSea, b * 10 * (p % 25) AS BornOutsideUS,
   b * 10 AS OwnerOcc, b * (p % 10) AS HvalOverMillion, b * 400 AS TotHHs, b * 4 * (p % 100) AS HHInc0,
   b * 500 AS Worker16, b * 5 * (p % 40) AS DriveAlone, b * 5 * (p % 20) AS Carpool,
   b * 5 * (p % 15) AS PublicTrans, b * 5 * (p % 10) AS WalkToWork, b * 5 * (p % 8) AS OtherCommute,
@@ -66,10 +66,10 @@ FROM (SELECT p_partkey AS p,
         CAST(CASE WHEN p_partkey % 97 = 0 THEN 0 ELSE p_size END AS BIGINT) AS b, p_brand, p_name
       FROM part WHERE p_partkey % 11 <> 0) t""",
     "bk_calendar": """
-SELECT DISTINCT CAST(o_orderdate AS DATE) AS "Date", year(o_orderdate) AS Year, month(o_orderdate) AS Month,
-  strftime(o_orderdate, '%b') AS MonthAbbr, strftime(o_orderdate, '%a') AS DOW,
-  dayofweek(o_orderdate) + 1 AS DOWint
-FROM orders""",
+SELECT CAST(d AS DATE) AS "Date", year(d) AS Year, month(d) AS Month, strftime(d, '%b') AS MonthAbbr,
+  strftime(d, '%a') AS DOW, dayofweek(d) + 1 AS DOWint
+FROM (SELECT unnest(generate_series(DATE '1992-01-01', DATE '2003-12-31', INTERVAL 1 DAY)) AS d) t
+WHERE day(d) <> 31""",
 }
 
 _NAME = re.compile(r"\bbk_[a-z_]+\b")

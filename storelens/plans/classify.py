@@ -31,7 +31,7 @@ def high_order_probability(t: Tables, year: int = 2014, limit: float = 100.0) ->
     return (d.groupBy(F.col("Channel").alias("channel"))
             .agg(F.round(F.avg(F.when(_high(limit), 1.0).otherwise(0.0)), 6).alias("high_probability"),
                  F.count(F.when(_high(limit), 1)).alias("n_high"),
-                 F.count(F.when(~_high(limit), 1)).alias("n_not_high"))
+                 F.count(F.when(_high(limit), None).otherwise(1)).alias("n_not_high"))
             .orderBy("channel"))
 
 
@@ -61,12 +61,15 @@ def lookup_model(rows: DataFrame, key: str, label: str, date: str, split: dt.dat
                  values: Sequence, names: Sequence[str], predicted: str) -> DataFrame:
     """Most frequent label per key before ``split`` (prediction) and from it
     (actual); pivot of the number of keys per (predicted, actual)."""
-    # one pass for both periods: the period flag is part of the mode's key
-    flagged = rows.withColumn("_after", F.col(date) >= F.lit(split))
-    best = mode_by_key(flagged, [key, "_after"], label)
-    look = best.where(~F.col("_after")).select(key, F.col(label).alias("_pred"))
-    act = best.where(F.col("_after")).select(key, F.col(label).alias("_act"))
-    counts = look.join(act, key).groupBy("_pred", "_act").agg(F.count(F.lit(1)).alias("_n"))
+    # both periods in one aggregate: counts per label and period, then each period's mode per key
+    after = F.col(date) >= F.lit(split)
+    per_label = rows.groupBy(key, label).agg(F.count(F.when(~after, 1)).alias("_b"), F.count(F.when(after, 1)).alias("_a"))
+
+    def mode(n: str) -> Column:
+        return F.min(F.when(F.col(n) > 0, F.struct(F.negative(n).alias("n"), F.col(label).alias("l"))))["l"]
+
+    both = per_label.groupBy(key).agg(mode("_b").alias("_pred"), mode("_a").alias("_act"))
+    counts = both.where(F.col("_pred").isNotNull() & F.col("_act").isNotNull()).groupBy("_pred", "_act").agg(F.count(F.lit(1)).alias("_n"))
     pv = counts.groupBy("_pred").pivot("_act", list(values)).agg(F.max("_n"))
     return (pv.select(F.col("_pred").alias(predicted),
                       *[F.col(str(v)).cast("bigint").alias(n) for v, n in zip(values, names)])
@@ -74,7 +77,7 @@ def lookup_model(rows: DataFrame, key: str, label: str, date: str, split: dt.dat
 
 
 def _product_order_dates(t: Tables) -> DataFrame:
-    o = t.orders.select("OrderId", "OrderDate")
+    o = t.on_calendar(t.orders, "OrderDate").select("OrderId", "OrderDate")
     return t.order_lines.select("OrderId", "ProductId").join(o, "OrderId")
 
 
@@ -109,9 +112,11 @@ def state_top_payment(t: Tables, cutoff: dt.date = dt.date(2016, 1, 1)) -> DataF
 
 def state_top_group(t: Tables, cutoff: dt.date = dt.date(2016, 1, 1)) -> DataFrame:
     o = t.orders.where(F.col("OrderDate") < F.lit(cutoff)).select("OrderId", "State")
-    rows = (o.join(t.order_lines.select("OrderId", "ProductId"), "OrderId")
-            .join(t.dimension("products", "ProductId", "GroupName"), "ProductId"))
-    return mode_by_key(rows, ["State"], "GroupName").select(F.col("State").alias("state"),
+    # lines are counted per (state, product) before they meet the products
+    sold = (o.join(t.order_lines.select("OrderId", "ProductId"), "OrderId")
+            .groupBy("State", "ProductId").agg(F.count(F.lit(1)).alias("_lines")))
+    rows = sold.join(t.dimension("products", "ProductId", "GroupName"), "ProductId")
+    return mode_by_key(rows, ["State"], "GroupName", weight=F.col("_lines")).select(F.col("State").alias("state"),
                                                             F.col("GroupName").alias("group_name"))
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from storelens.functions.semantics import (as_long, in_years, is_blank_len, is_weekend, money_sum,
                                            price_band, year_diff)
-from storelens.operators.joins import broadcast_if_small
 from storelens.sources.tables import Tables
 
 # Fixed values of the reference: payment code labels and the price-band labels.
@@ -96,16 +95,15 @@ def order_count_by_channel_pivot(t: Tables,
 
 
 def weekend_order_flag(t: Tables) -> DataFrame:
-    return t.orders.select(F.col("OrderId").alias("order_id"),
+    return t.on_calendar(t.orders, "OrderDate").select(F.col("OrderId").alias("order_id"),
                            _flag(is_weekend("OrderDate"), 100.0, 0.0).alias("weekend_order"))
 
 
 def weekend_share_by_state(t: Tables) -> DataFrame:
     # per-state sums first (partial aggregation), then the semi join on a handful of rows
     flag = _flag(is_weekend("OrderDate"), 100.0, 0.0)
-    per_state = t.orders.groupBy("State").agg(F.sum(flag).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    # the distinct states are a handful of rows: measured, then broadcast
-    known = broadcast_if_small(t.zip_census.select(F.col("Stab").alias("State")).distinct())
+    per_state = t.on_calendar(t.orders, "OrderDate").groupBy("State").agg(F.sum(flag).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    known = t.zip_census.select(F.col("Stab").alias("State")).distinct()
     return (per_state.join(known, "State", "left_semi")
             .select(F.col("State").alias("state"), F.round(F.col("_s") / F.col("_n"), 2).alias("avg_weekend_order"))
             .orderBy(F.desc("avg_weekend_order"), "state"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from storelens.functions.geo import distance_miles, rad
 from storelens.functions.semantics import concat_text, money_sum, pct
-from storelens.operators.joins import broadcast_if_small
 from storelens.operators.ranking import mode_by_key
 from storelens.operators.spatial import pairs_within
 from storelens.sources.tables import Tables
@@ -102,7 +101,7 @@ def top_customer_zip_by_state(t: Tables, box: Sequence[float] = US_BOX) -> DataF
     o = t.orders.where(F.col("State") != "")
     per = o.groupBy("ZipCode", "State").agg(F.countDistinct("CustomerId").alias("nb_cust"))
     best = _top_zip_per_state(per, "nb_cust")
-    best = best.join(broadcast_if_small(t.zip_census.select(F.col("Stab").alias("State")).distinct()),
+    best = best.join(t.zip_census.select(F.col("Stab").alias("State")).distinct(),
                      "State", "left_semi")
     z = t.zip_census.where(_in_box(box)).select("zcta5", "Longitude", "Latitude")
     return (z.join(best, z.zcta5 == best.ZipCode)
@@ -143,7 +142,7 @@ def _reference_areas(t: Tables) -> DataFrame:
     groupBy-max then a join on (state, max): the per-state maxima are one row
     per state, so no state's areas are ever gathered in one task."""
     z = t.zip_census
-    mx = broadcast_if_small(z.groupBy(F.col("Stab").alias("_mstab")).agg(F.max("FBEurope").alias("_max")))
+    mx = z.groupBy(F.col("Stab").alias("_mstab")).agg(F.max("FBEurope").alias("_max"))
     return z.join(mx, (z.Stab == mx._mstab) & (z.FBEurope == mx._max)).select(
         z.Stab.alias("ref_stab"), z.zcta5.alias("ref_zcta5"), z.County.alias("ref_county"),
         z.ZIPName.alias("ref_zip_name"), z.Latitude.alias("_rlat"), z.Longitude.alias("_rlon"))
@@ -153,7 +152,7 @@ def distance_to_state_reference(t: Tables, metric: str = "sphere") -> DataFrame:
     z = t.zip_census.select("Stab", "zcta5", "County", "ZIPName", "Latitude", "Longitude")
     # a few rows per state (ties kept): measured, then broadcast, so the census
     # is never shuffled on its 25-odd state keys
-    ref = broadcast_if_small(_reference_areas(t))
+    ref = _reference_areas(t)
     j = z.join(ref, z.Stab == ref.ref_stab, "left")
     d = F.round(distance_miles(metric, F.col("Latitude"), F.col("Longitude"), F.col("_rlat"), F.col("_rlon")), 3)
     if metric == "sphere":

@@ -12,7 +12,6 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions import moments
 from storelens.functions.semantics import as_long, day_diff, in_years, int_avg, safe_ratio
 from storelens.operators.ranking import asc, desc, top_n
 from storelens.operators.spatial import within_of_point
@@ -96,8 +95,8 @@ def state_info(t: Tables, state: str = "NY") -> DataFrame:
     pop = F.col("TotPop")
     return z.agg(as_long(F.sum(pop)).alias("total_pop"), int_avg(pop).alias("avg_pop"),
                  F.min(pop).alias("min_pop"), F.max(pop).alias("max_pop"), F.count("zcta5").alias("n_areas"),
-                 F.round(moments.var_pop(pop, 0), 2).alias("var_pop"),
-                 F.round(moments.stddev_pop(pop, 0), 2).alias("stddev_pop"))
+                 F.round(F.var_pop(pop), 2).alias("var_pop"),
+                 F.round(F.stddev_pop(pop), 2).alias("stddev_pop"))
 
 
 def customers_per_month(t: Tables, year: int = 2013) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.semantics import as_long, dow_int, dow_name, price_band, safe_ratio
-from storelens.operators.joins import broadcast_if_small
 from storelens.plans.conditionals import DEFAULT_BAND_EDGES, band_labels
 from storelens.sources.tables import Tables
 
@@ -44,7 +43,7 @@ def share_by_gender(t: Tables) -> DataFrame:
 
 
 def share_by_weekday(t: Tables) -> DataFrame:
-    g = (t.orders.groupBy(dow_name("OrderDate").alias("dow"), as_long(dow_int("OrderDate")).alias("dow_int"))
+    g = (t.on_calendar(t.orders, "OrderDate").groupBy(dow_name("OrderDate").alias("dow"), as_long(dow_int("OrderDate")).alias("dow_int"))
          .agg(F.count(F.lit(1)).alias("orders_per_day")))
     return _share(g, "orders_per_day", "total", 2).orderBy("dow_int")
 
@@ -57,10 +56,10 @@ def share_by_channel(t: Tables) -> DataFrame:
 
 
 def product_gender_share(t: Tables, group: str = "BOOK") -> DataFrame:
-    p = broadcast_if_small(t.products.where(F.col("GroupName") == group).select("ProductId", "GroupName"))
+    p = t.products.where(F.col("GroupName") == group).select("ProductId", "GroupName")
     ol = t.order_lines.select("OrderId", "ProductId")
     o = t.orders.select("OrderId", "CustomerId")
-    c = broadcast_if_small(t.customers.where(F.col("Gender").isin("M", "F")).select("CustomerId", "Gender"))
+    c = t.customers.where(F.col("Gender").isin("M", "F")).select("CustomerId", "Gender")
     # orders meet the (size-checked) known-gender customers first, so orders of
     # customer 0 and of unknown gender are gone before the shuffle on OrderId
     known = o.join(c, "CustomerId")

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storelens.operators.joins import broadcast_if_small
 from storelens.sources.tables import Tables
 
 
@@ -23,11 +22,10 @@ def _nulls(name: str) -> F.Column:
 
 def zip_keys_unmatched(t: Tables) -> DataFrame:
     zce, zco = t.zip_census.select("zcta5"), t.zip_county.select("ZipCode")
-    # keys on one side only = (census anti county) + (county anti census)
-    left = zce.join(zco, zce.zcta5 == zco.ZipCode, "left_anti").select("zcta5", _nulls("zip_code"))
-    right = zco.join(zce, zce.zcta5 == zco.ZipCode, "left_anti").select(_nulls("zcta5"),
-                                                                          F.col("ZipCode").alias("zip_code"))
-    return left.unionByName(right).orderBy(F.asc_nulls_first("zcta5"), F.asc_nulls_first("zip_code"))
+    # keys are near unique on both sides: one full join shuffles each side once
+    both = zce.join(zco, zce.zcta5 == zco.ZipCode, "full").select("zcta5", F.col("ZipCode").alias("zip_code"))
+    one_sided = F.col("zcta5").isNull() | F.col("zip_code").isNull()
+    return both.where(one_sided).orderBy(F.asc_nulls_first("zcta5"), F.asc_nulls_first("zip_code"))
 
 
 def repair_pipeline(t: Tables, stages: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
@@ -47,8 +45,7 @@ def repair_pipeline(t: Tables, stages: tuple[str, ...] | None = None) -> dict[st
     }
     wanted = set(stages or ORDER_STAGES + tuple(out))
     if wanted & set(ORDER_STAGES):
-        # the repaired census is a dimension: broadcast it if it measures small
-        zips = broadcast_if_small(census_ok.select("zcta5"))
+        zips = census_ok.select("zcta5")
         orders = t.orders
         orders_ok = orders.join(zips, orders.ZipCode == zips.zcta5, "left_semi")
         lines = t.order_lines
@@ -70,16 +67,17 @@ ORDER_STAGES = ("orders_unknown_zip", "orders_repaired", "order_lines_orphans",
 
 def not_in(df: DataFrame, col: str, other: DataFrame, other_col: str) -> DataFrame:
     """``df.col NOT IN (SELECT other_col FROM other)`` with SQL NULL rules:
-    no row at all if the list holds a NULL, and never a row whose value is NULL.
+    no row at all if the list holds a NULL, no row whose value is NULL unless the list is empty.
 
     Written as a hash anti join plus a scalar "list has a NULL" flag instead
     of Spark's null-aware anti join, which needs a broadcastable list (else a
     nested loop join).
     """
     keys = other.select(F.col(other_col).alias("_k"))
+    # 1: the list holds a NULL, 0: it does not, NULL: it is empty
     has_null = keys.agg(F.max(F.col("_k").isNull().cast("int"))).scalar()
-    anti = df.where(F.col(col).isNotNull()).join(keys, F.col(col) == F.col("_k"), "left_anti")
-    return anti.where(F.coalesce(has_null, F.lit(0)) == 0)
+    anti = df.join(keys, F.col(col) == F.col("_k"), "left_anti")
+    return anti.where(has_null.isNull() | ((has_null == 0) & F.col(col).isNotNull()))
 
 
 def _stage(key: str):

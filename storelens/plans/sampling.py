@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from storelens.functions.semantics import as_long, in_years, is_weekend, money_avg, safe_ratio, seeded_key
 from storelens.operators import sampling
-from storelens.operators.joins import broadcast_if_small
 from storelens.operators.ranking import asc, desc, ntile
 from storelens.sources.tables import Tables
 
@@ -54,7 +53,7 @@ def sample_stratified(t: Tables, step: int = 100, offset: int = 3) -> DataFrame:
 
 
 def _big_orders(t: Tables, year: int, min_price: float) -> DataFrame:
-    return t.orders.where(in_years("OrderDate", [year]) & (F.col("TotalPrice") > min_price))
+    return t.on_calendar(t.orders.where(in_years("OrderDate", [year]) & (F.col("TotalPrice") > min_price)), "OrderDate")
 
 
 def _weekend_split(df: DataFrame) -> DataFrame:
@@ -78,7 +77,7 @@ def sample_balanced(t: Tables, k: int = 50, year: int = 2015, min_price: float =
 # --- average-value models -------------------------------------------------
 
 def _gender_orders(t: Tables, gender: str) -> DataFrame:
-    c = broadcast_if_small(t.customers.where(F.col("Gender") == gender).select("CustomerId"))
+    c = t.customers.where(F.col("Gender") == gender).select("CustomerId")
     return t.orders.join(c, "CustomerId")
 
 
@@ -93,49 +92,64 @@ def avg_price_all_years(t: Tables, gender: str = "F") -> DataFrame:
             .agg(money_avg("TotalPrice").alias("average_total_price")).orderBy("year"))
 
 
-def _model_parts(t: Tables, dims: Sequence[str], model_year: int, score_year: int, gender: str):
-    """(score rows, model cells, fallback scalar) of the average-value model.
+def _cells(t: Tables, dims: Sequence[str], model_year: int, score_year: int, gender: str) -> DataFrame:
+    """One row per dimension cell from one pass over the gender's orders: sum, count and average
+    of the model year (``_ms``, ``_mn``, ``_cell``), the same of the score year and its rows
+    (``_ss``, ``_sn``, ``_rows``), and whether the rows are scored (``_in``).
 
-    Orders without a campaign are not scored when a dimension is the channel
-    (inner join, as in the reference)."""
+    When a dimension is the channel, an order without a campaign is neither scored nor part of a
+    cell (inner join, as in the reference), but it counts in the overall average."""
     data = _gender_orders(t, gender).where(in_years("OrderDate", [model_year, score_year]))
-    model_rows = data.where(in_years("OrderDate", [model_year]))
-    fallback = model_rows.agg(F.sum("TotalPrice").cast("double") / F.count("TotalPrice")).scalar()
-    score = data.where(in_years("OrderDate", [score_year]))
+    seen = F.lit(True)
     if "Channel" in dims:
-        camp = t.dimension("campaigns", "CampaignId", "Channel")
-        score, model_rows = score.join(camp, "CampaignId"), model_rows.join(camp, "CampaignId")
-    model = model_rows.groupBy(*dims).agg(
-        (F.sum("TotalPrice").cast("double") / F.count("TotalPrice")).alias("_cell"))
-    # one row per dimension cell: measured, then broadcast
-    return score, broadcast_if_small(model), fallback
+        data = data.join(t.dimension("campaigns", "CampaignId", "Channel").withColumn("_seen", F.lit(True)), "CampaignId", "left")
+        seen = F.coalesce("_seen", F.lit(False))
+    price, model = F.col("TotalPrice"), in_years("OrderDate", [model_year])
+    cells = data.groupBy(*dims, seen.alias("_in")).agg(
+        F.sum(F.when(model, price)).alias("_ms"), F.count(F.when(model, price)).alias("_mn"),
+        F.sum(F.when(~model, price)).alias("_ss"), F.count(F.when(~model, price)).alias("_sn"),
+        F.count(F.when(~model, 1)).alias("_rows"))
+    return cells.select("*", F.when(F.col("_mn") > 0, F.col("_ms").cast("double") / F.col("_mn")).alias("_cell"))
+
+
+def _overall():
+    """The model-year average over all orders, from their cells."""
+    return F.sum("_ms").cast("double") / F.nullif(F.sum("_mn"), F.lit(0))
 
 
 def scored_orders(t: Tables, dims: Sequence[str], model_year: int = 2014, score_year: int = 2015,
                   gender: str = "F") -> DataFrame:
     """Score-year orders with the model-year average of their dimension cell
     (``model``), falling back to the overall model-year average."""
-    score, model, fallback = _model_parts(t, dims, model_year, score_year, gender)
-    scored = score.join(model, list(dims), "left")
-    return scored.select("OrderId", F.col("TotalPrice").alias("score"),
-                         F.coalesce(F.col("_cell"), fallback).alias("model"))
+    cells = _cells(t, dims, model_year, score_year, gender)
+    fallback = cells.agg(_overall()).scalar()
+    score = _gender_orders(t, gender).where(in_years("OrderDate", [score_year]))
+    if "Channel" in dims:
+        score = score.join(t.dimension("campaigns", "CampaignId", "Channel"), "CampaignId")
+    known = cells.where(F.col("_in") & F.col("_cell").isNotNull()).select(*dims, "_cell")
+    return score.join(known, list(dims), "left").select("OrderId", F.col("TotalPrice").alias("score"),
+                                                        F.coalesce(F.col("_cell"), fallback).alias("model"))
 
 
 def value_model(t: Tables, dims: Sequence[str] = ("State",), model_year: int = 2014, score_year: int = 2015,
                 gender: str = "F") -> DataFrame:
-    """Averages of the actual and the predicted score-year price.
-
-    Score rows are first summed per dimension cell (exact decimal sums and
-    counts), so only one row per cell meets the model; the averages are the
-    cell sums over the cell counts."""
-    score, model, fallback = _model_parts(t, dims, model_year, score_year, gender)
-    cells = score.groupBy(*dims).agg(F.sum("TotalPrice").alias("_ss"), F.count("TotalPrice").alias("_sn"),
-                                     F.count(F.lit(1)).alias("_rows"))
-    pred = F.coalesce(F.col("_cell"), fallback)
-    j = cells.join(model, list(dims), "left")
-    return j.agg(F.round(F.sum("_ss").cast("double") / F.sum("_sn"), 6).alias("avg_score"),
-                 F.round(F.sum(pred * F.col("_rows")) / F.sum(F.when(pred.isNotNull(), F.col("_rows"))), 6)
-                 .alias("avg_model"))
+    """Averages of the actual and the predicted score-year price, from one row per
+    dimension cell: orders are read once.  Score rows of cells without a model-year
+    price, or with a NULL dimension, are predicted by the overall average."""
+    cells = _cells(t, dims, model_year, score_year, gender)
+    known = F.col("_cell").isNotNull()
+    for d in dims:
+        known = known & F.col(d).isNotNull()
+    own = F.when(F.col("_in") & known, F.col("_cell") * F.col("_rows"))
+    rest = F.when(F.col("_in") & ~known, F.col("_rows"))
+    total = cells.agg(_overall().alias("_all"), F.sum(F.when(F.col("_in"), F.col("_ss"))).alias("_s"),
+                      F.sum(F.when(F.col("_in"), F.col("_sn"))).alias("_n"), F.sum(own).alias("_own"),
+                      F.sum(F.when(own.isNotNull(), F.col("_rows"))).alias("_on"), F.sum(rest).alias("_rest"))
+    rest_n = F.when(F.col("_all").isNotNull(), F.coalesce("_rest", F.lit(0))).otherwise(F.lit(0))
+    rows = F.coalesce("_on", F.lit(0)) + rest_n
+    return total.select(F.round(F.col("_s").cast("double") / F.nullif(F.col("_n"), F.lit(0)), 6).alias("avg_score"),
+                        F.round((F.coalesce("_own", F.lit(0.0)) + rest_n * F.coalesce("_all", F.lit(0.0))) / F.nullif(rows, F.lit(0)), 6)
+                        .alias("avg_model"))
 
 
 def value_chart(t: Tables, dims: Sequence[str] = ("Channel", "PaymentType"), buckets: int = 10,

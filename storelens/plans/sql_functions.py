@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from storelens.oracle.geo_sql import dbl, ellipsoid
+from storelens.functions.geo_sql import dbl, ellipsoid
 from storelens.sources.tables import Tables, register_views
 
 
@@ -84,6 +84,38 @@ RETURNS TABLE (month_order BIGINT, number_of_customers BIGINT)
 RETURN SELECT CAST(month(OrderDate) AS BIGINT), count(DISTINCT CustomerId) FROM {p}Orders
   WHERE OrderDate >= make_date(focus_year, 1, 1) AND OrderDate < make_date(focus_year + 1, 1, 1)
   GROUP BY month(OrderDate)""",
+        "state_top_payment": f"""(cutoff DATE)
+RETURNS TABLE (state STRING, payment_type STRING)
+RETURN SELECT State, min(struct(-n AS n, PaymentType AS label)).label
+  FROM (SELECT State, PaymentType, count(*) AS n FROM {p}Orders WHERE OrderDate < cutoff GROUP BY State, PaymentType)
+  GROUP BY State""",
+        "state_top_group": f"""(cutoff DATE)
+RETURNS TABLE (state STRING, group_name STRING)
+RETURN SELECT State, min(struct(-n AS n, GroupName AS label)).label
+  FROM (SELECT s.State, p.GroupName, sum(s.n) AS n
+        FROM (SELECT o.State, l.ProductId, count(*) AS n FROM {p}Orders o JOIN {p}OrderLines l ON l.OrderId = o.OrderId
+              WHERE o.OrderDate < cutoff GROUP BY o.State, l.ProductId) s
+        JOIN {p}Products p ON p.ProductId = s.ProductId GROUP BY s.State, p.GroupName)
+  GROUP BY State""",
+        "state_orders": f"""(cutoff DATE)
+RETURNS TABLE (state STRING, n_orders BIGINT, total_price DECIMAL(38,2), avg_price DOUBLE, n_household_ids BIGINT)
+RETURN SELECT s.State, sum(s.n), CAST(sum(s.total) AS DECIMAL(38,2)), round(CAST(sum(s.total) AS DOUBLE) / sum(s.priced), 6),
+    sum(if(c.HouseholdId IS NOT NULL, s.n, 0))
+  FROM (SELECT State, CustomerId, count(*) AS n, sum(TotalPrice) AS total, count(TotalPrice) AS priced
+        FROM {p}Orders WHERE OrderDate < cutoff GROUP BY State, CustomerId) s
+  JOIN {p}Customers c ON c.CustomerId = s.CustomerId GROUP BY s.State""",
+        "state_signature": f"""(cutoff DATE)
+RETURNS TABLE (state STRING, n_orders BIGINT, total_price DECIMAL(38,2), avg_price DOUBLE, n_household_ids BIGINT,
+               top_payment STRING, top_group STRING, cutoff_date DATE)
+RETURN SELECT a.state, a.n_orders, a.total_price, a.avg_price, a.n_household_ids, b.payment_type, d.group_name, cutoff
+  FROM {p}state_orders(cutoff) a JOIN {p}state_top_payment(cutoff) b ON b.state = a.state
+  JOIN {p}state_top_group(cutoff) d ON d.state = a.state WHERE a.state <> ''""",
+        "three_years_of_sales": f"""(cutoff DATE)
+RETURNS TABLE (state STRING, y_minus_2 DECIMAL(38,2), y_minus_1 DECIMAL(38,2), y DECIMAL(38,2))
+RETURN SELECT State, CAST(sum(TotalPrice) FILTER (WHERE back = 2) AS DECIMAL(38,2)),
+    CAST(sum(TotalPrice) FILTER (WHERE back = 1) AS DECIMAL(38,2)), CAST(sum(TotalPrice) FILTER (WHERE back = 0) AS DECIMAL(38,2))
+  FROM (SELECT State, TotalPrice, year(cutoff) - year(OrderDate) AS back FROM {p}Orders)
+  GROUP BY State""",
     }
 
 

@@ -117,7 +117,7 @@ def max_order_by_customer(t: Tables, exclude_customer: int = 0) -> DataFrame:
 
 
 def orders_by_month_name(t: Tables) -> DataFrame:
-    # Calendar attributes are a function of the date: computed in place of a join.
-    return (t.orders.groupBy(month_abbr("OrderDate").alias("month"))
+    # the calendar decides which orders count; its attributes are a function of the date
+    return (t.on_calendar(t.orders, "OrderDate").groupBy(month_abbr("OrderDate").alias("month"))
             .agg(F.count(F.lit(1)).alias("number_of_orders"))
             .orderBy(F.desc("number_of_orders"), "month"))

@@ -14,9 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelens.functions import moments
 from storelens.functions.semantics import MONEY_SUM, as_long, in_years, money_avg, money_sum, month_abbr
-from storelens.operators.joins import broadcast_if_small
 from storelens.operators.percentiles import exact_percentiles
 from storelens.operators.ranking import asc, desc, ntile, top_k_per_group
 from storelens.sources.tables import Tables
@@ -76,14 +74,14 @@ def fee_dispersion_by_plan(t: Tables, max_id: int = 10000) -> DataFrame:
     fee = F.col("MonthlyFee")
     return s.groupBy(F.col("RatePlan").alias("rate_plan")).agg(
         money_avg(fee, 2).alias("avg_fee"),
-        F.round(moments.var_samp(fee), 2).alias("var_fee"),
-        F.round(moments.var_pop(fee), 2).alias("varp_fee"),
-        F.round(moments.stddev_samp(fee), 2).alias("stdev_fee"),
-        F.round(moments.stddev_pop(fee), 2).alias("stdevp_fee"))
+        F.round(F.var_samp(fee), 2).alias("var_fee"),
+        F.round(F.var_pop(fee), 2).alias("varp_fee"),
+        F.round(F.stddev_samp(fee), 2).alias("stdev_fee"),
+        F.round(F.stddev_pop(fee), 2).alias("stdevp_fee"))
 
 
 def month_vs_first_year(t: Tables, years: Sequence[int] = (2013, 2014, 2015)) -> DataFrame:
-    o = t.orders.where(in_years("OrderDate", years))
+    o = t.on_calendar(t.orders.where(in_years("OrderDate", years)), "OrderDate")
     monthly = (o.groupBy(as_long(F.year("OrderDate")).alias("order_year"), F.month("OrderDate").alias("_month"),
                          month_abbr("OrderDate").alias("month_abbr"))
                .agg(money_sum("TotalPrice").alias("sum_price")))
@@ -96,7 +94,7 @@ def month_vs_first_year(t: Tables, years: Sequence[int] = (2013, 2014, 2015)) ->
 
 
 def new_subscribers_vs_last_plan(t: Tables, years: Sequence[int] = (2003, 2004, 2005, 2006)) -> DataFrame:
-    s = t.subscribers.where(in_years("StartDate", years))
+    s = t.on_calendar(t.subscribers.where(in_years("StartDate", years)), "StartDate")
     counts = (s.groupBy(as_long(F.year("StartDate")).alias("subs_year"), F.col("RatePlan").alias("rate_plan"))
               .agg(F.count("SubscriberId").alias("subs_num")))
     w = (Window.partitionBy("subs_year").orderBy("rate_plan")
@@ -107,10 +105,10 @@ def new_subscribers_vs_last_plan(t: Tables, years: Sequence[int] = (2003, 2004,
 
 
 def best_sellers_prev_next(t: Tables, k: int = 10, exclude: Sequence[str] = ("#N/A", "FREEBIE")) -> DataFrame:
-    p = broadcast_if_small(t.products.where(~F.col("GroupName").isin(*exclude)).select("ProductId", "GroupName"))
-    sales = (t.order_lines.select("ProductId", "TotalPrice").join(p, "ProductId")
-             .groupBy(F.col("GroupName").alias("group_name"), F.col("ProductId").alias("product_id"))
-             .agg(money_sum("TotalPrice").alias("sum_price")))
+    p = t.products.where(~F.col("GroupName").isin(*exclude)).select("ProductId", "GroupName")
+    # lines are summed per product before the join: one row per product meets the products
+    sold = t.order_lines.groupBy("ProductId").agg(money_sum("TotalPrice").alias("sum_price"))
+    sales = sold.join(p, "ProductId").select(F.col("GroupName").alias("group_name"), F.col("ProductId").alias("product_id"), "sum_price")
     w = Window.partitionBy("group_name").orderBy(F.desc("sum_price"), "product_id")
     # top k per group without sorting a whole group in one task; LAG/LEAD then
     # run over the k kept rows per group only
@@ -135,7 +133,7 @@ def median_order_by_month(t: Tables, p: float = 0.5, approx: bool = False) -> Da
     """Continuous and discrete median of the order totals per month; exact by
     default, or Spark's mergeable sketch when ``approx`` (PERCENTILE_DISC-like
     value for both columns, relative rank error 1e-4)."""
-    o = t.orders.select(as_long(F.year("OrderDate")).alias("year"), as_long(F.month("OrderDate")).alias("month"),
+    o = t.on_calendar(t.orders, "OrderDate").select(as_long(F.year("OrderDate")).alias("year"), as_long(F.month("OrderDate")).alias("month"),
                         month_abbr("OrderDate").alias("month_abbr"), "TotalPrice")
     keys = ["year", "month", "month_abbr"]
     if approx:

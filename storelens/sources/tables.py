@@ -5,7 +5,7 @@ retail/census relations the analytics read (orders, order lines, products,
 customers, campaigns, calendar, subscribers, ZIP census, ZIP county) as lazy
 projections over them.  Every view is a narrow projection/filter of one scan,
 so Catalyst prunes columns and pushes filters into the parquet reader; only
-``calendar`` needs a (tiny, partially aggregated) DISTINCT.
+``calendar`` is generated, as a table of its own that no other relation feeds.
 
 The mapping rules are fixed values that the DuckDB oracle repeats verbatim
 (``storelens.oracle.views``); see FIXTURES.md part B.
@@ -19,13 +19,11 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RAW_TABLES = ("orders", "lineitem", "part", "customer")
+RAW_TABLES = ("orders", "lineitem", "part", "customer", "supplier")
 
 MONEY = "decimal(12,2)"
 
-# Row counts of dimension relations, per (application, folder, relation).  A
-# count only decides whether a join side is broadcast, never a result.
-_ROW_COUNTS: dict[tuple[str, str, str], int] = {}
+CALENDAR_SPAN = ("1992-01-01", "2003-12-31")
 
 
 def load_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,15 +52,10 @@ class Tables:
         return self._raw[name]
 
     def dimension(self, name: str, *cols: str | Column) -> DataFrame:
-        """A projection of a dimension relation for a join with a fact table,
-        with a broadcast hint only if its measured size is under Spark's
-        broadcast threshold (one count per relation and session)."""
-        from storelens.operators.joins import broadcast_if_small
+        """A projection of a relation; whether a join broadcasts it is decided by
+        Spark from file statistics and, at run time, by AQE."""
         base = getattr(self, name)
-        key = (self.spark.sparkContext.applicationId, self.sf_dir.rstrip("/"), name)
-        if key not in _ROW_COUNTS:
-            _ROW_COUNTS[key] = base.count()
-        return broadcast_if_small(base.select(*cols) if cols else base, rows=_ROW_COUNTS[key])
+        return base.select(*cols) if cols else base
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -79,7 +72,7 @@ class Tables:
             key.alias("OrderId"),
             F.when(o.o_custkey % 10 == 0, F.lit(0).cast("bigint"))
              .otherwise(o.o_custkey).alias("CustomerId"),
-            (key % 45).alias("CampaignId"),
+            F.expr("o_custkey div 14").alias("CampaignId"),
             o.o_orderdate.cast("date").alias("OrderDate"),
             F.concat(F.lit("City"), z.cast("string")).alias("City"),
             F.when(key % 200 == 0, F.lit("")).otherwise(_state_code(z)).alias("State"),
@@ -124,13 +117,12 @@ class Tables:
 
     @cached_property
     def campaigns(self) -> DataFrame:
-        p = self.raw("part")
-        ch = (F.when(p.p_partkey % 5 == 0, "WEB").when(p.p_partkey % 5 == 1, "AD")
-              .when(p.p_partkey % 5 == 2, "MAIL").when(p.p_partkey % 5 == 3, "REFERRAL")
+        s = self.raw("supplier")
+        ch = (F.when(s.s_suppkey % 5 == 0, "WEB").when(s.s_suppkey % 5 == 1, "AD")
+              .when(s.s_suppkey % 5 == 2, "MAIL").when(s.s_suppkey % 5 == 3, "REFERRAL")
               .otherwise("CATALOG"))
-        return p.where(p.p_partkey < 40).select(
-            p.p_partkey.alias("CampaignId"), ch.alias("Channel"),
-            (p.p_size % 4 * 5).alias("Discount"))
+        return s.select(s.s_suppkey.alias("CampaignId"), ch.alias("Channel"),
+                        (s.s_nationkey % 4 * 5).cast("int").alias("Discount"))
 
     @cached_property
     def subscribers(self) -> DataFrame:
@@ -172,8 +164,8 @@ class Tables:
             (-130 + dbl(p * 53 % 7000) / 100).alias("Longitude"),
             (dbl(p * 17 % 4000) / 10).alias("AreaSQMI"),
             (b * 480).alias("Males"), (b * 500).alias("Females"),
-            F.when(b == 0, F.lit(0).cast("bigint")).otherwise(b * 1000 + p % 1000).alias("TotPop"),
-            (b * 10).alias("FBEurope"), (b * 10 * (p % 15)).alias("FBMinusSea"),
+            F.when(b == 0, F.lit(0).cast("bigint")).otherwise(b * 1000 + p * 7 % 1000).alias("TotPop"),
+            (b * 1000 + p % 997).alias("FBEurope"), (b * 10 * (p % 15)).alias("FBMinusSea"),
             (b * 10 * (p % 25)).alias("BornOutsideUS"),
             (b * 10).alias("OwnerOcc"), (b * (p % 10)).alias("HvalOverMillion"),
             (b * 400).alias("TotHHs"), (b * 4 * (p % 100)).alias("HHInc0"),
@@ -189,10 +181,17 @@ class Tables:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        """One row per order day; attributes equal ``functions.semantics.calendar_attrs``."""
-        d = self.raw("orders").select(F.col("o_orderdate").cast("date").alias("Date")).distinct()
+        """The days of CALENDAR_SPAN but the 31st of any month: some order days are not in it."""
+        first, last = (F.lit(d).cast("date") for d in CALENDAR_SPAN)
+        d = self.spark.range(1).select(F.explode(F.sequence(first, last)).alias("Date")).where(F.dayofmonth("Date") != 31)
         return d.select("Date", *_calendar_cols(F.col("Date")))
 
+    def on_calendar(self, df: DataFrame, date: str) -> DataFrame:
+        """The rows of ``df`` that an inner join with the calendar keeps: a NULL date or a day
+        that the calendar lacks goes.  The calendar is a small table that Spark broadcasts."""
+        days = self.calendar.select(F.col("Date").alias("_day"))
+        return df.join(days, F.col(date) == F.col("_day"), "left_semi")
+
 
 def _calendar_cols(d: Column) -> list[Column]:
     return [F.year(d).alias("Year"), F.month(d).alias("Month"),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from storelens.functions import geo, moments
+from storelens.functions import geo
 from storelens.functions.semantics import int_avg, is_blank_len, price_band, safe_ratio, year_diff
 from storelens.operators.percentiles import exact_percentiles
 from storelens.operators.ranking import asc, desc, mode_by_key, ntile, row_numbers
@@ -126,10 +126,64 @@ def test_scalar_edges(spark):
     assert neg == -1
 
 
-def test_one_row_variance_is_null(spark):
-    df = spark.createDataFrame([(1.5,)], "x double")
-    r = df.agg(moments.var_samp(F.col("x")).alias("v"), moments.var_pop(F.col("x")).alias("p")).first()
-    assert r.v is None and r.p == 0.0
+def test_integer_average_of_many_rows(spark):
+    # the exact average 1.9999997 truncates to 1
+    n = 3_000_000
+    df = spark.range(n).select(F.when(F.col("id") < n - 1, 2).otherwise(1).cast("long").alias("x"))
+    assert df.agg(int_avg("x").alias("m")).first().m == 1
+
+
+@pytest.mark.parametrize("rows", [["25000000.00", "25000000.01", "25000000.02"] * 100, ["31415926.00", "31415926.01", "31415926.02"] * 100 + ["31415926.00"]])
+def test_variance_of_close_values(spark, rows):
+    import datetime as dt
+    import statistics
+    from decimal import Decimal
+
+    from storelens.plans import windows
+
+    class Subscribers:
+        subscribers = spark.createDataFrame([(i, "p", Decimal(v), dt.date(2000, 1, 1)) for i, v in enumerate(rows)],
+                                            "SubscriberId long, RatePlan string, MonthlyFee decimal(12,2), StartDate date")
+
+    got = windows.fee_dispersion_by_plan(Subscribers).first()
+    want = statistics.stdev(map(Decimal, rows))
+    assert abs(got.stdev_fee - float(want)) < 0.006 and abs(got.var_fee - float(want) ** 2) < 0.006 and got.var_fee >= 0
+
+
+def test_not_in_empty_list_keeps_nulls(spark):
+    left = spark.createDataFrame([(1,), (None,)], "k long")
+    assert not_in(left, "k", left.limit(0), "k").count() == 2
+
+
+def test_dates_outside_the_calendar_go(spark, tables):
+    import datetime as dt
+    rows = [(1, dt.date(1999, 1, 30)), (2, dt.date(1999, 1, 31)), (3, None), (4, dt.date(2050, 1, 1))]
+    df = spark.createDataFrame(rows, "id long, d date")
+    assert [r.id for r in tables.on_calendar(df, "d").collect()] == [1]
+
+
+def test_null_price_is_not_high(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    from storelens.plans import classify
+
+    class Orders:
+        orders = spark.createDataFrame([(1, 1, None, "AE", dt.date(1999, 1, 1)), (2, 1, Decimal(5), "AE", dt.date(1999, 1, 1))],
+                                       "OrderId long, CampaignId long, TotalPrice decimal(12,2), PaymentType string, OrderDate date")
+
+        @staticmethod
+        def dimension(name, *cols):
+            return spark.createDataFrame([(1, "WEB")], "CampaignId long, Channel string")
+
+    r = classify.high_order_probability(Orders, 1999, 100.0).first()
+    assert (r.n_high, r.n_not_high, r.high_probability) == (0, 2, 0.0)
+
+
+def test_radius_zero_finds_nothing(spark):
+    from storelens.operators.spatial import pairs_within
+    df = spark.createDataFrame([(1.0, 2.0)], "Latitude double, Longitude double")
+    assert pairs_within(df, df, 0).count() == 0 and pairs_within(df, df, 1).count() == 1
 
 
 def test_not_in_null_semantics(spark):
@@ -150,15 +204,13 @@ def test_samples(spark):
     assert sorted(r[1] for r in b.groupBy("c").count().collect()) == [50, 50]
 
 
-def test_exact_percentiles_fallback_when_bracket_misses(spark, monkeypatch):
-    from storelens.operators import percentiles
-    # an inverted bracket (lower bound above the upper one) misses every target rank
-    monkeypatch.setattr(percentiles, "MARGIN", -0.3)
+@pytest.mark.parametrize("buckets", [1, 7, 4096])
+def test_exact_percentiles_null_group_and_buckets(spark, buckets):
     rnd = random.Random(11)
-    df = spark.createDataFrame([(g, float(rnd.randint(0, 99))) for g in range(3) for _ in range(200)],
-                               "g long, v double")
-    got = {r.g: (r.percentile_cont, r.percentile_disc) for r in percentiles.exact_percentiles(df, ["g"], "v").collect()}
-    want = {r.g: (r.c, r.d) for r in df.groupBy("g").agg(
+    rows = [(g, float(rnd.randint(0, 99))) for g in (0, 1, None) for _ in range(200)] + [(5, 3.0)] * 50 + [(6, None)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    got = {r.g: (r.percentile_cont, r.percentile_disc) for r in exact_percentiles(df, ["g"], "v", buckets=buckets).collect()}
+    want = {r.g: (r.c, r.d) for r in df.where("v is not null").groupBy("g").agg(
         F.percentile("v", 0.5).alias("c"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("d")).collect()}
     assert got == want
 
@@ -187,16 +239,6 @@ def test_full_outer_with_small_equals_full_join(spark):
     assert got == want
 
 
-def test_broadcast_if_small_checks_size(spark):
-    from storelens.operators.joins import broadcast_if_small
-    df = spark.range(100)
-    hinted = broadcast_if_small(df, max_bytes=10_000)
-    plain = broadcast_if_small(df, max_bytes=100)
-    assert "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in plain._jdf.queryExecution().logical().toString().lower()
-    assert broadcast_if_small(df, max_bytes=-1) is df
-
-
 def test_median_approx_close_to_exact(tables):
     from storelens.plans import windows
     ex = {(r.year, r.month): r.percentile_disc for r in windows.median_order_by_month(tables).collect()}

@@ -15,3 +15,25 @@ def test_no_forbidden_operators(spark, key):
     df = run(key, spark, SMALL_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [op for op in FORBIDDEN if op in plan]
+
+
+# numbering reads a bounded sample of its keys while the plan is built
+NUMBERED = {"price_quartiles", "top_decile_customers", "sample_top_percent", "sample_repeated", "sample_stratified", "value_chart"}
+
+
+def test_building_a_query_starts_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    for key in ENTRIES:
+        if key not in NUMBERED:
+            spark.sparkContext.setJobGroup(f"build-{key}", key)
+            run(key, spark, SMALL_DIR)
+            # reading a Parquet schema is a job of Spark's own; one per table read
+            assert len(tracker.getJobIdsForGroup(f"build-{key}")) <= 5, key
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("key, scans", [("value_model_state", 2), ("value_model_channel_payment", 3), ("lookup_product_dow", 2), ("lookup_zip_payment", 1),
+                                        ("zip_keys_unmatched", 2), ("best_sellers_prev_next", 2)])
+def test_each_input_is_read_once(spark, key, scans):
+    plan = run(key, spark, SMALL_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == scans

@@ -60,3 +60,15 @@ def test_scalar_and_defaults(spark, tables, fns):
     assert spark.sql("SELECT * FROM fx_areas_closest_in_size()").count() == 10
     ratio = spark.sql("SELECT * FROM fx_areas_other_language(0.66)").count()
     assert ratio == s6.areas_other_language(tables, 0.66).count()
+
+
+@pytest.mark.parametrize("name", ["state_top_payment", "state_top_group", "state_orders", "state_signature", "three_years_of_sales"])
+def test_cutoff_functions(spark, tables, fns, name):
+    import datetime as dt
+
+    from storelens.plans import classify
+
+    got = spark.sql(f"SELECT * FROM fx_{name}(DATE'2000-01-01')")
+    want = getattr(classify, name)(tables, dt.date(2000, 1, 1))
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
