@@ -24,7 +24,7 @@ every class is first held against one leader, the class whose signatures are sha
 most (the original of edited copies); components of those links are formed;
 then only pairs of classes in different components are held against each other.  So a
 family of near copies costs rows in proportion to its size.  A pair first has to pass
-a bound that never rejects a link (sizes, and differences of counts in CELLS cells),
+bounds that never reject a link (sizes, parities and differences of counts in cells),
 then the exact sets decide.
 """
 
@@ -35,7 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm.common import broadcast_up_to, require, shared_folder, stored
@@ -47,8 +47,8 @@ BAND = 2
 #: KEPT in tenths.
 KEPT = 9 - (2 * BAND + 1)
 CELLS = 64
-#: Cells of the coarse counts that the join itself compares, packed into two longs.
-FOLDED = 16
+#: What the join itself compares: the parities of the counts of 256 cells, in four longs.
+PARITIES = ["p0", "p1", "p2", "p3"]
 SLICE_BYTES = 4 << 20
 #: Rows of keys, or of narrow class and label tables, that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -124,9 +124,11 @@ def _sketches(hasher, texts, batch):
     row = np.repeat(np.arange(len(texts)), np.diff(at))
     cells = np.bincount(row * CELLS + (key & U64(CELLS - 1)).astype("int64"), minlength=CELLS * len(texts))
     cells = cells.reshape(len(texts), CELLS)
-    folded = np.minimum(cells.reshape(len(texts), FOLDED, -1).sum(axis=2), 255).astype("u1").view("int64")
     cells = np.minimum(cells, 255).astype("u1")
-    return batch.column(1), batch.column(2), np.diff(at), class_ids(key, at), [c.tobytes() for c in cells], folded[:, 0].copy(), folded[:, 1].copy()
+    odd = np.bincount(row * 256 + (key >> U64(8) & U64(255)).astype("int64"), minlength=256 * len(texts)) & 1
+    odd = np.packbits(odd.astype("u1").reshape(len(texts), 256), axis=1).view("int64")
+    return (batch.column(1), batch.column(2), np.diff(at), class_ids(key, at), [c.tobytes() for c in cells],
+            *odd.T.copy())
 
 
 def _first_of_class(key: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -173,14 +175,6 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(F.col("d") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
 
-def _folded_difference(side: str) -> Column:
-    """What the eight counts packed in a long differ by: never more than the sets do."""
-    def count(of: str, i: int) -> Column:
-        return F.shiftrightunsigned(F.col(f"{of}.{side}"), 8 * i).bitwiseAND(F.lit(255))
-
-    return reduce(lambda x, y: x + y, [F.abs(count("one", i) - count("two", i)) for i in range(8)])
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     @F.arrow_udf("boolean")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -214,10 +208,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_key"))
 
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("cells", pa.binary()),
-                        ("low", pa.int64()), ("high", pa.int64())])
-    sketched = rows.mapInArrow(_per_slice(_sketches, schema), "doc_id long, text_key long, n int, class long, cells binary, low long, high long")
+                        *[(c, pa.int64()) for c in PARITIES]])
+    sketched = rows.mapInArrow(_per_slice(_sketches, schema), "doc_id long, text_key long, n int, class long, cells binary, "
+                              + ", ".join(f"{c} long" for c in PARITIES))
     members = stored(sketched, folder, "members")
-    classes = stored(members.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("low").alias("low"), F.first("high").alias("high"),
+    classes = stored(members.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("cells", *PARITIES)],
                                                                 F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")), folder, "classes")
 
     schema = pa.schema([("signature", pa.int64()), ("class", pa.int64()), ("n", pa.int32())])
@@ -249,13 +244,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     small = broadcast_up_to(labels.toDF("class", "label"), BROADCAST_CLASSES)
     apart = met.join(small, "class", "left").withColumn("label", F.coalesce("label", "class"))
     apart = apart.selectExpr("*", f"min(label) {group} as l0", f"max(label) {group} as l1").filter("l0 < l1 and class != leader").drop("l0", "l1", "leader")
-    apart = apart.join(broadcast_up_to(classes.select("class", "low", "high"), BROADCAST_CLASSES), "class")
+    apart = apart.join(broadcast_up_to(classes.select("class", *PARITIES), BROADCAST_CLASSES), "class")
     before = f"collect_list(signature) {own} order by signature rows between {BEFORE} preceding and 1 preceding)"
     apart = stored(apart.selectExpr("*", f"{before} as before"), folder, "apart")
     one, two = apart.alias("one"), apart.alias("two")
     total = F.col("one.n") + F.col("two.n")
     sized = F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent
-    near = (_folded_difference("low") + _folded_difference("high")) * (100 + percent) <= total * (100 - percent)
+    # a shingle in one set only turns one parity
+    turned = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"one.{p}").bitwiseXOR(F.col(f"two.{p}"))) for p in PARITIES])
+    near = turned * (100 + percent) <= total * (100 - percent)
     first = ~F.arrays_overlap("one.before", "two.before")  # else an earlier signature has the pair
     pairs = one.join(two, (F.col("one.signature") == F.col("two.signature")) & (F.col("one.label") < F.col("two.label")) & sized & near & first)
     pairs = pairs.select(F.col("one.class").alias("a"), F.col("two.class").alias("b")).distinct()
