@@ -1,6 +1,13 @@
 """Cross-entropy difference of a target and a background n-gram model (Moore-Lewis scoring).
 
-Both models are class bigrams over one vocabulary, the words of the whole corpus:
+:func:`word_cross_entropy_difference` compares word bigrams that back off to the unigram:
+
+    P(w | v) = (n(v, w) + BACKOFF * P(w)) / (n(v) + BACKOFF)
+
+Every bigram of the corpus is counted; only the frequent ones and the common words, bounded
+numbers of both, go to the tasks, all others stay distributed.
+
+:func:`cross_entropy_difference` has smaller models, class bigrams over one vocabulary, the words of the whole corpus:
 
     P(w | v) = P(c(w) | c(v)) * P(w | c(w))
 
@@ -31,6 +38,10 @@ from storelens.llm.wordhash import WordHasher, alphanumeric, byte_slices
 HEAD = 1e-3
 COMMON = 1e-5
 ALPHA = 0.5
+#: Tokens that the unigram model counts for in every context of the word bigrams.
+BACKOFF = 100.0
+#: Bigrams of at least this share of all tokens, so at most 1 / FREQUENT, go to the tasks.
+FREQUENT = 5e-7
 SLICE_BYTES = 4 << 20
 #: Tokens that a task sums up before it hands out counts.
 BLOCK_TOKENS = 4_000_000
@@ -185,6 +196,11 @@ def cross_entropy_difference(docs: DataFrame, target: Column, doc_id: str = "doc
     logs = (F.log((F.col("wn") + ALPHA) / (rest["n"] + ALPHA * kinds)) - F.log((F.col("wt") + ALPHA) / (rest["t"] + ALPHA * kinds))) if kinds else F.lit(0.0)
     added = parts.filter("word is not null").join(rare, "word").select("row_key", F.lit(0).cast("long").alias("n"), (F.col("n") * logs).alias("part"))
     whole = parts.filter("word is null").select("row_key", "n", "part").unionByName(added)
+    return _means(keyed, whole)
+
+
+def _means(keyed: DataFrame, whole: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, score) from (row_key, n, part) in any number of pieces."""
     # a text that occurs k times has k times the tokens and k times the sum: the mean is the same
     sums = whole.groupBy("row_key").agg(F.sum("n").alias("n"), F.sum("part").alias("part"))
     ids = keyed.groupBy("row_key", "doc_id").agg(F.count("*").alias("copies"))
@@ -193,6 +209,118 @@ def cross_entropy_difference(docs: DataFrame, target: Column, doc_id: str = "doc
                       F.when(F.col("n") > 0, F.col("part") / F.col("n")).alias("score"))
 
 
+def _slices(batch: pa.RecordBatch, hasher: WordHasher) -> Iterator[tuple]:
+    """(word, context, at, second column) of the texts of a batch; the context of a text's first word is 0."""
+    done = 0
+    for texts in byte_slices(batch.column(0), SLICE_BYTES):
+        word, _, at = hasher(texts)
+        before = np.concatenate([np.zeros(1, "u8"), word[:-1]])[:len(word)]
+        before[at[:-1][np.diff(at) > 0]] = 0
+        yield word, before, at, batch.column(1).slice(done, len(texts)).to_numpy(zero_copy_only=False)
+        done += len(texts)
+
+
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One number for a bigram: the context's hash turned by one bit, and the word's."""
+    return (before << np.uint64(1) | before >> np.uint64(63)) ^ word
+
+
+def _pair_column(before: Column, word: Column) -> Column:
+    return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(word)
+
+
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, w, n, t): tokens w after v in all and in target texts, summed over BLOCK_TOKENS at a time."""
+    schema = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
+    hasher, held, size = WordHasher(alphanumeric()), [], 0
+
+    def summed():
+        v, w, target = (np.concatenate(c) for c in zip(*held))
+        _, first, at = np.unique(_pair(v, w), return_index=True, return_inverse=True)
+        return _batch(schema, v[first].view("int64"), w[first].view("int64"), np.bincount(at), np.bincount(at, target).astype("int64"))
+
+    for batch in batches:
+        for word, before, at, marked in _slices(batch, hasher):
+            held.append((before, word, np.repeat(marked.astype("u1"), np.diff(at))))
+            size += len(word)
+            if size >= BLOCK_TOKENS:
+                yield summed()
+                held, size = [], 0
+    if size:
+        yield summed()
+
+
+def word_cross_entropy_difference(docs: DataFrame, target: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As :func:`cross_entropy_difference`, but with bigrams of all words, whatever their frequency."""
+    require(docs, doc_id, text)
+    folder, spark = shared_folder(docs.sparkSession), docs.sparkSession
+    rows = docs.select(F.col(f"`{text}`").alias("text"), F.coalesce(target, F.lit(False)).alias("target"), F.col(f"`{doc_id}`").alias("doc_id"))
+
+    counted = rows.select("text", "target").mapInArrow(_bigrams, "v long, w long, n long, t long")
+    bigrams = stored(counted.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), folder, "bigrams")
+    # every token is the word of one bigram, and every token but a text's last, or its beginning, the context of one
+    as_word = bigrams.select(F.col("w").alias("word"), "n", "t", F.lit(0).cast("long").alias("cn"), F.lit(0).cast("long").alias("ct"))
+    as_context = bigrams.select(F.col("v").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"),
+                                F.col("n").alias("cn"), F.col("t").alias("ct"))
+    counts = as_word.unionByName(as_context).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "t", "cn", "ct")])
+    counts = stored(counts, folder, "words")
+    total = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count_if(F.col("n") > 0).alias("words")).first()
+    if not total.t:
+        return _with_lengths(rows)
+
+    # what the unigram adds to either count of a bigram, and the difference that its context makes
+    def unigram(column: str, tokens: int) -> Column:
+        return (F.col(column) + ALPHA) * (BACKOFF / (tokens + ALPHA * total.words))
+
+    known = counts.select("word", (F.col("n") + F.col("cn")).alias("uses"), unigram("n", total.n).alias("pn"), unigram("t", total.t).alias("pt"),
+                          F.log((F.col("ct") + BACKOFF) / (F.col("cn") + BACKOFF)).alias("gap"))
+    # at most 2 / COMMON rows, since the uses of all words add up to twice the tokens
+    common, rare = known.filter(F.col("uses") >= COMMON * total.n), known.filter(F.col("uses") < COMMON * total.n)
+
+    def joined(left: DataFrame, key: str, *columns: str) -> DataFrame:
+        small, large = (k.select(F.col("word").alias(key), *columns) for k in (common, rare))
+        rest = left.join(F.broadcast(small.select(key)), key, "left_anti").join(large, key)
+        return left.join(F.broadcast(small), key).unionByName(rest)
+
+    changes = joined(joined(bigrams, "w", "pn", "pt"), "v", "gap")
+    changes = changes.select(_pair_column(F.col("v"), F.col("w")).alias("pair"), "n",
+                             (F.log((F.col("n") + F.col("pn")) / (F.col("t") + F.col("pt"))) + F.col("gap")).alias("change"))
+    changes = stored(changes, folder, "changes")
+    # at most 1 / FREQUENT rows
+    frequent = changes.filter(F.col("n") >= FREQUENT * total.n).select("pair", "change").toArrow()
+    pair = frequent["pair"].to_numpy().view("u8")
+    order = np.argsort(pair)
+    shared = spark.sparkContext.broadcast((pair[order], frequent["change"].to_numpy()[order]))
+
+    schema = pa.schema([("row_key", pa.int64()), ("pair", pa.int64()), ("n", pa.int64()), ("part", pa.float64())])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per text with its tokens and what the frequent bigrams add, and a row per other bigram of it, its part null."""
+        known, add = shared.value
+        hasher = WordHasher(alphanumeric())
+        for batch in batches:
+            for word, before, at, key in _slices(batch, hasher):
+                row, pair = np.repeat(np.arange(len(key)), np.diff(at)), _pair(before, word)
+                place = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
+                is_known = known[place] == pair if len(known) else np.zeros(len(pair), bool)
+                part = np.bincount(row[is_known], add[place[is_known]], len(key))
+                pair, row = pair[~is_known], row[~is_known]
+                order = np.lexsort((pair, row))
+                pair, row = pair[order], row[order]
+                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(pair)), bool), (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])]))
+                yield _batch(schema, key[row[first]], pair[first].view("int64"), np.diff(np.append(first, len(pair))), pa.nulls(len(first), pa.float64()))
+                # matches no bigram, and differs between rows of one key
+                yield _batch(schema, key, key ^ np.arange(len(key)), np.diff(at), part)
+
+    keyed = rows.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), "text"))
+    parts = keyed.select("text", "row_key").mapInArrow(scored, "row_key long, pair long, n long, part double")
+    rest = changes.filter(F.col("n") < FREQUENT * total.n).select("pair", "change")
+    parts = parts.join(rest, "pair", "left")
+    whole = parts.select("row_key", F.when(F.col("part").isNull(), 0).otherwise(F.col("n")).alias("n"),
+                         F.coalesce("part", F.col("n") * F.col("change")).alias("part"))
+    return _means(keyed, whole)
+
+
 def _with_lengths(rows: DataFrame) -> DataFrame:
     """Token counts alone, for a corpus without a target."""
     @F.arrow_udf("long")

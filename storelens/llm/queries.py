@@ -51,7 +51,7 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents that some label marks as good and none as toxic."""
     from storelens.llm.common import broadcast_up_to, shared_folder, stored
-    from storelens.llm.lmscore import cross_entropy_difference
+    from storelens.llm.lmscore import word_cross_entropy_difference
 
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id", F.lit(True).alias("good"))
@@ -59,7 +59,7 @@ def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     # some 16 bytes a row: ids of up to a million target documents are broadcast, more are joined by a shuffle
     good = broadcast_up_to(stored(good, shared_folder(spark), "target"), 1_000_000)
     marked = docs.join(good, "doc_id", "left")
-    return cross_entropy_difference(marked, F.col("good"))
+    return word_cross_entropy_difference(marked, F.col("good"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
