@@ -7,7 +7,9 @@ own one-permutation MinHash with 2**(p + 2) bins: the smallest shingle hash of e
 bin.  An item's own minima for the bins of a partition are looked up there; the
 partitions too small to hold ``threshold`` of the item are left out.  With four to
 two bins per shingle an item's shingle is its bin's minimum with probability 0.79 at
-least, so a document that shares s shingles is missed with less than 0.21**s.  Every
+least, so a document that shares s shingles is missed with less than 0.21**s.  An
+item of which a hit must share fewer than SKETCHED shingles is not sketched: each of its
+shingles is looked up among all shingles of every document, so none is missed.  Every
 hit is then verified by the exact containment of the shingles as text.
 
 DataFrame functions only.
@@ -23,6 +25,8 @@ from storelens.llm.common import broadcast_up_to, free_name, require, shared_fol
 WIDTH = 5
 EXTRA_BITS = 2
 PARTITIONS = 32
+#: Shingles that a hit must share for its item to be sketched: 0.21**20 is 3e-14.
+SKETCHED = 20
 #: Rows of item shingles, or of contaminated documents, that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -41,12 +45,23 @@ def shingle_texts(w: Column) -> Column:
     return F.when(n >= WIDTH, F.array_distinct(run)).when(n > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
 
 
-def minima(shingles: Column, bits: Column) -> Column:
-    """The smallest of the sorted hashes in each bin; a bin is the hash's leading ``bits`` bits."""
+def is_minimum(shingles: Column, x: Column, i: Column, bits: Column) -> Column:
+    """Whether ``x``, number ``i`` of the sorted hashes, is the smallest of its bin; a bin is the hash's leading ``bits`` bits."""
     def bin_of(x):
         return F.call_function("shiftright", x, F.lit(64) - bits)
 
-    return F.filter(shingles, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(shingles, i - 1))))
+    return (i == 0) | (bin_of(x) != bin_of(F.get(shingles, i - 1)))
+
+
+def minima(shingles: Column, bits: Column) -> Column:
+    """The smallest of the sorted hashes in each bin."""
+    return F.filter(shingles, lambda x, i: is_minimum(shingles, x, i, bits))
+
+
+def parted(shingles: Column, part: Column) -> Column:
+    """All sorted hashes (``minimum``), each with ``part`` if it is the smallest of its bin there, else with -1."""
+    return F.transform(shingles, lambda x, i: F.struct(
+        x.alias("minimum"), F.when(is_minimum(shingles, x, i, part + EXTRA_BITS), part).otherwise(-1).alias("part")))
 
 
 def hashed(rows: DataFrame, text: str) -> DataFrame:
@@ -77,17 +92,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, threshold: int = 80) -> DataFram
     items = stored(items.withColumn("_w", words(F.col("text"))).select("item", "item_id", "text", shingle_texts(F.col("_w")).alias("parts"))
                    .withColumn("n_shingles", F.size("parts")).filter("n_shingles > 0"), folder, "items")
 
-    # candidates: a bin minimum of the document is the item's minimum of the same bin
-    wanted = items.select("item", "n_shingles", "text", F.explode(F.sequence(F.lit(0), F.lit(PARTITIONS - 1))).alias("part"))
+    # candidates: a bin minimum of the document is the item's minimum of the same bin, or,
+    # of items with few shingles (part -1), any shingle of the document is one of the item's
+    few = F.col("n_shingles") * threshold <= (SKETCHED - 1) * 100
+    exact = hashed(items.filter(few).select("item", "text"), "text").select("item", F.lit(-1).alias("part"), F.explode("shingles").alias("minimum"))
+    wanted = items.filter(~few).select("item", "n_shingles", "text", F.explode(F.sequence(F.lit(0), F.lit(PARTITIONS - 1))).alias("part"))
     wanted = wanted.filter(F.pow(F.lit(2.0), F.col("part") + 1) * 100 > F.col("n_shingles") * threshold)
     wanted = hashed(wanted, "text")
     wanted = wanted.select("item", "part", F.explode(minima(F.col("shingles"), F.col("part") + EXTRA_BITS)).alias("minimum"))
-    wanted = broadcast_up_to(stored(wanted.distinct(), folder, "signatures"), BROADCAST_ROWS)
+    wanted = stored(wanted.unionByName(exact).distinct(), folder, "signatures").withColumnRenamed("part", "wanted_part")
+    wanted = broadcast_up_to(wanted, BROADCAST_ROWS)
     # never null and never filtered on: a predicate on it would move below the arrays and compute them per element
     size = F.coalesce(F.floor(F.log2(F.size("shingles"))).cast("int"), F.lit(-1))
     sketched = hashed(rows, "text").withColumn("part", size)
-    sketched = sketched.select("row_key", "part", F.explode(minima(F.col("shingles"), F.col("part") + EXTRA_BITS)).alias("minimum"))
-    candidates = stored(sketched.join(wanted, ["part", "minimum"]).select("row_key", "item").distinct(), folder, "candidates")
+    sketched = sketched.select("row_key", F.explode(parted(F.col("shingles"), F.col("part"))).alias("e")).select("row_key", "e.minimum", "e.part")
+    same_part = (F.col("wanted_part") == -1) | (F.col("wanted_part") == F.col("part"))
+    candidates = sketched.join(wanted, (sketched["minimum"] == wanted["minimum"]) & same_part)
+    candidates = stored(candidates.select("row_key", "item").distinct(), folder, "candidates")
 
     # exact containment, for the candidates' documents only
     some = stored(candidates.select("row_key").distinct(), folder, "candidate_rows")

@@ -98,6 +98,14 @@ def test_contaminations(spark, rows):
     assert decontaminated(d, b.limit(0)).count() == len(docs)
 
 
+def test_short_items_are_found_in_every_document(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"item{i}word{j}" for j in range(n))) for i, n in enumerate((5, 6, 7, 12, 23, 30))]
+    docs = [(d, f"{text(rng, 300)} {' '.join(t for _, t in items)} {text(rng, 300)}") for d in range(80)]
+    got = contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(d, i) for d, _ in docs for i, _ in items]
+
+
 def test_components(spark, tmp_path):
     rng, n = random.Random(2), 300
     edges = [(i, i + 1) for i in range(0, 80)] + [(rng.randrange(100, n), rng.randrange(100, n)) for _ in range(150)] + [(-5, 1 << 40), (7, 7)]
