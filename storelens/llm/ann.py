@@ -5,6 +5,10 @@ leaf of each tree.  A query walks all trees through one shared priority queue: t
 node whose worst margin on its path is best comes next, until the leaves met hold
 enough candidates.  Candidates are ranked again by exact distance.
 
+How many leaves are enough is measured on the table itself: the exact neighbours of a
+bounded sample of its queries are found by brute force, and all queries open as many
+leaves as hold a share RECALL of those.
+
 Equal vectors are one class in index and search, so a vector that a third of all
 rows share is searched once; a class gives its k + 1 smallest ids, which is all
 that any result can hold of it.
@@ -13,8 +17,10 @@ that any result can hold of it.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +29,17 @@ from pyspark.sql import functions as F
 
 from storelens.llm.common import require, shared_folder, stored
 
+#: Share of the sampled queries' true neighbours that must be met: 0.9 and a margin for the sample's error.
+RECALL = 0.95
+#: Queries whose true neighbours are found by brute force.
+PROBES = 64
+
 
 @dataclass(frozen=True)
 class Forest:
     """trees; leaf: vectors of a leaf over the whole table, as far as the sample allows (at
-    least 4 sampled vectors a leaf); entries: leaf entries that a query opens over all trees,
-    the same at every size, so the work grows with the rows; sample: bound of the rows that
+    least 4 sampled vectors a leaf); entries: leaf entries that a query opens over all trees
+    at least; more where the recall measured on the table asks for them; sample: bound of the rows that
     the trees are fitted on; block: vectors that are ranked again together."""
 
     trees: int = 64
@@ -92,21 +103,39 @@ def grown(x: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
     return Tree(np.array(planes, "f4").reshape(-1, x.shape[1]), np.array(offsets, "f4"), np.array(children, "int64").reshape(-1, 2), leaves)
 
 
-def search(forest: list[Tree], x: np.ndarray, leaves: int) -> list[tuple[int, int]]:
-    """The first ``leaves`` (tree, leaf) met from one queue over all trees, best margin first."""
+def visits(forest: list[Tree], x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All (tree, leaf), from one queue over all trees, best margin first."""
     margins = [t.planes @ x - t.offsets for t in forest]
     queue = [(-np.inf, i, 0 if len(t.planes) else -1) for i, t in enumerate(forest)]
     heapq.heapify(queue)
-    out = []
-    while queue and len(out) < leaves:
+    while queue:
         worst, tree, node = heapq.heappop(queue)  # worst: how far beyond a plane the path went, 0 or less if never
         if node < 0:
-            out.append((tree, -node - 1))
+            yield tree, -node - 1
             continue
         m, (left, right) = float(margins[tree][node]), forest[tree].children[node]
         heapq.heappush(queue, (max(worst, m), tree, int(left)))
         heapq.heappush(queue, (max(worst, -m), tree, int(right)))
-    return out
+
+
+def search(forest: list[Tree], x: np.ndarray, leaves: int) -> list[tuple[int, int]]:
+    """The first ``leaves`` (tree, leaf) met."""
+    return list(islice(visits(forest, x), leaves))
+
+
+def met_after(forest: list[Tree], x: np.ndarray, wanted: np.ndarray) -> list[int]:
+    """For each wanted vector the number of leaves that a search from ``x`` opens until it meets the vector."""
+    at: dict[tuple[int, int], list[int]] = {}
+    for i, t in enumerate(forest):
+        for number, leaf in enumerate(t.leaf_of(wanted)):
+            at.setdefault((i, int(leaf)), []).append(number)
+    out: dict[int, int] = {}
+    for n, leaf in enumerate(visits(forest, x), 1):
+        for number in at.get(leaf, ()):
+            out.setdefault(number, n)
+        if len(out) == len(wanted):
+            break
+    return list(out.values())
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -145,6 +174,48 @@ def ranked(pairs: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query", "class", "smallest", "score"])
 
 
+def leaves_needed(classes: DataFrame, forest, k: int) -> int:
+    """Leaves that hold a share RECALL of the ``k`` nearest classes of at most PROBES asked classes."""
+    spark = classes.sparkSession
+    probes = classes.filter("asks").orderBy(F.xxhash64("class", F.lit(1))).limit(PROBES).select("class", "v").toArrow()
+    if not len(probes):
+        return 0
+    asked, x = probes["class"].to_numpy(), _matrix(probes["v"].combine_chunks())
+    schema = pa.schema([("query", pa.int64()), ("score", pa.float64()), ("class", pa.int64()), ("v", pa.list_(pa.float64()))])
+
+    def nearest_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, "int64"), np.zeros((0, x.shape[1]))) for _ in asked]
+        for batch in batches:
+            ids, y = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            if not len(ids):
+                continue
+            for q in range(len(asked)):
+                score = ((y - x[q]) ** 2).sum(axis=1)
+                score[ids == asked[q]] = np.inf
+                near = np.argpartition(score, min(k, len(ids)) - 1)[:k]
+                near = near[np.isfinite(score[near])]
+                score, found, v = (np.concatenate(c) for c in zip(best[q], (score[near], ids[near], y[near])))
+                order = np.argsort(score)[:k]
+                best[q] = score[order], found[order], v[order]
+        for q, (score, found, v) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), q)), pa.array(score), pa.array(found), pa.array(list(v), pa.list_(pa.float64()))], schema=schema)
+
+    near = classes.select("class", "v").mapInArrow(nearest_of_task, "query long, score double, class long, v array<double>")
+    near = near.withColumn("place", F.expr("row_number() over (partition by query order by score, class)")).filter(f"place <= {k}")
+    # at most PROBES * k rows
+    near = near.select("query", "v").toArrow()
+    query, wanted = near["query"].to_numpy(), _matrix(near["v"].combine_chunks())
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q in batch.column(0).to_numpy():
+                if (query == q).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(met_after(forest.value, x[q], wanted[query == q]), pa.int64())], ["leaves"])
+
+    n = np.sort(spark.range(0, len(asked), 1, min(16, len(asked))).mapInArrow(walked, "leaves long").toArrow()["leaves"].to_numpy())
+    return int(n[math.ceil(RECALL * len(n)) - 1]) if len(n) else 0
+
+
 def usable(vector: Column) -> Column:
     """True for vectors that are not null, not zero and hold only finite numbers."""
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -179,6 +250,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, params: Forest = F
     forest = spark.sparkContext.broadcast([grown(x, leaf, rng) for _ in range(params.trees)])
     mean_leaf = max(1.0, n * params.trees / max(1, sum(t.leaves for t in forest.value)))
     opened = max(params.trees, round(params.entries / mean_leaf))
+    if opened < sum(t.leaves for t in forest.value):
+        opened = max(opened, leaves_needed(classes, forest, k))
 
     @F.arrow_udf("array<int>")
     def leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -188,16 +261,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, params: Forest = F
             at = np.stack([t.leaf_of(_matrix(v)) + b for t, b in zip(trees, base)], axis=1)
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype="int32") * len(trees)), pa.array(at.ravel().astype("int32")))
 
-    @F.arrow_udf("array<int>")
-    def visited(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = forest.value
         base = np.cumsum([0] + [t.leaves for t in trees])
-        for v in batches:
-            yield pa.array([[int(base[t] + leaf) for t, leaf in search(trees, q, opened)] for q in _matrix(v)], pa.list_(pa.int32()))
+        for batch in batches:
+            for query, q in zip(batch.column(0).to_numpy(), _matrix(batch.column(1))):
+                met = np.array([base[t] + leaf for t, leaf in search(trees, q, opened)], "int32")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), query)), pa.array(met)], ["query", "leaf"])
 
     index = classes.select("class", F.explode(leaves("v")).alias("leaf"))
     asked = classes.filter("asks")
-    met = asked.select(F.col("class").alias("query"), F.explode(visited("v")).alias("leaf"))
+    met = asked.select("class", "v").mapInArrow(visited, "query long, leaf int")
     pairs = met.join(index, "leaf").select("query", "class").distinct()
 
     pairs = pairs.withColumn("block", F.pmod("class", F.lit(max(1, n // params.block))))

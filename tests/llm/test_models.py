@@ -96,3 +96,12 @@ def test_recall(spark):
     got = nearest(vectors, F.col("vec_id") % 100 == 0, 10, Forest(entries=2500)).toPandas().groupby("query_id").vec_id.apply(set)
     hits = [len({t[2] for t in truth(rows, q, 10)} & got[q]) for q, _ in rows if q % 100 == 0]
     assert np.mean(hits) >= 9
+
+
+def test_recall_decides_how_many_leaves_are_opened(spark):
+    x = np.random.default_rng(6).normal(size=(3000, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = nearest(df, F.col("vec_id") % 60 == 0, 10, Forest(trees=16, entries=500)).toPandas().groupby("query_id").vec_id.apply(set)
+    hits = [len({t[2] for t in truth(rows, q, 10)} & got[q]) for q, _ in rows if q % 60 == 0]
+    assert len(hits) == 50 and np.mean(hits) >= 9
