@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from storelens.llm.bpe import with_digests
 from storelens.llm.common import shared_folder, stored
 from storelens.llm.decontam import decontaminated
+from storelens.llm.labelled import training_rows
 from storelens.llm.partenum import without_near_duplicates
 from storelens.llm.quality import with_quality
 from storelens.llm.toxicity import with_toxicity
@@ -23,8 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality model does not reject (score of 0.7 at least)."""
-    return with_quality(docs, _table(spark, sf_dir, "labels"), threshold=0.7).filter("predicted = 1").select(docs.columns)
+    """The documents that the quality model does not reject (score of 0.7 at least); all, if no label can be learnt from."""
+    labels = _table(spark, sf_dir, "labels")
+    if training_rows(docs, labels, "quality", 1).isEmpty():
+        return docs
+    return with_quality(docs, labels, threshold=0.7).filter("predicted = 1").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,12 @@ def test_every_stage_decides_as_its_operator(spark):
 def test_run_is_all_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns) and out.count() > 50
+
+
+def test_without_usable_labels_no_document_is_rejected(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2")
+    for name, some in (("none", labels.limit(0)), ("held", held)):
+        some.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.keep_good):
+            assert stage(spark, docs, f"{tmp_path}/{name}").count() == docs.count() > 0
