@@ -1,22 +1,23 @@
-"""Jaccard self-join of the documents' word shingles by PartEnum signatures.
+"""Jaccard self-join of the documents' word shingles by dyadic signatures with a frequency prefix filter.
 
-**Signatures.** The 64-bit hash domain of shingles is partitioned, and partitions of
-partitions enumerated: a node is a dyadic range of the domain; a set whose part in a
-node has at most BAND elements (the small size band) has one signature there, the
-part itself; a larger part (the large band) is split into the node's two halves, both
-enumerated the same way.  Nothing else depends on the size of a set, so sets of
+These stand in for PartEnum, whose subsets of partitions and bands of set sizes are not built.
+
+**Signatures.** The 64-bit hash domain of shingles is partitioned, and partitions again:
+a node is a dyadic range of the domain; a set whose part in a node has at most BAND
+elements has one signature there, the part itself; a larger part is split into the
+node's two halves, both treated the same way.  Nothing else depends on the size of a set, so sets of
 equal or neighbouring sizes always meet.
 
 **Why no link is lost.** Let d be the symmetric difference of r and s and T = |r| + |s|;
-J >= 0.8 is d <= T / 9.  Over the nodes at which the enumeration of r or s ends and no
+J >= 0.8 is d <= T / 9.  Over the nodes at which the splitting of r or s ends and no
 signature is shared, the parts (a, b) differ by a share of at least 1 / (2 BAND + 1) of
-a + b (that of BAND against BAND + 1; equal bands that differ have more).  So those
+a + b (that of BAND against BAND + 1; parts of BAND at most that differ have more).  So those
 nodes hold at most (2 BAND + 1) d, and shared signatures hold at least the share
 KEPT = 0.9 - 0.1 (2 BAND + 1) of r's elements, and of s's: (T - (2 BAND + 1) T / 9) / 2
 with T >= 1.8 |r|.  Hence a set may leave out its most frequent signatures, in an order
 common to all sets, as long as they hold less than KEPT of its elements: the rarest
 shared signature stays in both.  That is what keeps a passage that very many documents
-share from pairing them.  A small band drops more but has more signatures.  A part is
+share from pairing them.  A small BAND drops more but has more signatures.  A part is
 never empty, unlike in fixed partitions, so no signature is shared by default.
 
 **Copies and families.** Documents with equal sets are one class.  Within a signature
