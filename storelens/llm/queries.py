@@ -96,6 +96,30 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("kind") == "revisit", refers.cast("long")).alias("refers_to"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In a tenth of the documents the words from a place on are made periodic first, as the contract says."""
+    from storelens.llm.common import SPACES
+    from storelens.llm.periodic import with_runs
+
+    w, h = F.col("_w"), F.col("_h")
+    n, g = F.size(w).cast("long"), F.floor(h / 10).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_h"))
+    docs = docs.withColumn("_w", F.when(h % 10 == 0, F.filter(F.split(F.coalesce("text", F.lit("")), SPACES), lambda x: x != "")))
+    docs = docs.withColumn("_a", F.when(n > 0, g % n)).withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + g % 8)).cast("long"))
+    place = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + F.pmod(i - F.col("_a"), F.col("_p")))
+    changed = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, place(i).cast("int"))), " ")
+    docs = docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), changed).otherwise(F.col("text")).alias("text"))
+    runs = with_runs(docs)
+    # longest first, then the smaller start, then the smaller period
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return runs.withColumn("_b", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_b.s").alias("start"), (-F.col("_b.l")).alias("length"),
+        F.col("_b.p").alias("period"), F.floor(-F.col("_b.l") * 1000 / F.col("_b.p")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
     "op2_decontamination": op2_decontamination,
@@ -107,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_warc": op9_warc,
     "op10_quality_fm": op10_quality_fm,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _SHINGLES = """
