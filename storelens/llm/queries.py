@@ -120,6 +120,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storelens.llm.html_main import with_main_text
+
+    pages = with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
     "op2_decontamination": op2_decontamination,
@@ -132,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_quality_fm": op10_quality_fm,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_html_main": op13_html_main,
 }
 
 _SHINGLES = """
