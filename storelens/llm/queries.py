@@ -120,6 +120,22 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents (by the checksum of their id) lose their line feeds before the root is made again."""
+    from storelens.llm.merkle import folded, leaf_of, manifest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    other = F.when(tampered, leaf_of(*fields, F.replace("text", F.lit("\n"), F.lit(""))))
+    docs = docs.select("doc_id", "source", leaf_of(*fields, F.col("text")).alias("leaf"), other.alias("other"))
+    rows = manifest(docs, "doc_id", "source", "leaf", kept=["other"])
+    siblings = F.array_join(F.transform("path", lambda p: F.concat(p["left"], p["right"])), "")
+    rows = rows.withColumn("folded_root", folded(F.coalesce("other", "leaf"), F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.html_main import with_main_text
 
@@ -139,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_quality_fm": op10_quality_fm,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_html_main": op13_html_main,
 }
 
@@ -161,4 +178,48 @@ WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
 SELECT doc_id, item_id, n.n AS n_shingles, m AS n_shared, m / n.n AS containment
 FROM m JOIN n ON n.id = item_id AND n.text = bt
 WHERE 100 * m >= 80 * n.n""",
+    # runs of three as a recursion over the levels: the groups' trees, then the one over their roots; crc32 bit by bit
+    "op12_merkle_manifest": """
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, text, concat(strlen(doc_id::VARCHAR), ':', doc_id) AS a, coalesce(concat(strlen(source), ':', source), '-') AS b,
+         coalesce(concat(strlen(lang), ':', lang), '-') AS c, coalesce(concat(strlen(n_chars::VARCHAR), ':', n_chars), '-') AS d,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+             lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+               lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295::BIGINT) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(concat(a, b, c, d, coalesce(concat(strlen(text), ':', text), '-'))) AS leaf,
+         sha256(concat(a, b, c, d, coalesce(concat(strlen(t), ':', t), '-'))) AS given,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i
+  FROM (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t FROM f)),
+low AS (
+  SELECT 0 AS lv, source, i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT lv + 1, source, i // 3, sha256(string_agg(h, '' ORDER BY i)), (min(n) + 2) // 3 FROM low WHERE n > 1 GROUP BY lv, source, i // 3),
+subs AS (SELECT source, h AS subroot, lv AS depth, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS lv, s AS i, subroot AS h, count(*) OVER () AS n FROM subs
+  UNION ALL
+  SELECT lv + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (min(n) + 2) // 3 FROM high WHERE n > 1 GROUP BY lv, i // 3),
+sides AS (
+  SELECT l.doc_id, x.lv AS lv, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (WHERE x.i < l.i // (3 ** x.lv)::BIGINT), '') AS lft,
+         coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (WHERE x.i > l.i // (3 ** x.lv)::BIGINT), '') AS rgt
+  FROM leaves l JOIN low x ON x.source IS NOT DISTINCT FROM l.source AND x.n > 1 AND x.i // 3 = l.i // (3 ** (x.lv + 1))::BIGINT
+  GROUP BY l.doc_id, x.lv
+  UNION ALL
+  SELECT l.doc_id, g.depth + x.lv, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (WHERE x.i < g.s // (3 ** x.lv)::BIGINT), ''),
+         coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (WHERE x.i > g.s // (3 ** x.lv)::BIGINT), '')
+  FROM leaves l JOIN subs g ON g.source IS NOT DISTINCT FROM l.source JOIN high x ON x.n > 1 AND x.i // 3 = g.s // (3 ** (x.lv + 1))::BIGINT
+  GROUP BY l.doc_id, g.depth, x.lv),
+proofs AS (
+  SELECT l.doc_id, min(l.leaf) AS leaf, min(l.given) AS given, min(g.subroot) AS subroot, coalesce(string_agg(p.lft || p.rgt, '' ORDER BY p.lv), '') AS proof,
+         coalesce(list(p.lft ORDER BY p.lv) FILTER (WHERE p.lv IS NOT NULL), []) AS ls, coalesce(list(p.rgt ORDER BY p.lv) FILTER (WHERE p.lv IS NOT NULL), []) AS rs
+  FROM leaves l JOIN subs g ON g.source IS NOT DISTINCT FROM l.source LEFT JOIN sides p ON p.doc_id = l.doc_id GROUP BY l.doc_id),
+fold AS (
+  SELECT doc_id, 0 AS lv, given AS h, ls, rs FROM proofs
+  UNION ALL
+  SELECT doc_id, lv + 1, sha256(concat(ls[lv + 1], h, rs[lv + 1])), ls, rs FROM fold WHERE lv < len(ls)),
+root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT p.doc_id, p.leaf, p.subroot, root.root, sha256(p.proof) AS proof_sha256, x.h AS folded_root, x.h = root.root AS verified
+FROM proofs p JOIN fold x ON x.doc_id = p.doc_id AND x.lv = len(x.ls) CROSS JOIN root""",
 }
