@@ -4,58 +4,40 @@ Spark's ``percentile`` aggregate keeps every value of a group in the memory of o
 task.  Here only counts are ordered:
 
 1. one count per (group, value), a partial aggregation, so hot values collapse;
-2. the range of a group's values is cut into ``buckets`` of equal width and a window
-   over at most that many counts tells which buckets hold the wanted ranks;
-3. a window over the distinct values of those buckets gives each value's ranks.
+2. ``ranking.prefix_sums`` over the distinct values gives what lies before each; its slices
+   are cut by rank, and cut again where too many values lie, so an outlier or a crowd of
+   values in a narrow range changes no slice's size;
+3. the values that hold a wanted rank are kept, at most three a group.
 
-No sketch, no job while the plan is built; the counts of step 1 are one exchange
-that all steps read.  A NULL group is a group like any other.
+A NULL group is a group like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storelens.operators.ranking import ROWS_PER_SLICE, asc, prefix_sums
+
 
 def exact_percentiles(df: DataFrame, group_cols: Sequence[str], value: str, p: float = 0.5,
-                      cont: str = "percentile_cont", disc: str = "percentile_disc", buckets: int = 4096) -> DataFrame:
+                      cont: str = "percentile_cont", disc: str = "percentile_disc", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """One row per group with PERCENTILE_CONT(p) (double) and PERCENTILE_DISC(p)
     (value type) over ``value`` (NULL values are ignored, as in SQL)."""
-    g = list(group_cols)
-    keys = [f"_g{i}" for i in range(len(g))]
-    counts = (df.select(*[F.col(c).alias(k) for c, k in zip(g, keys)], F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-
-    def same(other: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[Column]]:
-        """``other`` with its key columns renamed, and the null-safe condition to them."""
-        renamed = other.select(*[F.col(c).alias("r" + c) if c in cols else F.col(c) for c in other.columns])
-        return renamed, [F.col(c).eqNullSafe(F.col("r" + c)) for c in cols]
-
-    h = F.lit(1.0) + (F.col("_n") - 1) * p
-    groups = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"))
-    groups = groups.select(*keys, "_lo", "_hi", F.floor(h).cast("bigint").alias("_r1"), F.ceil(h).cast("bigint").alias("_r2"),
-                           (h - F.floor(h)).alias("_frac"), F.greatest(F.ceil(F.col("_n") * p), F.lit(1)).cast("bigint").alias("_r3"))
-    groups, on = same(groups, keys)
-    place = (F.col("_v").cast("double") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets
-    placed = counts.join(groups, on).drop(*["r" + k for k in keys]).withColumn("_b", F.coalesce(F.floor(place), F.lit(0)))
-
-    wanted = F.array("_r1", "_r2", "_r3")
-    own = [*keys, "_b"]
-    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = placed.groupBy(*own).agg(F.sum("_c").alias("_bc"), F.first(wanted).alias("_w"))
-    hist = hist.withColumn("_before", F.sum("_bc").over(upto) - F.col("_bc"))
-    hist = hist.where(F.exists("_w", lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_bc"))))
-    hist, on = same(hist.select(*own, "_before"), own)
-    inside = Window.partitionBy(*own).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(hist, on).withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
-
-    def pick(r: str) -> Column:
-        return F.max(F.when((F.col("_end") - F.col("_c") < F.col(r)) & (F.col(r) <= F.col("_end")), F.col("_v")))
-
-    picks = ranked.groupBy(*keys).agg(pick("_r1").cast("double").alias("_v1"), pick("_r2").cast("double").alias("_v2"),
-                                      pick("_r3").alias(disc), F.first("_frac").alias("_frac"))
-    return picks.select(*[F.col(k).alias(c) for c, k in zip(g, keys)],
-                        (F.col("_v1") + F.col("_frac") * (F.col("_v2") - F.col("_v1"))).alias(cont), disc)
+    keys = [f"_g{i}" for i in range(len(group_cols))]
+    values = df.select(*[F.col(c).alias(k) for c, k in zip(group_cols, keys)], F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    counts = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = prefix_sums(counts, [asc("_v")], keys, {"_before": F.col("_c")}, {"_n": F.col("_c")}, rows_per_slice=rows_per_slice)
+    place = 1 + (F.col("_n") - 1) * F.lit(float(p))
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_c"))
+
+    low, high, least = holds(F.floor(place)), holds(F.ceil(place)), holds(F.greatest(F.ceil(F.col("_n") * F.lit(float(p))), F.lit(1)))
+    picks = placed.where(low | high | least).groupBy(*keys).agg(
+        F.max(F.when(low, F.col("_v").cast("double"))).alias("_low"), F.max(F.when(high, F.col("_v").cast("double"))).alias("_high"),
+        F.max(F.when(least, F.col("_v"))).alias(disc), F.max(place - F.floor(place)).alias("_part"))
+    return picks.select(*[F.col(k).alias(c) for c, k in zip(group_cols, keys)],
+                        (F.col("_low") + F.col("_part") * (F.col("_high") - F.col("_low"))).alias(cont), disc)

@@ -204,12 +204,12 @@ def test_samples(spark):
     assert sorted(r[1] for r in b.groupBy("c").count().collect()) == [50, 50]
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 4096])
-def test_exact_percentiles_null_group_and_buckets(spark, buckets):
+@pytest.mark.parametrize("per_slice", [20, 90, 4096])
+def test_exact_percentiles_null_group_and_slices(spark, per_slice):
     rnd = random.Random(11)
     rows = [(g, float(rnd.randint(0, 99))) for g in (0, 1, None) for _ in range(200)] + [(5, 3.0)] * 50 + [(6, None)]
     df = spark.createDataFrame(rows, "g long, v double")
-    got = {r.g: (r.percentile_cont, r.percentile_disc) for r in exact_percentiles(df, ["g"], "v", buckets=buckets).collect()}
+    got = {r.g: (r.percentile_cont, r.percentile_disc) for r in exact_percentiles(df, ["g"], "v", rows_per_slice=per_slice).collect()}
     want = {r.g: (r.c, r.d) for r in df.where("v is not null").groupBy("g").agg(
         F.percentile("v", 0.5).alias("c"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("d")).collect()}
     assert got == want

@@ -17,8 +17,9 @@ def test_no_forbidden_operators(spark, key):
     assert not [op for op in FORBIDDEN if op in plan]
 
 
-# numbering reads a bounded sample of its keys while the plan is built
-NUMBERED = {"price_quartiles", "top_decile_customers", "sample_top_percent", "sample_repeated", "sample_stratified", "value_chart"}
+# numbering writes its input and counts its slices while the plan is built
+NUMBERED = {"price_quartiles", "top_decile_customers", "sample_top_percent", "sample_repeated", "sample_stratified", "value_chart",
+            "median_order_by_month", "top_customer_placemarks"}
 
 
 def test_building_a_query_starts_no_job(spark):
