@@ -188,7 +188,7 @@ def ranks(df: DataFrame, order: Sequence[Key], partition_by: Sequence[str] = (),
     partition_by ORDER BY order).  Unlike row numbers they need no unique order; ties may be of any size."""
     names = [f"_r{i}" for i in range(len(partition_by) + len(order))]
     cols = [F.col(g) for g in partition_by] + [k.col for k in order]
-    rows = df.select("*", *[c.alias(n) for c, n in zip(cols, names)])
+    rows = written(df.select("*", *[c.alias(n) for c, n in zip(cols, names)]))
     groups, keys = names[:len(partition_by)], [Key(F.col(n), k.ascending) for n, k in zip(names[len(partition_by):], order)]
     counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_c"))
     c, one = F.col("_c"), F.lit(1).cast("long")

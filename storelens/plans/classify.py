@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.semantics import MONEY_SUM, as_long, dow_int, in_years, is_weekend, safe_ratio
@@ -135,11 +135,44 @@ def state_orders(t: Tables, cutoff: dt.date = dt.date(2016, 1, 1)) -> DataFrame:
 
 
 def state_signature(t: Tables, cutoff: dt.date = dt.date(2016, 1, 1)) -> DataFrame:
-    a = state_orders(t, cutoff)
-    b = state_top_payment(t, cutoff).withColumnRenamed("payment_type", "top_payment")
-    d = state_top_group(t, cutoff).withColumnRenamed("group_name", "top_group")
-    return (a.join(b, "state").join(d, "state").where(F.col("state") != "")
-            .withColumn("cutoff_date", F.lit(cutoff)).orderBy("state"))
+    """All of a state's figures from one pass: orders meet their lines once, and one aggregate with grouping sets
+    makes the cells per payment type, per customer and per product.  An order's own figures count at its first line.
+    Customers and products then give the cells their labels in one join, whose left side is a row per cell."""
+    # which line is the first is decided per order; orders and lines stay partitioned by the order after it
+    nth = F.row_number().over(Window.partitionBy("OrderId").orderBy("OrderLineId"))
+    lines = t.order_lines.select("OrderId", "ProductId", nth.alias("_nth"))
+    o = t.orders.where(F.col("OrderDate") < F.lit(cutoff)).select("OrderId", "State", "PaymentType", "CustomerId", "TotalPrice")
+    rows = o.join(lines, "OrderId", "left").withColumn("_own", F.coalesce(F.col("_nth") == 1, F.lit(True)))
+    price = F.when(F.col("_own"), F.col("TotalPrice"))
+    cells = rows.groupingSets([["State", "PaymentType"], ["State", "CustomerId"], ["State", "ProductId"]],
+                              "State", "PaymentType", "CustomerId", "ProductId").agg(
+        F.grouping_id().alias("_set"), F.count(F.when(F.col("_own"), 1)).alias("_orders"), F.count(F.when(F.col("_own"), F.col("OrderId"))).alias("_ids"),
+        F.sum(price).alias("_sum"), F.count(price).alias("_priced"), F.count("_nth").alias("_lines"))
+    by_payment, by_customer, by_product = (F.col("_set") == n for n in (0b0011, 0b0101, 0b0110))
+    # an order without lines has a cell without product
+    cells = cells.where(~by_product | (F.col("_lines") > 0)).withColumn("_id", F.when(by_customer, F.col("CustomerId")).when(by_product, F.col("ProductId")))
+    known = t.customers.select(F.lit(0b0101).alias("_kind"), F.col("CustomerId").alias("_key"), F.lit(None).cast("string").alias("_label"), "HouseholdId")
+    known = known.unionByName(t.products.select(F.lit(0b0110).alias("_kind"), F.col("ProductId").alias("_key"), F.col("GroupName").alias("_label"),
+                                                F.lit(None).cast("bigint").alias("HouseholdId")))
+    cells = cells.join(known, (F.col("_set") == F.col("_kind")) & (F.col("_id") == F.col("_key")), "left").where(by_payment | F.col("_kind").isNotNull())
+    label = F.when(by_payment, F.col("PaymentType")).when(by_product, F.col("_label"))
+    labelled = cells.groupBy("State", "_set", label.alias("_of")).agg(
+        F.sum(F.when(by_product, F.col("_lines")).otherwise(F.col("_orders"))).alias("_n"), F.sum("_ids").alias("_ids"), F.sum("_sum").alias("_sum"),
+        F.sum("_priced").alias("_priced"), F.sum(F.when(F.col("HouseholdId").isNotNull(), F.col("_ids")).otherwise(0)).alias("_households"))
+
+    def most(cell: Column) -> Column:
+        return F.min(F.when(cell, F.struct(F.negative("_n").alias("n"), F.col("_of").alias("of"))))
+
+    def total(c: str) -> Column:
+        return F.sum(F.when(by_customer, F.col(c)))
+
+    states = labelled.where(F.col("State") != "").groupBy(F.col("State").alias("state")).agg(
+        total("_ids").alias("n_orders"), total("_sum").cast(MONEY_SUM).alias("total_price"),
+        F.round(total("_sum").cast("double") / F.nullif(total("_priced"), F.lit(0)), 6).alias("avg_price"),
+        total("_households").alias("n_household_ids"), most(by_payment).alias("_pay"), most(by_product).alias("_group"))
+    found = F.col("n_orders").isNotNull() & F.col("_pay").isNotNull() & F.col("_group").isNotNull()
+    return states.where(found).select("state", "n_orders", "total_price", "avg_price", "n_household_ids", F.col("_pay.of").alias("top_payment"),
+                                      F.col("_group.of").alias("top_group"), F.lit(cutoff).alias("cutoff_date")).orderBy("state")
 
 
 def three_years_of_sales(t: Tables, cutoff: dt.date = dt.date(2014, 1, 1)) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from storelens.functions.geo import distance_miles, rad
 from storelens.functions.semantics import concat_text, money_sum, pct
-from storelens.operators.ranking import mode_by_key
+from storelens.operators.distinct import count_distinct
+from storelens.operators.joins import spread_join
+from storelens.operators.ranking import asc, mode_by_key, ranks
 from storelens.operators.spatial import pairs_within
 from storelens.sources.tables import Tables
 
@@ -68,7 +70,7 @@ def top_payment_points(t: Tables, cards: Sequence[tuple[str, str]] = CARD_COLUMN
 
 
 def customers_by_location(t: Tables, box: Sequence[float] = US_BOX) -> DataFrame:
-    per_zip = t.orders.groupBy("ZipCode").agg(F.countDistinct("CustomerId").alias("nb_cust"))
+    per_zip = count_distinct(t.orders, ["ZipCode"], "CustomerId", "nb_cust")
     z = t.zip_census.where(_in_box(box)).select("zcta5", "Longitude", "Latitude")
     return (z.join(per_zip, z.zcta5 == per_zip.ZipCode)
             .select(F.col("Longitude").alias("longitude"), F.col("Latitude").alias("latitude"), "nb_cust"))
@@ -99,7 +101,7 @@ def top_sales_zip_by_state(t: Tables, box: Sequence[float] = US_BOX) -> DataFram
 
 def top_customer_zip_by_state(t: Tables, box: Sequence[float] = US_BOX) -> DataFrame:
     o = t.orders.where(F.col("State") != "")
-    per = o.groupBy("ZipCode", "State").agg(F.countDistinct("CustomerId").alias("nb_cust"))
+    per = count_distinct(o, ["ZipCode", "State"], "CustomerId", "nb_cust")
     best = _top_zip_per_state(per, "nb_cust")
     best = best.join(t.zip_census.select(F.col("Stab").alias("State")).distinct(),
                      "State", "left_semi")
@@ -124,10 +126,9 @@ def low_income_placemarks(t: Tables, pct_min: float = 50.0, max_lat: float = 50.
 
 
 def top_customer_placemarks(t: Tables, min_rank: float = 0.9, box: Sequence[float] = US_BOX) -> DataFrame:
-    per_zip = t.orders.groupBy("ZipCode").agg(F.countDistinct("CustomerId").alias("nb_cust"))
-    # one row per ZIP code (a bounded domain): the rank is taken over all ZIPs, before the join
-    ranked = per_zip.withColumn("_pr", F.percent_rank().over(Window.orderBy("nb_cust")))
-    top = ranked.where(F.col("_pr") >= min_rank)
+    per_zip = count_distinct(t.orders, ["ZipCode"], "CustomerId", "nb_cust")
+    # the rank is taken over all ZIPs, before the join
+    top = ranks(per_zip, [asc("nb_cust")], percent_rank="_pr").where(F.col("_pr") >= min_rank)
     z = t.zip_census.where(_in_box(box)).select("zcta5", "ZIPName", "Longitude", "Latitude")
     j = z.join(top, z.zcta5 == top.ZipCode)
     mark = placemark(F.col("ZIPName"), F.col("zcta5"), concat_text("Number of Customers: ", F.col("nb_cust")),
@@ -139,21 +140,18 @@ def top_customer_placemarks(t: Tables, min_rank: float = 0.9, box: Sequence[floa
 def _reference_areas(t: Tables) -> DataFrame:
     """Per state, the area(s) with the most European-born (ties kept).
 
-    groupBy-max then a join on (state, max): the per-state maxima are one row
-    per state, so no state's areas are ever gathered in one task."""
-    z = t.zip_census
-    mx = z.groupBy(F.col("Stab").alias("_mstab")).agg(F.max("FBEurope").alias("_max"))
-    return z.join(mx, (z.Stab == mx._mstab) & (z.FBEurope == mx._max)).select(
-        z.Stab.alias("ref_stab"), z.zcta5.alias("ref_zcta5"), z.County.alias("ref_county"),
-        z.ZIPName.alias("ref_zip_name"), z.Latitude.alias("_rlat"), z.Longitude.alias("_rlon"))
+    RANK = 1 is planned with a partial group limit: every task keeps only its own best areas
+    of a state before the shuffle."""
+    first = F.rank().over(Window.partitionBy("Stab").orderBy(F.desc("FBEurope")))
+    best = t.zip_census.where(F.col("FBEurope").isNotNull() & F.col("Stab").isNotNull()).withColumn("_rank", first).where(F.col("_rank") == 1)
+    return best.select(F.col("Stab"), F.col("Stab").alias("ref_stab"), F.col("zcta5").alias("ref_zcta5"), F.col("County").alias("ref_county"),
+                       F.col("ZIPName").alias("ref_zip_name"), F.col("Latitude").alias("_rlat"), F.col("Longitude").alias("_rlon"))
 
 
 def distance_to_state_reference(t: Tables, metric: str = "sphere") -> DataFrame:
     z = t.zip_census.select("Stab", "zcta5", "County", "ZIPName", "Latitude", "Longitude")
-    # a few rows per state (ties kept): measured, then broadcast, so the census
-    # is never shuffled on its 25-odd state keys
-    ref = _reference_areas(t)
-    j = z.join(ref, z.Stab == ref.ref_stab, "left")
+    # a few rows per state: copied to salts, so that no task gets a whole state's areas
+    j = spread_join(z, _reference_areas(t), ["Stab"], "left")
     d = F.round(distance_miles(metric, F.col("Latitude"), F.col("Longitude"), F.col("_rlat"), F.col("_rlon")), 3)
     if metric == "sphere":
         lat, lon = F.round(rad(F.col("Latitude")), 9), F.round(rad(F.col("Longitude")), 9)

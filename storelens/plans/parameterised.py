@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelens.operators.distinct import count_distinct
 from storelens.functions.semantics import as_long, day_diff, in_years, int_avg, safe_ratio
 from storelens.operators.ranking import asc, desc, top_n
 from storelens.operators.spatial import within_of_point
@@ -101,6 +102,5 @@ def state_info(t: Tables, state: str = "NY") -> DataFrame:
 
 def customers_per_month(t: Tables, year: int = 2013) -> DataFrame:
     o = t.orders.where(in_years("OrderDate", [year]))
-    return (o.groupBy(as_long(F.month("OrderDate")).alias("month_order"))
-            .agg(F.countDistinct("CustomerId").alias("number_of_customers"))
-            .orderBy("month_order"))
+    o = o.select(as_long(F.month("OrderDate")).alias("month_order"), "CustomerId")
+    return count_distinct(o, ["month_order"], "CustomerId", "number_of_customers").orderBy("month_order")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.semantics import as_long, dow_int, dow_name, price_band, safe_ratio
 from storelens.plans.conditionals import DEFAULT_BAND_EDGES, band_labels
+from storelens.operators.joins import skew_join
 from storelens.sources.tables import Tables
 
 
@@ -60,9 +61,9 @@ def product_gender_share(t: Tables, group: str = "BOOK") -> DataFrame:
     ol = t.order_lines.select("OrderId", "ProductId")
     o = t.orders.select("OrderId", "CustomerId")
     c = t.customers.where(F.col("Gender").isin("M", "F")).select("CustomerId", "Gender")
-    # orders meet the (size-checked) known-gender customers first, so orders of
-    # customer 0 and of unknown gender are gone before the shuffle on OrderId
-    known = o.join(c, "CustomerId")
+    # orders meet the known-gender customers first, so orders of customer 0 and of
+    # unknown gender are gone before the shuffle on OrderId
+    known = skew_join(o, c, ["CustomerId"])
     rows = p.join(ol, "ProductId").join(known, "OrderId")
     g = F.col("Gender")
     agg = (rows.groupBy(F.col("ProductId").alias("product_id"), F.col("GroupName").alias("group_name"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storelens.operators.joins import skew_join
 from storelens.sources.tables import Tables
 
 
@@ -73,10 +74,10 @@ def not_in(df: DataFrame, col: str, other: DataFrame, other_col: str) -> DataFra
     of Spark's null-aware anti join, which needs a broadcastable list (else a
     nested loop join).
     """
-    keys = other.select(F.col(other_col).alias("_k"))
+    keys = other.select(F.col(other_col).alias(col))
     # 1: the list holds a NULL, 0: it does not, NULL: it is empty
-    has_null = keys.agg(F.max(F.col("_k").isNull().cast("int"))).scalar()
-    anti = df.join(keys, F.col(col) == F.col("_k"), "left_anti")
+    has_null = keys.agg(F.max(F.col(col).isNull().cast("int"))).scalar()
+    anti = skew_join(df, keys, [col], "left_anti")
     return anti.where(has_null.isNull() | ((has_null == 0) & F.col(col).isNotNull()))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.semantics import as_long, int_avg, money_avg, money_sum, month_abbr
-from storelens.operators.joins import full_outer_with_small
+from storelens.operators.joins import full_outer_with_small, skew_join
 from storelens.sources.tables import Tables
 
 
@@ -48,23 +48,21 @@ def product_vs_overall_avg(t: Tables) -> DataFrame:
             .orderBy("product_id"))
 
 
-def _customer_order_cols(c: DataFrame, o: DataFrame) -> list:
-    return [c.CustomerId.alias("customer_id"), c.HouseholdId.alias("household_id"),
-            c.FirstName.alias("first_name"), o.OrderId.alias("order_id"), o.OrderDate.alias("order_date")]
+def _orders_with_customers(t: Tables, how: str) -> DataFrame:
+    """Orders and their customers.  A few customers (the placeholder 0) have a large share of the orders: such
+    keys are found in the orders and their rows spread (``skew_join``)."""
+    c = t.dimension("customers", "CustomerId", F.col("CustomerId").alias("customer_id"), "HouseholdId", "FirstName")
+    return skew_join(t.orders.select("OrderId", "CustomerId", "OrderDate"), c, ["CustomerId"], how).select(
+        "customer_id", F.col("HouseholdId").alias("household_id"), F.col("FirstName").alias("first_name"),
+        F.col("OrderId").alias("order_id"), F.col("OrderDate").alias("order_date"))
 
 
 def customer_orders(t: Tables) -> DataFrame:
-    c, o = t.dimension("customers"), t.orders.select("OrderId", "CustomerId", "OrderDate")
-    return (c.join(o, c.CustomerId == o.CustomerId, "inner")
-            .select(*_customer_order_cols(c, o)).orderBy("customer_id", "order_id"))
+    return _orders_with_customers(t, "inner").orderBy("customer_id", "order_id")
 
 
 def all_orders_with_customer(t: Tables) -> DataFrame:
-    # customers are the build side when they measure small (a right outer join
-    # can build on its left side), so orders keep their partitioning
-    c, o = t.dimension("customers"), t.orders.select("OrderId", "CustomerId", "OrderDate")
-    return (c.join(o, c.CustomerId == o.CustomerId, "right")
-            .select(*_customer_order_cols(c, o)).orderBy(F.asc_nulls_first("customer_id"), "order_id"))
+    return _orders_with_customers(t, "left").orderBy(F.asc_nulls_first("customer_id"), "order_id")
 
 
 def orders_with_state(t: Tables) -> DataFrame:

@@ -245,3 +245,18 @@ def test_median_approx_close_to_exact(tables):
     ap = {(r.year, r.month): r.percentile_disc for r in windows.median_order_by_month(tables, approx=True).collect()}
     # groups far below the sketch's accuracy: its rank error is under one row
     assert ex == ap
+
+
+def test_distinct_counts_merge(spark):
+    from storelens.operators.distinct import count_distinct, id_sets, merged, set_sizes
+    rnd = random.Random(6)
+    rows = [(rnd.choice("abc"), rnd.randint(1, 3), rnd.choice([None, -1, -64, 2 ** 40, *range(60, 70), *range(500)])) for _ in range(5000)]
+    rows += [("z", 1, None)]
+    df = spark.createDataFrame(rows, "g string, h long, id long")
+    want = df.groupBy("g", "h").agg(F.countDistinct("id").alias("n"))
+    sets = id_sets(df, ["g", "h"], "id")
+    assert _rows(set_sizes(sets, ["g", "h"], "n"), "g", "h", "n") == _rows(want, "g", "h", "n")
+    assert _rows(set_sizes(merged(sets, ["g"]), ["g"], "n"), "g", "n") == _rows(df.groupBy("g").agg(F.countDistinct("id").alias("n")), "g", "n")
+    assert _rows(count_distinct(df, ["h"], "id", "n"), "h", "n") == _rows(df.groupBy("h").agg(F.countDistinct("id").alias("n")), "h", "n")
+    # what is shuffled: a row a word instead of a row a pair
+    assert 10 * sets.count() < df.select("g", "h", "id").distinct().count()

@@ -38,3 +38,25 @@ def test_building_a_query_starts_no_job(spark):
 def test_each_input_is_read_once(spark, key, scans):
     plan = run(key, spark, SMALL_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == scans
+
+
+def test_signature_reads_orders_once(spark):
+    plan = run("state_signature", spark, SMALL_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    reads = [line for line in plan.splitlines() if "Relation [" in line]
+    assert len(reads) == 4 and sum("o_orderkey" in line for line in reads) == 1
+
+
+def test_census_is_not_dealt_by_state(spark):
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        plan = run("distance_to_state_reference_sphere", spark, SMALL_DIR)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # by state go only the rows that the partial group limit leaves
+    assert plan.count("FileScan parquet") == 2 and "WindowGroupLimit" in plan
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(Stab" in line]
+    assert sum("_salt" not in line and "_jsalt" not in line for line in dealt) <= 2
