@@ -1,91 +1,60 @@
-"""DuckDB oracle texts for probabilities and odds."""
+"""DuckDB oracle texts for probabilities and odds: conditional aggregates, and windows over the grouped rows."""
 
 
-def _odds(hit: str, base: str) -> str:
+def _odds(hit: str, base: str = "true") -> str:
+    """The share of the orders in ``base`` with ``hit``, and its odds, from one aggregate."""
     return f"""
-WITH CTE_TotalOrders AS (SELECT count(OrderId) AS total FROM bk_orders {base}),
-CTE_Hit AS (SELECT count(OrderId) AS hit FROM bk_orders WHERE {hit}),
-CTE_Proba AS (SELECT CAST(c2.hit AS DOUBLE) / nullif(c1.total, 0) AS p FROM CTE_TotalOrders c1, CTE_Hit c2)
-SELECT round(p, 2) AS probability, round(p / nullif(1 - p, 0.0), 2) AS odds FROM CTE_Proba"""
+SELECT round(n / nullif(of, 0), 2) AS probability, round((n / nullif(of, 0)) / nullif(1 - n / nullif(of, 0), 0), 2) AS odds
+FROM (SELECT (count(OrderId) FILTER ({hit}))::DOUBLE AS n, count(OrderId) FILTER ({base}) AS of FROM bk_orders)"""
 
 
+def _share(of: str, label: str, n: str, total: str, digits: int, counted: str = "count(*)") -> str:
+    """Counted rows per label, their sum over all labels (a window over the grouped rows), and the share."""
+    return f"""
+SELECT {label}, {counted} AS {n}, sum({counted}) OVER ()::BIGINT AS {total}, round({counted} / (sum({counted}) OVER ())::DOUBLE, {digits}) AS probability
+FROM {of} GROUP BY ALL"""
+
+
+def _part(of: str, whole: str, digits: int = 2) -> str:
+    return f"round(sum({of})::DOUBLE / nullif(sum({whole}), 0), {digits})"
+
+
+# fixed values: the labels of the price bands and their upper bounds
+_BANDS = (("Under $10000", 10000), ("Under $50000", 50000), ("Under $100000", 100000), ("Under $400000", 400000))
+_LABELS = "[" + ", ".join(f"'{label}'" for label, _ in _BANDS) + "]"
+_BOUNDS = "[" + ", ".join(str(bound) for _, bound in _BANDS) + "]"
+# the band of a positive price is the first bound that is not below it; a list index outside the list is NULL
+_BAND = (f"if(TotalPrice = 0, 'Free Orders', if(TotalPrice > 0, {_LABELS}[1 + len(list_filter({_BOUNDS}, lambda x: x < TotalPrice))], NULL))")
+
 SQL = {
-    "odds_payment_oc": _odds("PaymentType = 'OC'", ""),
-    "odds_payment_oc_mc": _odds("PaymentType IN ('OC', 'MC')", ""),
-    "odds_payment_db": _odds("PaymentType = 'DB'", "WHERE PaymentType IN ('DB', 'MC', 'VI', 'AE')"),
-    "share_by_payment": """
-WITH CTE_TotalOrders AS (SELECT count(OrderId) AS total FROM bk_orders)
-SELECT a.*, cte.*, round(CAST(a.nb AS DOUBLE) / cte.total, 4) AS probability
-FROM (SELECT PaymentType AS payment_type, count(OrderId) AS nb FROM bk_orders GROUP BY PaymentType) a
-CROSS JOIN CTE_TotalOrders cte""",
-    "share_by_gender": """
-SELECT gt.*, t.*, round(CAST(gt.total_gender AS DOUBLE) / t.total, 2) AS probability
-FROM (SELECT Gender AS gender, count(*) AS total_gender FROM bk_customers WHERE Gender IN ('M', 'F') GROUP BY Gender) gt
-CROSS JOIN (SELECT count(*) AS total FROM bk_customers WHERE Gender IN ('M', 'F')) t""",
-    "share_by_weekday": """
-WITH CTE_OrderDay AS (
-  SELECT o.OrderId, c.DOW, c.DOWint FROM bk_orders o JOIN bk_calendar c ON o.OrderDate = c."Date")
-SELECT a.*, b.*, round(CAST(a.orders_per_day AS DOUBLE) / b.total, 2) AS probability
-FROM (SELECT DOW AS dow, CAST(DOWint AS BIGINT) AS dow_int, count(*) AS orders_per_day
-      FROM CTE_OrderDay GROUP BY DOW, DOWint) a
-CROSS JOIN (SELECT count(*) AS total FROM CTE_OrderDay) b ORDER BY a.dow_int""",
-    "share_by_channel": """
-WITH CTE_CampaignOrder AS (
-  SELECT o.OrderId, c.Channel FROM bk_orders o JOIN bk_campaigns c ON o.CampaignId = c.CampaignId)
-SELECT a.*, b.*, round(CAST(a.orders_per_channel AS DOUBLE) / b.total, 3) AS probability
-FROM (SELECT Channel AS channel, count(*) AS orders_per_channel FROM CTE_CampaignOrder GROUP BY Channel) a
-CROSS JOIN (SELECT count(*) AS total FROM CTE_CampaignOrder) b""",
+    "odds_payment_oc": _odds("PaymentType = 'OC'"),
+    "odds_payment_oc_mc": _odds("PaymentType = 'OC' OR PaymentType = 'MC'"),
+    "odds_payment_db": _odds("PaymentType = 'DB'", "PaymentType IN ('AE', 'DB', 'MC', 'VI')"),
+    "share_by_payment": _share("bk_orders", "PaymentType AS payment_type", "nb", "total", 4, "count(OrderId)"),
+    "share_by_gender": _share("bk_customers WHERE Gender = 'F' OR Gender = 'M'", "Gender AS gender", "total_gender", "total", 2),
+    "share_by_weekday": _share("bk_calendar JOIN bk_orders ON OrderDate = \"Date\"",
+                               "DOW AS dow, DOWint::BIGINT AS dow_int", "orders_per_day", "total", 2),
+    "share_by_channel": _share("bk_campaigns JOIN bk_orders USING (CampaignId)", "Channel AS channel", "orders_per_channel", "total", 3),
     "product_gender_share": """
-SELECT a.ProductId AS product_id, a.GroupName AS group_name, sum(a.Female) AS total_female,
-  sum(a.Male) AS total_male, sum(a.MF) AS total_mf,
-  round(CAST(sum(a.Female) AS DOUBLE) / sum(a.MF), 2) AS proba_female,
-  round(CAST(sum(a.Male) AS DOUBLE) / sum(a.MF), 2) AS proba_male
-FROM (
-  SELECT c.Gender, CASE WHEN c.Gender = 'F' THEN 1 ELSE 0 END AS Female,
-    CASE WHEN c.Gender = 'M' THEN 1 ELSE 0 END AS Male,
-    CASE WHEN c.Gender = 'M' OR c.Gender = 'F' THEN 1 ELSE 0 END AS MF, p.ProductId, p.GroupName
-  FROM bk_products p JOIN bk_order_lines ol ON ol.ProductId = p.ProductId
-  JOIN bk_orders o ON o.OrderId = ol.OrderId JOIN bk_customers c ON c.CustomerId = o.CustomerId) a
-WHERE MF != 0 GROUP BY ProductId, GroupName HAVING GroupName = 'SMALL' ORDER BY proba_male DESC""",
-    "state_population_share": """
-SELECT st.*, ct.*, round(CAST(st.state_pop AS DOUBLE) / ct.country_pop, 3) AS probability
-FROM (SELECT Stab AS stab, CAST(sum(TotPop) AS BIGINT) AS state_pop FROM bk_zip_census GROUP BY Stab) st
-CROSS JOIN (SELECT CAST(sum(TotPop) AS BIGINT) AS country_pop FROM bk_zip_census) ct""",
-    "commute_shares": """
-WITH CTE_WestCommuting AS (
-  SELECT Stab AS State, sum(Worker16) AS w, sum(DriveAlone) AS da, sum(Carpool) AS cp, sum(PublicTrans) AS pt,
-    sum(WalkToWork) AS wk, sum(OtherCommute) AS oc, sum(WorkAtHome) AS wh
-  FROM bk_zip_census WHERE Stab IN ('S01', 'S02', 'S03', 'S04') GROUP BY Stab)
-SELECT State AS state, round(CAST(da AS DOUBLE) / nullif(w, 0), 2) AS drive_alone,
-  round(CAST(cp AS DOUBLE) / nullif(w, 0), 2) AS carpool, round(CAST(pt AS DOUBLE) / nullif(w, 0), 2) AS public_trans,
-  round(CAST(wk AS DOUBLE) / nullif(w, 0), 2) AS walk, round(CAST(oc AS DOUBLE) / nullif(w, 0), 2) AS other,
-  round(CAST(wh AS DOUBLE) / nullif(w, 0), 2) AS work_at_home
-FROM CTE_WestCommuting""",
-    "share_by_price_band": """
-WITH CTE_OrderPriceCategory AS (
-  SELECT o.OrderId, CASE
-      WHEN TotalPrice = 0 THEN 'Free Orders'
-      WHEN TotalPrice > 0 AND TotalPrice <= 10000 THEN 'Under $10000'
-      WHEN TotalPrice > 10000 AND TotalPrice <= 50000 THEN 'Under $50000'
-      WHEN TotalPrice > 50000 AND TotalPrice <= 100000 THEN 'Under $100000'
-      WHEN TotalPrice > 100000 AND TotalPrice <= 400000 THEN 'Under $400000'
-    END AS price_category
-  FROM bk_orders o)
-SELECT cte.*, a.*, round(CAST(cte.number_of_orders AS DOUBLE) / a.total, 3) AS probability
-FROM (SELECT price_category, count(OrderId) AS number_of_orders FROM CTE_OrderPriceCategory
-      GROUP BY price_category) cte
-CROSS JOIN (SELECT count(OrderId) AS total FROM bk_orders) a ORDER BY cte.price_category NULLS FIRST""",
+SELECT ProductId AS product_id, any_value(GroupName) AS group_name, count(*) FILTER (Gender = 'F') AS total_female,
+  count(*) FILTER (Gender = 'M') AS total_male, count(*) AS total_mf,
+  round(avg((Gender = 'F')::INT), 2) AS proba_female, round(avg((Gender = 'M')::INT), 2) AS proba_male
+FROM bk_customers JOIN bk_orders USING (CustomerId) JOIN bk_order_lines USING (OrderId) JOIN bk_products USING (ProductId)
+WHERE Gender IN ('F', 'M') AND GroupName = 'SMALL' GROUP BY ProductId""",
+    "state_population_share": _share("bk_zip_census", "Stab AS stab", "state_pop", "country_pop", 3, "sum(TotPop)::BIGINT"),
+    "commute_shares": f"""
+SELECT Stab AS state, {_part('DriveAlone', 'Worker16')} AS drive_alone, {_part('Carpool', 'Worker16')} AS carpool,
+  {_part('PublicTrans', 'Worker16')} AS public_trans, {_part('WalkToWork', 'Worker16')} AS walk,
+  {_part('OtherCommute', 'Worker16')} AS other, {_part('WorkAtHome', 'Worker16')} AS work_at_home
+FROM bk_zip_census GROUP BY Stab HAVING Stab BETWEEN 'S01' AND 'S04'""",
+    "share_by_price_band": _share(f"(SELECT {_BAND} AS price_category, OrderId FROM bk_orders)", "price_category", "number_of_orders", "total", 3, "count(OrderId)"),
     "foreign_born_share": """
 SELECT Stab AS stab, ZIPName AS zip_name, County AS county, FBMinusSea AS fb_minus_sea, TotPop AS tot_pop,
-  round(CAST(FBMinusSea AS DOUBLE) / nullif(TotPop, 0), 2) AS probability
-FROM bk_zip_census WHERE zcta5 IN ('000001', '000002', '000003') ORDER BY probability NULLS FIRST""",
-    "age_shares": """
-WITH CTE_Age AS (
-  SELECT Stab, CAST(sum(TotPop) AS BIGINT) AS tot_pop, CAST(sum(Under18 + (Over18 - Over21)) AS BIGINT) AS n_0_20,
-    CAST(sum(Over21 - Over65) AS BIGINT) AS n_21_64, CAST(sum(Over65) AS BIGINT) AS n_65
-  FROM bk_zip_census WHERE TotPop != 0 AND Stab = 'S06' GROUP BY Stab)
-SELECT Stab AS stab, tot_pop, n_0_20, n_21_64, n_65,
-  round(CAST(n_0_20 AS DOUBLE) / tot_pop, 2) AS p_0_20, round(CAST(n_21_64 AS DOUBLE) / tot_pop, 2) AS p_21_64,
-  round(CAST(n_65 AS DOUBLE) / tot_pop, 2) AS p_65
-FROM CTE_Age""",
+  if(TotPop = 0, NULL, round(FBMinusSea::DOUBLE / TotPop, 2)) AS probability
+FROM bk_zip_census SEMI JOIN (VALUES ('000001'), ('000002'), ('000003')) wanted(z) ON zcta5 = z""",
+    "age_shares": f"""
+SELECT Stab AS stab, sum(TotPop)::BIGINT AS tot_pop, (sum(Under18) + sum(Over18) - sum(Over21))::BIGINT AS n_0_20,
+  (sum(Over21) - sum(Over65))::BIGINT AS n_21_64, sum(Over65)::BIGINT AS n_65, {_part('Under18 + Over18 - Over21', 'TotPop')} AS p_0_20,
+  {_part('Over21 - Over65', 'TotPop')} AS p_21_64, {_part('Over65', 'TotPop')} AS p_65
+FROM bk_zip_census WHERE TotPop <> 0 GROUP BY Stab HAVING Stab = 'S06'""",
 }

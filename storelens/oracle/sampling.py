@@ -1,113 +1,65 @@
 """DuckDB oracle texts for sampling and value models."""
 
+from storelens.oracle.parameterised import seeded
 
-_SEED = "42"
-_MD5 = "md5(concat('" + _SEED + "|', CAST({k} AS VARCHAR)))"
-_PRODUCTS = ("ProductId AS product_id, GroupName AS group_name, IsInStock AS is_in_stock, "
-             "FullPrice AS full_price")
-_DATA = """CTE_Data AS (
-  SELECT o.* FROM bk_orders o JOIN bk_customers c ON o.CustomerId = c.CustomerId
-  WHERE year(o.OrderDate) IN (1999, 2000) AND c.Gender = 'F')"""
-_FALLBACK = """(SELECT CAST(sum(TotalPrice) AS DOUBLE) / count(TotalPrice)
-  FROM bk_orders o JOIN bk_customers c ON o.CustomerId = c.CustomerId
-  WHERE year(OrderDate) = 1999 AND c.Gender = 'F')"""
+_PRODUCT = "ProductId AS product_id, GroupName AS group_name, IsInStock AS is_in_stock, FullPrice AS full_price"
+#: Orders of 2000 above the limit, on days of the calendar.
+_BIG = """(SELECT OrderId AS order_id, OrderDate AS order_date, TotalPrice AS total_price, DOWint % 7 <= 1 AS free
+  FROM bk_orders JOIN bk_calendar ON "Date" = OrderDate WHERE "Date" BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' AND TotalPrice > 250000)"""
+_SPLIT = "order_id, order_date, total_price, if(free, total_price, NULL) AS weekend, if(free, NULL, total_price) AS not_weekend"
+_WOMEN = "bk_orders WHERE CustomerId IN (SELECT CustomerId FROM bk_customers WHERE Gender = 'F')"
+_MEAN = "sum(TotalPrice)::DOUBLE / count(TotalPrice)"
 
 
-def _sets(dims: list[str]) -> str:
-    cols = ", ".join(dims)
-    if "Channel" in dims:
-        return f"""{_DATA},
-CTE_ScoreSet AS (
-  SELECT d.*, c.Channel FROM CTE_Data d JOIN bk_campaigns c ON c.CampaignId = d.CampaignId
-  WHERE year(OrderDate) = 2000),
-CTE_ModelSet AS (
-  SELECT {cols}, CAST(sum(d.TotalPrice) AS DOUBLE) / count(d.TotalPrice) AS cell
-  FROM CTE_Data d JOIN bk_campaigns c ON c.CampaignId = d.CampaignId
-  WHERE year(d.OrderDate) = 1999 GROUP BY {cols})"""
-    return f"""{_DATA},
-CTE_ScoreSet AS (SELECT * FROM CTE_Data WHERE year(OrderDate) = 2000),
-CTE_ModelSet AS (
-  SELECT {cols}, CAST(sum(TotalPrice) AS DOUBLE) / count(TotalPrice) AS cell
-  FROM CTE_Data WHERE year(OrderDate) = 1999 GROUP BY {cols})"""
+def _predicted(dims: str, channel: bool) -> str:
+    """The orders of 2000 by women, each with the mean of its cell's orders of 1999 (the mean of all, if the cell has none)."""
+    known = "CampaignId IN (SELECT CampaignId FROM bk_campaigns)" if channel else "true"
+    return f"""(SELECT OrderId, TotalPrice AS score, CASE WHEN {' AND '.join(f'{d} IS NOT NULL' for d in dims.split(', '))} THEN coalesce(cell, everywhere) ELSE everywhere END AS model
+  FROM (SELECT *, sum(if(y = 1999 AND {known}, TotalPrice, NULL)) OVER here::DOUBLE / nullif(count(if(y = 1999 AND {known}, TotalPrice, NULL)) OVER here, 0) AS cell,
+          sum(if(y = 1999, TotalPrice, NULL)) OVER ()::DOUBLE / nullif(count(if(y = 1999, TotalPrice, NULL)) OVER (), 0) AS everywhere
+        FROM (SELECT *, year(OrderDate) AS y FROM {_WOMEN} AND year(OrderDate) IN (1999, 2000)){' LEFT JOIN bk_campaigns USING (CampaignId)' if channel else ''}
+        WINDOW here AS (PARTITION BY {dims}))
+  WHERE y = 2000 AND {known})"""
 
 
-def _on(dims: list[str]) -> str:
-    return " AND ".join(f"s.{d} = m.{d}" for d in dims)
-
-
-def _value_model(dims: list[str]) -> str:
-    return f"""
-WITH {_sets(dims)}
-SELECT round(CAST(sum(s.TotalPrice) AS DOUBLE) / count(s.TotalPrice), 6) AS avg_score,
-  round(avg(coalesce(m.cell, {_FALLBACK})), 6) AS avg_model
-FROM CTE_ScoreSet s LEFT JOIN CTE_ModelSet m ON {_on(dims)}"""
-
-
-def _value_chart(dims: list[str]) -> str:
+def _value_model(dims: str, channel: bool = False) -> str:
     return f"""
-WITH {_sets(dims)},
-a AS (SELECT s.OrderId, s.TotalPrice AS score, coalesce(m.cell, {_FALLBACK}) AS model
-      FROM CTE_ScoreSet s LEFT JOIN CTE_ModelSet m ON {_on(dims)}),
-b AS (SELECT a.*, ntile(10) OVER (ORDER BY model DESC, OrderId) AS decile FROM a)
-SELECT CAST(decile AS BIGINT) AS decile, round(avg(model), 6) AS avg_model,
-  round(CAST(sum(score) AS DOUBLE) / count(score), 6) AS avg_score
-FROM b GROUP BY decile ORDER BY decile"""
-
+SELECT round(sum(score)::DOUBLE / count(score), 6) AS avg_score, round(avg(model), 6) AS avg_model FROM {_predicted(dims, channel)}"""
 
-_BIG = """SELECT o.OrderId, o.OrderDate, o.TotalPrice, c.DOWint
-  FROM bk_orders o JOIN bk_calendar c ON o.OrderDate = c."Date"
-  AND year(o.OrderDate) = 2000 AND o.TotalPrice > 250000"""
 
 SQL = {
+    # a row is kept if few enough come before it
     "sample_top_percent": f"""
-WITH c AS (SELECT {_MD5.format(k='CampaignId')} AS guid, CampaignId AS campaign_id, Channel AS channel,
-             Discount AS discount FROM bk_campaigns),
-r AS (SELECT *, row_number() OVER (ORDER BY guid, campaign_id) AS rn, count(*) OVER () AS n FROM c)
-SELECT guid, campaign_id, channel, discount FROM r WHERE rn <= ceil(n * 10.0 / 100.0) ORDER BY guid""",
-    "sample_hash_percent": f"""
-SELECT * FROM bk_subscribers WHERE substr({_MD5.format(k='SubscriberId')}, 1, 6) < '19999a'""",
+SELECT guid, CampaignId AS campaign_id, Channel AS channel, Discount AS discount
+FROM (SELECT *, {seeded('CampaignId')} AS guid FROM bk_campaigns)
+QUALIFY rank() OVER (ORDER BY guid, CampaignId) - 1 < 0.1 * count(*) OVER ()""",
+    "sample_hash_percent": f"FROM bk_subscribers WHERE left({seeded('SubscriberId')}, 6) < '19999a'",
     "sample_repeated": f"""
-WITH CTE_RN_Products AS (
-  SELECT CAST(row_number() OVER (ORDER BY ProductId) AS BIGINT) AS row_number, {_PRODUCTS} FROM bk_products)
-SELECT * FROM CTE_RN_Products WHERE ((row_number * 79 + 19) % 100) < 10""",
+SELECT rank() OVER (ORDER BY ProductId)::BIGINT AS row_number, {_PRODUCT} FROM bk_products
+QUALIFY (79 * rank() OVER (ORDER BY ProductId) + 19) % 100 BETWEEN 0 AND 9""",
     "group_share": """
-SELECT a.*, b.*, round(CAST(a.group_total AS DOUBLE) / b.total, 2) AS share
-FROM (SELECT GroupName AS group_name, count(*) AS group_total FROM bk_products GROUP BY GroupName) a
-CROSS JOIN (SELECT count(*) AS total FROM bk_products) b ORDER BY share""",
+SELECT GroupName AS group_name, count(*) AS group_total, sum(count(*)) OVER ()::BIGINT AS total, round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 2) AS share
+FROM bk_products GROUP BY ALL""",
     "sample_stratified": f"""
-WITH CTE_OrderedProduct AS (
-  SELECT CAST(row_number() OVER (ORDER BY GroupName, ProductId) AS BIGINT) AS row_number, {_PRODUCTS}
-  FROM bk_products)
-SELECT * FROM CTE_OrderedProduct WHERE row_number % 100 = 3 ORDER BY group_name""",
-    "big_orders_weekend_split": f"""
-WITH big AS ({_BIG})
-SELECT OrderId AS order_id, OrderDate AS order_date, TotalPrice AS total_price,
-  CASE WHEN DOWint = 1 OR DOWint = 7 THEN TotalPrice END AS weekend,
-  CASE WHEN DOWint = 1 OR DOWint = 7 THEN NULL ELSE TotalPrice END AS not_weekend
-FROM big ORDER BY total_price DESC""",
+SELECT rank() OVER (ORDER BY GroupName, ProductId)::BIGINT AS row_number, {_PRODUCT} FROM bk_products
+QUALIFY rank() OVER (ORDER BY GroupName, ProductId) % 100 = 3""",
+    "big_orders_weekend_split": f"SELECT {_SPLIT} FROM {_BIG}",
+    # the fifty smallest digests of both kinds as two lists
     "sample_balanced": f"""
-WITH a AS (SELECT *, CASE WHEN DOWint = 1 OR DOWint = 7 THEN 1 ELSE 0 END AS IsWeekend FROM ({_BIG}) x),
-CTE_IsWeekend AS (
-  SELECT row_number() OVER (PARTITION BY IsWeekend ORDER BY {_MD5.format(k='OrderId')}, OrderId) AS rn, *
-  FROM a)
-SELECT OrderId AS order_id, OrderDate AS order_date, TotalPrice AS total_price,
-  CASE WHEN IsWeekend = 1 THEN TotalPrice END AS weekend, CASE WHEN IsWeekend = 0 THEN TotalPrice END AS not_weekend
-FROM CTE_IsWeekend WHERE rn <= 50""",
-    "avg_price_by_year": """
-SELECT CAST(year(o.OrderDate) AS BIGINT) AS year,
-  round(CAST(sum(o.TotalPrice) AS DOUBLE) / count(o.TotalPrice), 6) AS average_total_price
-FROM bk_orders o JOIN bk_customers c ON o.CustomerId = c.CustomerId
-WHERE year(o.OrderDate) IN (1999, 2000) AND c.Gender = 'F' GROUP BY year(o.OrderDate)""",
-    "value_model_state": _value_model(["State"]),
-    "value_model_zip": _value_model(["ZipCode"]),
-    "value_model_payment": _value_model(["PaymentType"]),
-    "value_model_channel": _value_model(["Channel"]),
-    "value_model_channel_payment": _value_model(["Channel", "PaymentType"]),
-    "avg_price_all_years": """
-WITH CTE_Data AS (
-  SELECT o.* FROM bk_orders o JOIN bk_customers c ON o.CustomerId = c.CustomerId WHERE c.Gender = 'F')
-SELECT CAST(year(OrderDate) AS BIGINT) AS year,
-  round(CAST(sum(TotalPrice) AS DOUBLE) / count(TotalPrice), 6) AS average_total_price
-FROM CTE_Data GROUP BY year(OrderDate) ORDER BY year""",
-    "value_chart": _value_chart(["Channel", "PaymentType"]),
+SELECT {_SPLIT} FROM {_BIG} JOIN (
+  SELECT unnest(list(order_id ORDER BY {seeded('order_id')}, order_id)[:50]) AS order_id FROM {_BIG} GROUP BY free) USING (order_id)""",
+    "avg_price_by_year": f"""
+SELECT year(OrderDate)::BIGINT AS year, round({_MEAN}, 6) AS average_total_price FROM {_WOMEN} AND year(OrderDate) BETWEEN 1999 AND 2000 GROUP BY ALL""",
+    "value_model_state": _value_model("State"),
+    "value_model_zip": _value_model("ZipCode"),
+    "value_model_payment": _value_model("PaymentType"),
+    "value_model_channel": _value_model("Channel", channel=True),
+    "value_model_channel_payment": _value_model("Channel, PaymentType", channel=True),
+    "avg_price_all_years": f"SELECT year(OrderDate)::BIGINT AS year, round({_MEAN}, 6) AS average_total_price FROM {_WOMEN} GROUP BY ALL",
+    # tiles from the place and the number of rows: the first (rows mod 10) tiles have one row more
+    "value_chart": f"""
+SELECT if(place < (n % 10) * (n // 10 + 1), place // (n // 10 + 1), n % 10 + (place - (n % 10) * (n // 10 + 1)) // greatest(n // 10, 1))::BIGINT + 1 AS decile,
+  round(avg(model), 6) AS avg_model, round(sum(score)::DOUBLE / count(score), 6) AS avg_score
+FROM (SELECT *, rank() OVER (ORDER BY model DESC, OrderId) - 1 AS place, count(*) OVER () AS n FROM {_predicted('Channel, PaymentType', True)})
+GROUP BY ALL""",
 }

@@ -1,61 +1,48 @@
 """DuckDB oracle texts for the summaries."""
 
+_MEAN = "sum(FullPrice)::DOUBLE / count(FullPrice)"
+_ORDER = "OrderId AS order_id, OrderDate AS order_date"
+_CUSTOMER = "c.CustomerId AS customer_id, c.HouseholdId AS household_id, c.FirstName AS first_name"
+
+
+def _mean_of_counts(counted: str, table: str, key: str, out: str) -> str:
+    """The mean per key, cut to an integer: the whole by the number of keys (rows of a NULL key are one key)."""
+    return f"""
+SELECT ({counted} // nullif(count(DISTINCT {key}) + max(({key} IS NULL)::INT), 0))::BIGINT AS {out} FROM {table}"""
+
+
 SQL = {
-    "population_by_state": """
-SELECT Stab AS stab, CAST(sum(Males) AS BIGINT) AS males, CAST(sum(Females) AS BIGINT) AS females
-FROM bk_zip_census GROUP BY Stab ORDER BY Stab""",
-    "foreign_born_by_county": """
-SELECT Stab AS stab, County AS county, CAST(sum(FBEurope) AS BIGINT) AS european_born
-FROM bk_zip_census GROUP BY Stab, County ORDER BY european_born DESC""",
-    "avg_price_by_group": """
-SELECT GroupName AS group_name, round(CAST(sum(FullPrice) AS DOUBLE) / count(FullPrice), 6) AS average_price
-FROM bk_products GROUP BY GroupName HAVING CAST(sum(FullPrice) AS DOUBLE) / count(FullPrice) > 949""",
-    "price_rollup": """
-SELECT CASE WHEN GROUPING(GroupName) = 1 THEN 'Total' ELSE GroupName END AS group_name,
-  min(FullPrice) AS min_price, max(FullPrice) AS max_price,
-  round(CAST(sum(FullPrice) AS DOUBLE) / count(FullPrice), 6) AS avg_price
-FROM bk_products WHERE GroupName <> '#N/A' GROUP BY ROLLUP (GroupName)""",
+    "population_by_state": "SELECT Stab AS stab, sum(Males)::BIGINT AS males, sum(Females)::BIGINT AS females FROM bk_zip_census GROUP BY ALL",
+    "foreign_born_by_county": "SELECT Stab AS stab, County AS county, sum(FBEurope)::BIGINT AS european_born FROM bk_zip_census GROUP BY ALL",
+    "avg_price_by_group": f"""
+FROM (SELECT GroupName AS group_name, {_MEAN} AS mean FROM bk_products GROUP BY ALL) SELECT group_name, round(mean, 6) AS average_price WHERE mean > 949""",
+    # the groups, and all of them together as one more
+    "price_rollup": f"""
+SELECT group_name, min(FullPrice) AS min_price, max(FullPrice) AS max_price, round({_MEAN}, 6) AS avg_price
+FROM (SELECT FullPrice, unnest([GroupName, 'Total']) AS group_name FROM bk_products WHERE GroupName <> '#N/A') GROUP BY ALL""",
     "product_vs_overall_avg": """
-SELECT p.ProductId AS product_id, p.FullPrice AS full_price, a.average_full_price
-FROM bk_products p CROSS JOIN
-  (SELECT round(CAST(sum(FullPrice) AS DOUBLE) / count(FullPrice), 6) AS average_full_price FROM bk_products) a
-ORDER BY p.ProductId""",
-    "customer_orders": """
-SELECT c.CustomerId AS customer_id, c.HouseholdId AS household_id, c.FirstName AS first_name,
-  o.OrderId AS order_id, o.OrderDate AS order_date
-FROM bk_customers c JOIN bk_orders o ON c.CustomerId = o.CustomerId ORDER BY c.CustomerId""",
-    "all_orders_with_customer": """
-SELECT c.CustomerId AS customer_id, c.HouseholdId AS household_id, c.FirstName AS first_name,
-  o.OrderId AS order_id, o.OrderDate AS order_date
-FROM bk_customers c RIGHT JOIN bk_orders o ON c.CustomerId = o.CustomerId ORDER BY c.CustomerId NULLS FIRST""",
+SELECT ProductId AS product_id, FullPrice AS full_price, round(sum(FullPrice) OVER ()::DOUBLE / count(FullPrice) OVER (), 6) AS average_full_price FROM bk_products""",
+    "customer_orders": f"SELECT {_CUSTOMER}, {_ORDER} FROM bk_orders o, bk_customers c WHERE o.CustomerId = c.CustomerId",
+    "all_orders_with_customer": f"SELECT {_CUSTOMER}, {_ORDER} FROM bk_orders o LEFT JOIN bk_customers c USING (CustomerId)",
+    # an order's areas as a list: one row for each, or one without
     "orders_with_state": """
-SELECT o.OrderId AS order_id, o.ZipCode AS zip_code, z.Stab AS stab
-FROM bk_orders o LEFT JOIN bk_zip_census z ON o.ZipCode = z.zcta5 ORDER BY o.OrderId""",
+SELECT OrderId AS order_id, ZipCode AS zip_code, unnest(coalesce(s, [NULL])) AS stab
+FROM bk_orders LEFT JOIN (SELECT zcta5, list(Stab) AS s FROM bk_zip_census GROUP BY ALL) ON zcta5 = ZipCode""",
     "state_orders_x_channel_campaigns": """
-SELECT o.OrderId AS order_id, o.CustomerId AS customer_id, o.City AS city, c.Discount AS discount
-FROM (SELECT * FROM bk_orders WHERE State = 'S03') o
-FULL OUTER JOIN (SELECT CampaignId, Discount FROM bk_campaigns WHERE Channel = 'WEB') c
-  ON c.CampaignId = o.CampaignId""",
+WITH o AS (FROM bk_orders WHERE State = 'S03'), c AS (FROM bk_campaigns WHERE Channel = 'WEB')
+SELECT OrderId AS order_id, CustomerId AS customer_id, City AS city, (SELECT any_value(Discount) FROM c WHERE c.CampaignId = o.CampaignId) AS discount FROM o
+UNION ALL BY NAME
+SELECT Discount AS discount FROM c WHERE NOT EXISTS (FROM o WHERE o.CampaignId = c.CampaignId)""",
     "in_stock_value_by_group": """
-WITH ProductInStock AS (
-  SELECT GroupName, FullPrice FROM bk_products WHERE GroupName <> '#N/A' AND IsInStock = 'Y')
-SELECT GroupName AS group_name, CAST(sum(FullPrice) AS DECIMAL(38,2)) AS total_full_price
-FROM ProductInStock GROUP BY GroupName ORDER BY total_full_price""",
-    "avg_orders_per_zip": """
-WITH OrderZip AS (SELECT ZipCode AS zip, count(*) AS num FROM bk_orders GROUP BY ZipCode)
-SELECT CAST(sum(num) // count(num) AS BIGINT) AS average_zip_code_order FROM OrderZip""",
-    "avg_state_population": """
-WITH Pop_ByState AS (SELECT Stab, sum(TotPop) AS total FROM bk_zip_census GROUP BY Stab)
-SELECT CAST(sum(total) // count(total) AS BIGINT) AS average_state_population FROM Pop_ByState""",
+SELECT GroupName AS group_name, sum(FullPrice) FILTER (IsInStock = 'Y')::DECIMAL(38,2) AS total_full_price
+FROM bk_products GROUP BY ALL HAVING GroupName <> '#N/A' AND count(*) FILTER (IsInStock = 'Y') > 0""",
+    "avg_orders_per_zip": _mean_of_counts("count(*)", "bk_orders", "ZipCode", "average_zip_code_order"),
+    "avg_state_population": _mean_of_counts("sum(TotPop)", "bk_zip_census", "Stab", "average_state_population"),
     "max_order_by_customer": """
-WITH CTE_TotalPriceOrder AS (
-  SELECT OrderId, sum(TotalPrice) AS TotalPriceOrder FROM bk_order_lines GROUP BY OrderId)
-SELECT o.CustomerId AS customer_id, CAST(max(cte.TotalPriceOrder) AS DECIMAL(38,2)) AS total_price_customer
-FROM CTE_TotalPriceOrder cte JOIN bk_orders o ON o.OrderId = cte.OrderId
-GROUP BY o.CustomerId HAVING o.CustomerId <> 0 ORDER BY total_price_customer DESC""",
+SELECT CustomerId AS customer_id, arg_max(total, total)::DECIMAL(38,2) AS total_price_customer
+FROM (SELECT CustomerId, OrderId, sum(l.TotalPrice) AS total FROM bk_orders JOIN bk_order_lines l USING (OrderId) GROUP BY ALL)
+WHERE CustomerId <> 0 GROUP BY ALL""",
     "orders_by_month_name": """
-WITH CTE_MonthOrder AS (
-  SELECT o.OrderId, cal.MonthAbbr AS Month FROM bk_orders o JOIN bk_calendar cal ON o.OrderDate = cal."Date")
-SELECT Month AS month, count(*) AS number_of_orders FROM CTE_MonthOrder GROUP BY Month
-ORDER BY number_of_orders DESC""",
+SELECT MonthAbbr AS month, sum(n)::BIGINT AS number_of_orders
+FROM bk_calendar JOIN (SELECT OrderDate AS "Date", count(*) AS n FROM bk_orders GROUP BY ALL) USING ("Date") GROUP BY ALL""",
 }
