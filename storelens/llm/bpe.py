@@ -91,15 +91,16 @@ class ForcedBoundaryBpe:
             self.chunks[chunk] = out
         return out
 
-    def merged(self, key: str, word: str) -> tuple[bytes, str]:
-        """A word (in byte symbols) cut at its forced boundaries, each fragment merged on its own."""
+    def merged(self, key: str | None, word: str) -> tuple[bytes, str]:
+        """A word (in byte symbols) cut at its forced boundaries, each fragment merged on its own; remembered under
+        ``key``, the word as the text has it, if there is one."""
         *inner, last = self.fragments([*word[:-1], word[-1] + self.end])
         tokens = [t for p in inner for t in self.inner.tokenize("".join(p))]
         tokens += self.last.tokenize("".join(last)[: -len(self.end)])
         out = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]), " ".join([t.value for t in tokens])
         if len(self.words) > self.memory:
             self.words.clear()
-        if len(key) <= 64:
+        if key is not None and len(key) <= 64:
             self.words[key] = out
         return out
 
@@ -115,7 +116,7 @@ class ForcedBoundaryBpe:
                 both.append((struct.pack("<I", self.special[piece]), piece))
             elif _UNUSUAL.search(piece):
                 plain = self.library.normalizer.normalize_str(piece)
-                both += [self.merged("\0" + w, w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+                both += [self.merged(None, w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
             else:
                 known, learn = self.chunks.get, self.learn
                 both += [known(c) or learn(c) for c in piece.lower().split()]

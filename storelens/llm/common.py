@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storelens.operators.storage import shared_folder  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a maximal run of bytes outside the six ASCII white-space characters.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new sub-folder of ``spark.checkpoint.dir``; in local mode without that
-    setting a scratch folder is set first, on a cluster a missing one is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    base = base or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="storelens-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``df`` written as Parquet below ``folder`` and read again: the lineage ends
     here, and the files survive the loss of any executor."""

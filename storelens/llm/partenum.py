@@ -36,10 +36,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import broadcast_up_to, require, shared_folder, stored
+from storelens.llm.common import broadcast_up_to, free_name, require, shared_folder, stored
 from storelens.llm.components import components
 from storelens.llm.wordhash import U64, WordHasher, between_spaces, byte_slices, distinct, grams, mix
 
@@ -203,6 +203,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     their id stay as they are; an empty table gives an empty one.
     """
     require(docs, doc_id, text)
+    members, found = _grouped(docs, percent, doc_id, text)
+    return (members.join(found, "class", "left")
+            .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+#: What orders the rows of a component: null ids come last.
+_PLACE = "struct(doc_id is null as no_id, doc_id, text_key)"
+
+
+def _grouped(docs: DataFrame, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Every row (doc_id, text_key, n, class, ...), and for every class the first row of its component: (class, first)."""
     if percent < 80:
         raise ValueError("the signatures are complete from a similarity of 80 hundredths on")
     folder = shared_folder(docs.sparkSession)
@@ -214,7 +225,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
                               + ", ".join(f"{c} long" for c in PARITIES))
     members = stored(sketched, folder, "members")
     classes = stored(members.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("cells", *PARITIES)],
-                                                                F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")), folder, "classes")
+                                                                F.min(F.expr(_PLACE)).alias("least"), F.min("text_key").alias("text_key")), folder, "classes")
 
     schema = pa.schema([("signature", pa.int64()), ("class", pa.int64()), ("n", pa.int32())])
     signed = rows.select("text").mapInArrow(_per_slice(_signed, schema), "signature long, class long, n int")
@@ -271,16 +282,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
 
     small = broadcast_up_to(labels.toDF("class", "label"), BROADCAST_CLASSES)
     whole = classes.join(small, "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
-    found = whole.join(whole.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("class", "component_id")
-    return (members.join(found, "class", "left")
-            .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    return members, whole.join(whole.groupBy("label").agg(F.min("least").alias("first")), "label").select("class", "first")
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` (doc_id, text) with one document of each group of :func:`near_duplicates`, that of the
-    smallest doc_id.  Rows repeated with their doc_id are one document, all of whose rows
-    stay or go; rows without an id cannot be named as copies and stay."""
+    """``docs`` (doc_id, text) with one row of each group of :func:`near_duplicates`: that of the smallest doc_id,
+    a null id counting as the largest; among rows of that id the one whose text has the smallest hash, and among rows
+    equal in both the one whose columns have.  Rows whose text has no words are no copies of anything and stay."""
     folder = shared_folder(docs.sparkSession)
-    found = stored(near_duplicates(docs, percent), folder, "groups")
-    gone = stored(found.filter("doc_id != component_id").select("doc_id").distinct(), folder, "gone")
-    return docs.join(broadcast_up_to(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
+    members, found = _grouped(docs, percent, "doc_id", "text")
+
+    def row_key(text_key: Column) -> Column:
+        return F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("|"), text_key)
+
+    # equal rows are one here, with a count
+    rows = members.filter("n > 0").groupBy("class", "doc_id", "text_key").agg(F.count("*").alias("copies")).join(found, "class")
+    rows = stored(rows.select(row_key(F.col("text_key")).alias("key"), "copies", (F.expr(_PLACE).eqNullSafe(F.col("first"))).alias("stays")), folder, "decided")
+    gone, again = (stored(rows.filter(f).select("key").distinct(), folder, name) for f, name in (("not stays", "gone"), ("stays and copies > 1", "again")))
+    key = free_name(docs, "_row_key")
+    left = docs.withColumn(key, row_key(F.xxhash64("text"))).join(broadcast_up_to(gone, BROADCAST_ROWS).toDF(key), key, "left_anti")
+    if not again.limit(1).count():
+        return left.select([F.col(f"`{c}`") for c in docs.columns])
+    small = broadcast_up_to(again, BROADCAST_ROWS).toDF(key)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    one = F.min_by(F.struct(*own), F.xxhash64(*own)).alias("row")
+    return left.join(small, key, "left_anti").select(own).union(left.join(small, key, "left_semi").groupBy(key).agg(one).select("row.*"))

@@ -49,3 +49,24 @@ def test_without_usable_labels_no_document_is_rejected(spark, tmp_path):
         some.write.parquet(f"{tmp_path}/{name}/labels.parquet")
         for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.keep_good):
             assert stage(spark, docs, f"{tmp_path}/{name}").count() == docs.count() > 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    from storelens.llm.partenum import without_near_duplicates
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(7, a, 1), (7, b, 2), (3, a, 3), (9, b, 4), (None, c, 5), (None, c, 6), (5, "", 7), (5, "", 8), (None, None, 9), (4, c + " d", 10)]
+    got = {tuple(r) for r in without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)).collect()}
+    assert got == {rows[i] for i in (1, 2, 6, 7, 8, 9)}
+    rows = [(None, c, 1), (None, c, 1), (2, a, 5), (2, a, 4), (2, a, 4)] * 20
+    got = [tuple(r) for r in without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()]
+    assert len(got) == 2 and (None, c, 1) in got and got[0][1] != got[1][1]
+
+
+def test_training_rows_do_not_depend_on_partitions(spark):
+    from storelens.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(i % 7, f"text {i}") for i in range(700)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, toxic int")
+    some = [sorted(map(tuple, training_rows(docs.repartition(n), labels, "toxic", rows).collect())) for n in (2, 7) for rows in (3, 30)]
+    assert some[0] == some[2] and some[1] == some[3] and len(some[0]) == 3 and len({r[0] for r in some[1]}) == len(some[1])

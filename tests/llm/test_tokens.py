@@ -12,7 +12,7 @@ from storelens.llm.token_counts import Counter, with_token_counts
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", None, "  ", " a", "a ", " a  b   ▁c ▁▁ d ", "İ ΣΑΣ <|startoftext|>x <|ENDOFTEXT|> <|endoftext|>", "don't we'll I'M 's",
        "a\u0085b\x1cc\xa0d", "日本語 é ﬁ Ⅳ ½ ²", "\0\x01a", "a" * 5000, "x1y22z" + "é" * 50, "<|", "a\tb\n\n c", "word " * 30_000]
-TEXT = st.text(st.sampled_from("ab 's<|>\t▁é1.,!İßΣ日‍\x85\xa0\x1c"), max_size=40)
+TEXT = st.text(st.sampled_from("\0中@ab 's<|>\t▁é1.,!İßΣ日‍\x85\xa0\x1c"), max_size=40)
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +57,11 @@ def test_whole_columns(spark, library):
         n = len(library[1].encode(r.text or ""))
         assert (r.n_tokens, r.over_limit) == (n, n > 100)
     assert with_digests(df.limit(0), WORD).count() == with_token_counts(df.limit(0), PIECE).count() == 0
+
+
+def test_ids_do_not_depend_on_what_came_before(library):
+    bpe = ForcedBoundaryBpe(WORD)
+    texts = ["中 @", "a \x00@", "\0@ @", "@ 中 \0@", "a \x00@"]
+    for order in (texts, texts[::-1], texts[2:] + texts[:2]):
+        for text in order:
+            assert np.frombuffer(bpe.encode(text)[0], "<u4").tolist() == library[0].encode(text, add_special_tokens=False).ids
