@@ -1,8 +1,6 @@
 """Distances on the sphere and on an ellipsoid, as column expressions (degrees in).
 
-The ellipsoid distance is Lambert's formula for long lines (first-order
-flattening correction of the great-circle distance on reduced latitudes), a
-published closed form that stays a single codegen'd expression.  The default
+The ellipsoid distance is the geodesic's length (``functions.geodesic``).  The default
 ellipsoid is the one of SRID 4748 used by the reference, in feet.
 """
 
@@ -13,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from storelens.functions.geodesic import geodesic
+
 # Fixed values of the reference: earth radius in miles for the angle method,
 # feet per mile for the geography method.
 EARTH_RADIUS_MILES = 3957.773
@@ -43,17 +43,7 @@ def great_circle_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
 def ellipsoid_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
                     a: float = ELLIPSOID_A_FEET, b: float = ELLIPSOID_B_FEET,
                     unit_per_mile: float = FEET_PER_MILE) -> Column:
-    f = (a - b) / a
-    b1 = F.atan(F.lit(1.0 - f) * F.tan(rad(lat1)))
-    b2 = F.atan(F.lit(1.0 - f) * F.tan(rad(lat2)))
-    dl = rad(lon2) - rad(lon1)
-    hav = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(dl / 2), 2)
-    s = F.lit(2.0) * F.asin(F.sqrt(F.least(F.lit(1.0), hav)))
-    p, q = (b1 + b2) / 2, (b2 - b1) / 2
-    x = (s - F.sin(s)) * F.pow(F.sin(p) * F.cos(q) / F.cos(s / 2), 2)
-    y = (s + F.sin(s)) * F.pow(F.cos(p) * F.sin(q) / F.sin(s / 2), 2)
-    d = F.lit(a) * (s - F.lit(f / 2) * (x + y))
-    return F.when(s == 0, F.lit(0.0)).otherwise(d) / F.lit(unit_per_mile)
+    return geodesic(lat1, lon1, lat2, lon2, a, b) / F.lit(unit_per_mile)
 
 
 def distance_miles(metric: str, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from storelens.functions.geodesic import Term, Text, geodesic
 from storelens.functions.geo import ELLIPSOID_A_FEET, ELLIPSOID_B_FEET, EARTH_RADIUS_MILES, FEET_PER_MILE
 
 PI = f"CAST({math.pi!r} AS DOUBLE)"
@@ -24,15 +25,5 @@ def sphere(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
 
 
 def ellipsoid(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    a, b = ELLIPSOID_A_FEET, ELLIPSOID_B_FEET
-    f = (a - b) / a
-    b1 = f"atan({dbl(1.0 - f)} * tan({rad(lat1)}))"
-    b2 = f"atan({dbl(1.0 - f)} * tan({rad(lat2)}))"
-    dl = f"({rad(lon2)} - {rad(lon1)})"
-    hav = f"(pow(sin(({b2} - {b1}) / 2), 2) + cos({b1}) * cos({b2}) * pow(sin({dl} / 2), 2))"
-    s = f"(2.0 * asin(sqrt(least(1.0, {hav}))))"
-    p, q = f"(({b1} + {b2}) / 2)", f"(({b2} - {b1}) / 2)"
-    x = f"(({s} - sin({s})) * pow(sin({p}) * cos({q}) / cos({s} / 2), 2))"
-    y = f"(({s} + sin({s})) * pow(cos({p}) * sin({q}) / sin({s} / 2), 2))"
-    d = f"({dbl(a)} * ({s} - {dbl(f / 2)} * ({x} + {y})))"
-    return f"((CASE WHEN {s} = 0 THEN 0.0 ELSE {d} END) / {dbl(FEET_PER_MILE)})"
+    feet = geodesic(Term(lat1), Term(lon1), Term(lat2), Term(lon2), ELLIPSOID_A_FEET, ELLIPSOID_B_FEET, on=Text)
+    return f"({feet} / {dbl(FEET_PER_MILE)})"
