@@ -3,7 +3,7 @@
 ``Columns`` and ``Text`` offer the same few operations; ``geodesic`` is written with them.
 
 Points that are not nearly antipodal: the inverse solution of Vincenty (1975), whose longitude on
-the auxiliary sphere is a fixed point; ten rounds leave less than 1e-11 radians.  Where they do not (nearly
+the auxiliary sphere is a fixed point; six rounds leave less than 1e-11 radians.  Where they do not (nearly
 antipodal points), the azimuth of the geodesic at the point farther from the equator is bisected: with
 that point on the southern side, the longitude difference that an azimuth leads to at the other point's
 latitude grows with the azimuth from 0 to pi, so 52 halvings find it.  Points that lie
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ROUNDS, HALVINGS, CONVERGED = 10, 52, 1e-11
+ROUNDS, HALVINGS, CONVERGED = 6, 52, 1e-11
 
 
 class Columns:
