@@ -1,26 +1,21 @@
 """Cross-entropy difference of a target and a background n-gram model (Moore-Lewis scoring).
 
-:func:`word_cross_entropy_difference` compares word bigrams that back off to the unigram:
+Both models are word bigrams that back off to the unigram, over one vocabulary, the words of
+the whole corpus:
 
     P(w | v) = (n(v, w) + BACKOFF * P(w)) / (n(v) + BACKOFF)
 
-Every bigram of the corpus is counted; only the frequent ones and the common words, bounded
-numbers of both, go to the tasks, all others stay distributed.
-
-:func:`cross_entropy_difference` has smaller models, class bigrams over one vocabulary, the words of the whole corpus:
-
-    P(w | v) = P(c(w) | c(v)) * P(w | c(w))
-
-Head words (at least HEAD of all tokens, so at most 1 / HEAD of them, whatever the
-corpus) are classes of their own; all other words share one class, within which a
-word has its own add-ALPHA unigram probability.  The background is every document,
-the target those that the caller marks.  A document's score is the mean over its
-tokens of -log P_target + log P_background: low means like the target.
-
-What is gathered is exact: counts of every word, and of every pair of classes.  The
-class table and the common words (at least COMMON of all tokens, so at most 1 / COMMON)
-are bounded and go to the tasks; the counts of all rarer words stay distributed and are
-joined to the rare tokens.
+The background is every document, the target those that the caller marks.  A document's score
+is the mean over its tokens of -log P_target + log P_background: low means like the target.
+
+Every word and every bigram of the corpus is counted.  Texts are dealt into blocks of about
+BLOCK_BYTES.  A block asks for the counts of its distinct words and bigrams: their 64-bit
+hashes, with the block's own counts, go to the bucket of the hash's leading bits, packed as one
+row per block and bucket.  A bucket adds up what all blocks say of a hash and answers each row
+in its own order, so an answer needs no key, and no row per text and bigram ever moves.  The
+block, hashed a second time, meets its answers and scores its texts whole.  A hash appears once
+per block, however frequent it is, so no bucket is hot; nothing of the vocabulary's size is
+held by the driver or broadcast.
 """
 
 from __future__ import annotations
@@ -29,296 +24,168 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelens.llm.common import require, shared_folder, stored
 from storelens.llm.wordhash import WordHasher, alphanumeric, byte_slices
 
-HEAD = 1e-3
-COMMON = 1e-5
 ALPHA = 0.5
 #: Tokens that the unigram model counts for in every context of the word bigrams.
 BACKOFF = 100.0
-#: Bigrams of at least this share of all tokens, so at most 1 / FREQUENT, go to the tasks.
-FREQUENT = 5e-7
 SLICE_BYTES = 4 << 20
-#: Tokens that a task sums up before it hands out counts.
-BLOCK_TOKENS = 4_000_000
-
-
-def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n, t): tokens of each word in all and in target texts, summed over BLOCK_TOKENS at a time."""
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
-    hasher, held, size = WordHasher(alphanumeric()), [], 0
-
-    def summed():
-        word, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-        target = np.concatenate([t for _, t in held])
-        return _batch(schema, word.view("int64"), np.bincount(at), np.bincount(at, target).astype("int64"))
-
-    for batch in batches:
-        done = 0
-        for texts in byte_slices(batch.column(0), SLICE_BYTES):
-            word, _, at = hasher(texts)
-            marked = batch.column(1).slice(done, len(texts)).to_numpy(zero_copy_only=False).astype("u1")
-            done += len(texts)
-            held.append((word, np.repeat(marked, np.diff(at))))
-            size += len(word)
-            if size >= BLOCK_TOKENS:
-                yield summed()
-                held, size = [], 0
-    if size:
-        yield summed()
-
-
-class Classes:
-    """Class numbers: 0 begins a text, 1 is any word that is not a head word, then the head words."""
-
-    def __init__(self, head: np.ndarray) -> None:
-        self.head, self.n = np.sort(head), len(head) + 2
-
-    def of(self, word: np.ndarray) -> np.ndarray:
-        if not len(self.head):
-            return np.ones(len(word), "int64")
-        at = np.minimum(np.searchsorted(self.head, word), len(self.head) - 1)
-        return np.where(self.head[at] == word, at + 2, 1)
-
-    def pairs(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Number of the class pair that each token makes with the one before it in its text."""
-        c = self.of(word)
-        before = np.concatenate([[0], c[:-1]])[:len(c)]
-        before[at[:-1][np.diff(at) > 0]] = 0
-        return before * self.n + c
-
-
-def _class_pairs(head: np.ndarray):
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, classes = WordHasher(alphanumeric()), Classes(head)
-        total = np.zeros((2, classes.n ** 2), "int64")
-        for batch in batches:
-            done = 0
-            for texts in byte_slices(batch.column(0), SLICE_BYTES):
-                word, _, at = hasher(texts)
-                marked = batch.column(1).slice(done, len(texts)).to_numpy(zero_copy_only=False)
-                done += len(texts)
-                pair = classes.pairs(word, at)
-                total[0] += np.bincount(pair, minlength=total.shape[1])
-                total[1] += np.bincount(pair[np.repeat(marked, np.diff(at))], minlength=total.shape[1])
-        seen = np.flatnonzero(total[0])
-        yield _batch(schema, seen, *total[:, seen])
-
-    return run
-
-
-def cross_entropy_difference(docs: DataFrame, target: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, score) of every document; ``target`` is a condition over ``docs``.
-
-    Words are runs of ASCII letters, digits and non-ASCII characters, in lower case.
-    Null and empty texts have no tokens and a null score, as have all documents when
-    no target text has a token.  A null condition is false.  Rows repeated with id
-    and text count as often as they occur and score alike; an empty table gives an
-    empty one.
-    """
-    require(docs, doc_id, text)
-    folder, spark = shared_folder(docs.sparkSession), docs.sparkSession
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.coalesce(target, F.lit(False)).alias("target"), F.col(f"`{doc_id}`").alias("doc_id"))
-
-    counted = rows.select("text", "target").mapInArrow(_words, "word long, n long, t long")
-    counts = stored(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), folder, "words")
-    total = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count("*").alias("words")).first()
-    if not total.t:
-        return _with_lengths(rows)
-    # at most 1 / COMMON rows, since their shares of all tokens add up to 1 at most
-    common = counts.filter(F.col("n") >= COMMON * total.n).toPandas()
-    top = common[common.n >= HEAD * total.n]
-    head = top.word.to_numpy().view("u8")
-    classes = Classes(head)
-
-    # at most (1 / HEAD + 2) ** 2 pairs
-    pairs = rows.select("text", "target").mapInArrow(_class_pairs(head), "pair long, n long, t long")
-    pairs = pairs.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas()
-
-    def log_transition(column: str) -> np.ndarray:
-        table = np.zeros(classes.n ** 2)
-        table[pairs.pair] = pairs[column]
-        table = table.reshape(classes.n, classes.n) + ALPHA
-        return np.log(table / table.sum(axis=1, keepdims=True)).ravel()
-
-    change = log_transition("n") - log_transition("t")  # background minus target: what a pair adds to the score
-    kinds = total.words - len(top)
-    rest = {"n": total.n - int(top.n.sum()), "t": total.t - int(top.t.sum())}
-
-    def within(n, t):
-        """The same for a word within the class of all other words, from its two counts."""
-        return np.log((n + ALPHA) / (rest["n"] + ALPHA * kinds)) - np.log((t + ALPHA) / (rest["t"] + ALPHA * kinds))
-
-    known = common[common.n < HEAD * total.n]
-    order = np.argsort(known.word.to_numpy().view("u8"))
-    shared = spark.sparkContext.broadcast((head, change.astype("f4"), known.word.to_numpy().view("u8")[order],
-                                           within(known.n.to_numpy(), known.t.to_numpy())[order]))
-
-    schema = pa.schema([("row_key", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("part", pa.float64())])
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per text with its tokens and what the bounded tables add, and a row per rare word of it."""
-        head, change, known, add = shared.value
-        hasher, classes = WordHasher(alphanumeric()), Classes(head)
-        for batch in batches:
-            done = 0
-            for texts in byte_slices(batch.column(0), SLICE_BYTES):
-                key = batch.column(1).slice(done, len(texts)).to_numpy()
-                done += len(texts)
-                word, _, at = hasher(texts)
-                row = np.repeat(np.arange(len(texts)), np.diff(at))
-                part = change[classes.pairs(word, at)].astype("f8")
-                place = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
-                is_known = known[place] == word if len(known) else np.zeros(len(word), bool)
-                part[is_known] += add[place[is_known]]
-                rare = np.flatnonzero(~is_known & (classes.of(word) == 1))
-                order = rare[np.lexsort((word[rare], row[rare]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (word[order][1:] != word[order][:-1]) | (row[order][1:] != row[order][:-1])
-                first = np.flatnonzero(new)
-                yield _batch(schema, key[row[order[first]]], word[order[first]].view("int64"), np.diff(np.append(first, len(order))),
-                             np.zeros(len(first)))
-                yield _batch(schema, key, pa.nulls(len(key), pa.int64()), np.diff(at), np.bincount(row, part, len(texts)))
-
-    keyed = rows.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), "text"))
-    parts = stored(keyed.select("text", "row_key").mapInArrow(scored, "row_key long, word long, n long, part double"), folder, "parts")
-    rare = counts.filter(F.col("n") < COMMON * total.n).select("word", F.col("n").alias("wn"), F.col("t").alias("wt"))
-    logs = (F.log((F.col("wn") + ALPHA) / (rest["n"] + ALPHA * kinds)) - F.log((F.col("wt") + ALPHA) / (rest["t"] + ALPHA * kinds))) if kinds else F.lit(0.0)
-    added = parts.filter("word is not null").join(rare, "word").select("row_key", F.lit(0).cast("long").alias("n"), (F.col("n") * logs).alias("part"))
-    whole = parts.filter("word is null").select("row_key", "n", "part").unionByName(added)
-    return _means(keyed, whole)
-
-
-def _means(keyed: DataFrame, whole: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, score) from (row_key, n, part) in any number of pieces."""
-    # a text that occurs k times has k times the tokens and k times the sum: the mean is the same
-    sums = whole.groupBy("row_key").agg(F.sum("n").alias("n"), F.sum("part").alias("part"))
-    ids = keyed.groupBy("row_key", "doc_id").agg(F.count("*").alias("copies"))
-    out = ids.join(sums, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select("doc_id", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"),
-                      F.when(F.col("n") > 0, F.col("part") / F.col("n")).alias("score"))
-
-
-def _slices(batch: pa.RecordBatch, hasher: WordHasher) -> Iterator[tuple]:
-    """(word, context, at, second column) of the texts of a batch; the context of a text's first word is 0."""
-    done = 0
-    for texts in byte_slices(batch.column(0), SLICE_BYTES):
-        word, _, at = hasher(texts)
-        before = np.concatenate([np.zeros(1, "u8"), word[:-1]])[:len(word)]
-        before[at[:-1][np.diff(at) > 0]] = 0
-        yield word, before, at, batch.column(1).slice(done, len(texts)).to_numpy(zero_copy_only=False)
-        done += len(texts)
-
-
-def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One number for a bigram: the context's hash turned by one bit, and the word's."""
-    return (before << np.uint64(1) | before >> np.uint64(63)) ^ word
-
-
-def _pair_column(before: Column, word: Column) -> Column:
-    return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(word)
-
-
-def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(v, w, n, t): tokens w after v in all and in target texts, summed over BLOCK_TOKENS at a time."""
-    schema = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
-    hasher, held, size = WordHasher(alphanumeric()), [], 0
-
-    def summed():
-        v, w, target = (np.concatenate(c) for c in zip(*held))
-        _, first, at = np.unique(_pair(v, w), return_index=True, return_inverse=True)
-        return _batch(schema, v[first].view("int64"), w[first].view("int64"), np.bincount(at), np.bincount(at, target).astype("int64"))
-
-    for batch in batches:
-        for word, before, at, marked in _slices(batch, hasher):
-            held.append((before, word, np.repeat(marked.astype("u1"), np.diff(at))))
-            size += len(word)
-            if size >= BLOCK_TOKENS:
-                yield summed()
-                held, size = [], 0
-    if size:
-        yield summed()
+#: Text that is counted and scored at a time (a longer text makes a longer block).
+BLOCK_BYTES = 4 << 20
+#: Blocks whose bigrams, or words, fill one bucket.
+BLOCKS_A_BUCKET = {"bigram": 4, "word": 16}
+#: Shuffle tasks that blocks are dealt to, at most.
+TASKS = 20_000
+#: Counts of a word: tokens in all and in target texts, then as a context in both; of a bigram the first two.
+COUNTS = {"word": 4, "bigram": 2}
+
+
+class Block:
+    """The tokens of a block's texts, by their places among its distinct words and bigrams.
+
+    ``words`` and ``bigrams`` ascend; the beginning of a text is the word 0."""
+
+    def __init__(self, texts: pa.ChunkedArray) -> None:
+        hasher, hashes, sizes = WordHasher(alphanumeric()), [np.zeros(1, "u8")], [np.zeros(0, "int64")]
+        for chunk in texts.chunks:
+            for some in byte_slices(chunk, SLICE_BYTES):
+                word, _, at = hasher(some)
+                hashes.append(word)
+                sizes.append(np.diff(at))
+        token = np.concatenate(hashes)
+        self.sizes = np.concatenate(sizes)
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        first = np.concatenate([np.ones(1, bool), self.row[1:] != self.row[:-1]])[:len(self.row)]
+        self.words, at = np.unique(token, return_inverse=True)
+        self.word, self.context = at[1:], np.where(first, at[0], at[:-1])
+        before = np.where(first, np.uint64(0), token[:-1])
+        # one number for a bigram: the context's hash turned by one bit, and the word's
+        bigram = (before << np.uint64(1) | before >> np.uint64(63)) ^ token[1:]
+        self.bigrams, self.bigram = np.unique(bigram, return_inverse=True)
+
+    def counts(self, marked: np.ndarray) -> dict[str, np.ndarray]:
+        """A row of COUNTS for each distinct word and bigram; ``marked`` tells the target texts."""
+        target = np.repeat(marked, self.sizes).astype("f8")
+
+        def pair(at: np.ndarray, n: int) -> list[np.ndarray]:
+            return [np.bincount(at, minlength=n), np.bincount(at, target, n)]
+
+        words = pair(self.word, len(self.words)) + pair(self.context, len(self.words))
+        return {"word": np.stack(words, axis=1).astype("int64"), "bigram": np.stack(pair(self.bigram, len(self.bigrams)), axis=1).astype("int64")}
+
+
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Bytes of ``values`` (rows of 64-bit numbers), cut at the row numbers ``cuts``."""
+    width = 8 * (values.shape[1] if values.ndim > 1 else 1)
+    data = pa.py_buffer(np.ascontiguousarray(values).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype("int32").tobytes()), data])
+
+
+def _numbers(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """All 64-bit numbers of a binary column, in order."""
+    return np.concatenate([np.zeros(0, kind)] + [np.frombuffer(cell.as_buffer(), kind) for cell in column if cell.is_valid])
+
+
+_ASKED = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ANSWERED = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.int64()), ("counts", pa.binary()),
+                       ("n", pa.int64()), ("t", pa.int64()), ("words", pa.int64())])
+
+
+def _asking(buckets: dict[str, int]):
+    def asked(rows: pa.Table) -> pa.Table:
+        block, number, parts = Block(rows["text"]), rows["block"][0].as_py(), []
+        if not len(block.row):
+            return _ASKED.empty_table()
+        counts = block.counts(rows["target"].to_numpy())
+        for kind, keys in (("word", block.words), ("bigram", block.bigrams)):
+            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets[kind]) >> np.uint64(32)).astype("int64")
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]])
+            n = len(cuts) - 1
+            columns = [pa.array([kind] * n), pa.array(bucket[cuts[:-1]]), pa.array(np.full(n, number)), _binary(keys, cuts), _binary(counts[kind], cuts)]
+            parts.append(pa.Table.from_arrays(columns, schema=_ASKED))
+        return pa.concat_tables(parts)
+
+    return asked
+
+
+def _answered(rows: pa.Table) -> pa.Table:
+    """Per row the whole corpus' counts of its keys; the first row has the bucket's totals."""
+    kind, keys = rows["kind"][0].as_py(), _numbers(rows["keys"], "u8")
+    counts = _numbers(rows["counts"], "int64").reshape(len(keys), COUNTS[kind])
+    cuts = np.concatenate([[0], np.cumsum([len(cell.as_buffer()) // 8 for cell in rows["keys"]])])
+    distinct, at = np.unique(keys, return_inverse=True)
+    whole = np.zeros((len(distinct), COUNTS[kind]), "int64")
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], np.arange(len(distinct)))
+    whole[:] = np.add.reduceat(counts[order], starts, axis=0)
+    totals = np.zeros((3, len(rows)), "int64")
+    if kind == "word":
+        totals[:, 0] = whole[:, 0].sum(), whole[:, 1].sum(), np.count_nonzero(whole[:, 0])
+    columns = [rows["kind"], rows["bucket"], rows["block"], pa.chunked_array([_binary(whole[at], cuts)]), *map(pa.array, totals)]
+    return pa.table(columns, schema=_ANSWERED)
+
+
+def _scoring(total, schema: pa.Schema):
+    def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(rows["text"])
+        answers = answers.sort_by("bucket")
+        whole = {}
+        for kind, width in COUNTS.items():
+            whole[kind] = _numbers(answers.filter(pc.equal(answers["kind"], kind))["counts"], "int64").reshape(-1, width)
+        sizes, sums = block.sizes, np.zeros(len(block.sizes))
+        if len(block.row):
+            n, t, cn, ct = whole["word"].T.astype("f8")
+            # what the unigram adds to either count of a bigram, and the difference that its context makes
+            pn, pt = ((c + ALPHA) * (BACKOFF / (tokens + ALPHA * total.words)) for c, tokens in ((n, total.n), (t, total.t)))
+            gap = np.log((ct + BACKOFF) / (cn + BACKOFF))
+            bn, bt = whole["bigram"].T.astype("f8")
+            part = np.log((bn[block.bigram] + pn[block.word]) / (bt[block.bigram] + pt[block.word])) + gap[block.context]
+            sums = np.bincount(block.row, part, len(sizes))
+        score = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
+        return pa.table([rows["doc_id"].cast(schema.field("doc_id").type), pa.array(sizes), score], schema=schema)
+
+    return scored
 
 
 def word_cross_entropy_difference(docs: DataFrame, target: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """As :func:`cross_entropy_difference`, but with bigrams of all words, whatever their frequency."""
+    """(doc_id, n_tokens, score) of every row of ``docs``; ``target`` is a condition over them.
+
+    Words are runs of ASCII letters, digits and non-ASCII characters, in lower case.  Null and
+    empty texts have no tokens and a null score, as have all documents when no target text has a
+    token.  A null condition is false.  Texts of any length are scored whole.  Rows repeated
+    with id and text count as often as they occur and score alike; a null id is kept; other
+    columns, whatever their names, are ignored; an empty table gives an empty one.
+    """
     require(docs, doc_id, text)
-    folder, spark = shared_folder(docs.sparkSession), docs.sparkSession
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.coalesce(target, F.lit(False)).alias("target"), F.col(f"`{doc_id}`").alias("doc_id"))
-
-    counted = rows.select("text", "target").mapInArrow(_bigrams, "v long, w long, n long, t long")
-    bigrams = stored(counted.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), folder, "bigrams")
-    # every token is the word of one bigram, and every token but a text's last, or its beginning, the context of one
-    as_word = bigrams.select(F.col("w").alias("word"), "n", "t", F.lit(0).cast("long").alias("cn"), F.lit(0).cast("long").alias("ct"))
-    as_context = bigrams.select(F.col("v").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"),
-                                F.col("n").alias("cn"), F.col("t").alias("ct"))
-    counts = as_word.unionByName(as_context).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "t", "cn", "ct")])
-    counts = stored(counts, folder, "words")
-    total = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count_if(F.col("n") > 0).alias("words")).first()
+    folder = shared_folder(docs.sparkSession)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
+    # numbered and written once, so a row is in the same block whenever a lost task is run again
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("bytes", F.octet_length("text")), folder, "rows")
+    blocks = int(-(-(rows.agg(F.sum("bytes")).first()[0] or 1) // BLOCK_BYTES)) or 1
+    rows = rows.select("doc_id", "text", "target", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).repartition(min(blocks, TASKS), "block")
+
+    buckets = {kind: max(1, blocks // size) for kind, size in BLOCKS_A_BUCKET.items()}
+    asked = rows.select("text", "target", "block").groupBy("block").applyInArrow(
+        _asking(buckets), "kind string, bucket long, block long, keys binary, counts binary")
+    answers = asked.groupBy("kind", "bucket").applyInArrow(
+        _answered, "kind string, bucket long, block long, counts binary, n long, t long, words long")
+    answers = stored(answers, folder, "answers")
+    total = answers.agg(*[F.sum(c).alias(c) for c in ("n", "t", "words")]).first()
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()),
+                           T.StructField("score", T.DoubleType())])
     if not total.t:
         return _with_lengths(rows)
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    # what the unigram adds to either count of a bigram, and the difference that its context makes
-    def unigram(column: str, tokens: int) -> Column:
-        return (F.col(column) + ALPHA) * (BACKOFF / (tokens + ALPHA * total.words))
-
-    known = counts.select("word", (F.col("n") + F.col("cn")).alias("uses"), unigram("n", total.n).alias("pn"), unigram("t", total.t).alias("pt"),
-                          F.log((F.col("ct") + BACKOFF) / (F.col("cn") + BACKOFF)).alias("gap"))
-    # at most 2 / COMMON rows, since the uses of all words add up to twice the tokens
-    common, rare = known.filter(F.col("uses") >= COMMON * total.n), known.filter(F.col("uses") < COMMON * total.n)
-
-    def joined(left: DataFrame, key: str, *columns: str) -> DataFrame:
-        small, large = (k.select(F.col("word").alias(key), *columns) for k in (common, rare))
-        rest = left.join(F.broadcast(small.select(key)), key, "left_anti").join(large, key)
-        return left.join(F.broadcast(small), key).unionByName(rest)
-
-    changes = joined(joined(bigrams, "w", "pn", "pt"), "v", "gap")
-    changes = changes.select(_pair_column(F.col("v"), F.col("w")).alias("pair"), "n",
-                             (F.log((F.col("n") + F.col("pn")) / (F.col("t") + F.col("pt"))) + F.col("gap")).alias("change"))
-    changes = stored(changes, folder, "changes")
-    # at most 1 / FREQUENT rows
-    frequent = changes.filter(F.col("n") >= FREQUENT * total.n).select("pair", "change").toArrow()
-    pair = frequent["pair"].to_numpy().view("u8")
-    order = np.argsort(pair)
-    shared = spark.sparkContext.broadcast((pair[order], frequent["change"].to_numpy()[order]))
-
-    schema = pa.schema([("row_key", pa.int64()), ("pair", pa.int64()), ("n", pa.int64()), ("part", pa.float64())])
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per text with its tokens and what the frequent bigrams add, and a row per other bigram of it, its part null."""
-        known, add = shared.value
-        hasher = WordHasher(alphanumeric())
-        for batch in batches:
-            for word, before, at, key in _slices(batch, hasher):
-                row, pair = np.repeat(np.arange(len(key)), np.diff(at)), _pair(before, word)
-                place = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
-                is_known = known[place] == pair if len(known) else np.zeros(len(pair), bool)
-                part = np.bincount(row[is_known], add[place[is_known]], len(key))
-                pair, row = pair[~is_known], row[~is_known]
-                order = np.lexsort((pair, row))
-                pair, row = pair[order], row[order]
-                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(pair)), bool), (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])]))
-                yield _batch(schema, key[row[first]], pair[first].view("int64"), np.diff(np.append(first, len(pair))), pa.nulls(len(first), pa.float64()))
-                # matches no bigram, and differs between rows of one key
-                yield _batch(schema, key, key ^ np.arange(len(key)), np.diff(at), part)
-
-    keyed = rows.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), "text"))
-    parts = keyed.select("text", "row_key").mapInArrow(scored, "row_key long, pair long, n long, part double")
-    rest = changes.filter(F.col("n") < FREQUENT * total.n).select("pair", "change")
-    parts = parts.join(rest, "pair", "left")
-    whole = parts.select("row_key", F.when(F.col("part").isNull(), 0).otherwise(F.col("n")).alias("n"),
-                         F.coalesce("part", F.col("n") * F.col("change")).alias("part"))
-    return _means(keyed, whole)
+    return (rows.select("doc_id", "text", "block").groupBy("block").cogroup(answers.select("kind", "bucket", "block", "counts").groupBy("block"))
+            .applyInArrow(_scoring(total, to_arrow_schema(schema)), schema))
 
 
 def _with_lengths(rows: DataFrame) -> DataFrame:

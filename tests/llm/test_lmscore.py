@@ -8,61 +8,15 @@ from pyspark.sql import functions as F
 from storelens.llm import lmscore
 
 
-def brute(rows, head_share, alpha):
-    toks = [re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", (t or "").translate({i: i + 32 for i in range(65, 91)})) for _, t, _ in rows]
-    n, tn = Counter(), Counter()
-    for w, (_, _, good) in zip(toks, rows):
-        n.update(w)
-        tn.update(w if good else [])
-    total = sum(n.values())
-    head = {w for w, c in n.items() if c >= head_share * total}
-    cls = lambda w: w if w in head else "\0rest"
-    pair, tpair = Counter(), Counter()
-    for w, (_, _, good) in zip(toks, rows):
-        p = list(zip(["\0begin", *map(cls, w[:-1])], map(cls, w)))
-        pair.update(p)
-        tpair.update(p if good else [])
-    states = len(head) + 2
-    rows_of = lambda c: Counter({v: sum(k for (a, _), k in c.items() if a == v) for v in {a for a, _ in c}})
-    before, tbefore = rows_of(pair), rows_of(tpair)
-    kinds = len(n) - len(head)
-    rest, trest = (sum(c[w] for w in n if w not in head) for c in (n, tn))
-
-    def logp(v, w, pair, before, uni, rest):
-        p = math.log((pair[v, cls(w)] + alpha) / (before[v] + alpha * states))
-        return p if w in head else p + math.log((uni[w] + alpha) / (rest + alpha * kinds))
-
-    out = []
-    for w, (i, _, _) in zip(toks, rows):
-        ctx = ["\0begin", *map(cls, w[:-1])]
-        s = [logp(v, x, pair, before, n, rest) - logp(v, x, tpair, tbefore, tn, trest) for v, x in zip(ctx, w)]
-        out.append((i, len(w), sum(s) / len(s) if s else None))
-    return out
-
-
 def key(x):
     return (x[0] is None, x[0] or 0, x[1], x[2] is None, round(x[2] or 0, 6))
 
 
-@pytest.mark.parametrize("common", [1e-5, 4e-4, lmscore.HEAD])
-def test_equals_brute_force(spark, monkeypatch, common):
-    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).collect()]
-    rows = [(i, t, i % 3 == 0) for i, t in docs] + [(900, None, True), (901, "", False), (None, "the END of the é", None), (902, docs[0][1], True), (902, docs[0][1], True)]
-    monkeypatch.setattr(lmscore, "COMMON", common)
-    df = spark.createDataFrame(rows, "doc_id long, text string, good boolean").repartition(3)
-    got = lmscore.cross_entropy_difference(df, F.col("good")).collect()
-    want = brute(rows, lmscore.HEAD, lmscore.ALPHA)
-    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)):
-        assert a[:2] == b[:2]
-        assert (a[2] is None) == (b[2] is None) and (a[2] is None or abs(a[2] - b[2]) < 1e-4)
-    assert len(got) == len(want)
-
-
 def test_no_target_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    got = lmscore.cross_entropy_difference(df, F.lit(False)).orderBy("doc_id").collect()
+    got = lmscore.word_cross_entropy_difference(df, F.lit(False)).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(1, 2, None), (2, 0, None)]
-    assert lmscore.cross_entropy_difference(df.limit(0), F.lit(True)).count() == 0
+    assert lmscore.word_cross_entropy_difference(df.limit(0), F.lit(True)).count() == 0
 
 
 def word_brute(rows):
@@ -87,13 +41,12 @@ def word_brute(rows):
     return out
 
 
-@pytest.mark.parametrize("common, frequent", [(1e-5, 5e-7), (4e-4, 2e-4), (1e-2, 2.0)])
-def test_word_bigrams_equal_brute_force(spark, monkeypatch, common, frequent):
+@pytest.mark.parametrize("block_bytes", [4 << 20, 20_000, 300])
+def test_word_bigrams_equal_brute_force(spark, monkeypatch, block_bytes):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(12).collect()]
-    rows = [(i, t[:4000], i % 3 == 0) for i, t in docs] + [(900, None, True), (901, "", False), (None, "the END of the é", None), (902, "seldom word", True), (902, "seldom word", True)]
+    rows = [(i, t, i % 3 == 0) for i, t in docs] + [(900, None, True), (901, "", False), (None, "the END of the é", None), (902, "seldom word", True), (902, "seldom word", True)]
     rows += [(903, "word seldom", False)]
-    monkeypatch.setattr(lmscore, "COMMON", common)
-    monkeypatch.setattr(lmscore, "FREQUENT", frequent)
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", block_bytes)
     df = spark.createDataFrame(rows, "doc_id long, text string, good boolean").repartition(3)
     got = sorted(map(tuple, lmscore.word_cross_entropy_difference(df, F.col("good")).collect()), key=key)
     want = sorted(word_brute(rows), key=key)
