@@ -37,9 +37,9 @@ from storelens.llm.wordhash import WordHasher, alphanumeric, buffers, byte_slice
 ALPHA = 0.5
 #: Tokens that the unigram model counts for in every context of the word bigrams.
 BACKOFF = 100.0
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Text that is counted and scored at a time (a longer text makes a longer block).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Blocks whose bigrams, or words, fill one bucket.
 BLOCKS_A_BUCKET = {"bigram": 4, "word": 16}
 #: Pairs of counts, in all and in target texts: a word has one as a token and one as a context, a bigram one.
@@ -60,6 +60,7 @@ class Block:
             hashes.append(word)
             sizes.append(np.diff(at))
         token = np.concatenate(hashes)
+        del hashes
         self.sizes = np.concatenate(sizes)
         self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
         first = np.concatenate([np.ones(1, bool), self.row[1:] != self.row[:-1]])[:len(self.row)]
@@ -183,6 +184,9 @@ def _asking(buckets: dict[str, int]):
                                _cells(keys.astype("<u8").view("u1").reshape(-1, 8)[:, :6], cuts), _cells(high[starts], run_cuts),
                                _cells(np.diff(np.append(starts, len(keys))).astype("<u4"), run_cuts), *_coded(counts[kind], cuts)]
                     yield pa.RecordBatch.from_arrays(columns, schema=_ASKED)
+                # tasks of other stages run in this worker later
+                del rows, block, counts, keys, bucket, high, starts, columns
+                pa.default_memory_pool().release_unused()
 
     return asked
 
