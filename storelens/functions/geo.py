@@ -34,10 +34,10 @@ def _clamp(x: Column) -> Column:
 def great_circle_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
                        radius: float = EARTH_RADIUS_MILES) -> Column:
     """Spherical law of cosines; the cosine is clamped to [-1, 1] so a point
-    against itself gives 0 instead of NaN."""
+    against itself gives 0 instead of NaN.  NULL coordinates give NULL."""
     p1, p2 = rad(lat1), rad(lat2)
     c = F.sin(p1) * F.sin(p2) + F.cos(p1) * F.cos(p2) * F.cos(rad(lon1) - rad(lon2))
-    return F.acos(_clamp(c)) * F.lit(radius)
+    return F.when(c.isNotNull(), F.acos(_clamp(c)) * F.lit(radius))  # LEAST and GREATEST pass over NULLs
 
 
 def ellipsoid_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column,

@@ -97,6 +97,40 @@ def test_pairs_within_equals_brute_force(spark):
         assert got == want and len(want) > 50
 
 
+def _town(seed=5):
+    """90 % of the points in one town, a third of those at one spot, the others round the globe."""
+    rnd = random.Random(seed)
+    pts = [(i, rnd.uniform(-89, 89), rnd.uniform(-180, 180)) for i in range(400)]
+    pts += [(1000 + i, 41.0 + rnd.gauss(0, 0.05), -87.0 + rnd.gauss(0, 0.05)) for i in range(2400)]
+    pts += [(5000 + i, 41.0, -87.0) for i in range(1200)]
+    return pts + [(9000, None, 3.0), (9001, 10.0, None), (9002, 0.0, 180.0), (9003, 90.0, 10.0)]
+
+
+def test_dense_cells_are_split_and_equal_brute_force(spark):
+    p = spark.createDataFrame(_town(), "id long, Latitude double, Longitude double").repartition(4)
+    centres = [(0, 41.0, -87.0), (1, 41.08, -87.02), (2, 40.2, -87.9), (3, 0.0, -179.9), (4, 89.9, 100.0), (5, 41.0, 20.0)]
+    c = spark.createDataFrame(centres, "cid long, Latitude double, Longitude double")
+    cross = p.crossJoin(c.select(*[F.col(x).alias("c_" + x) for x in c.columns]))
+    d = geo.distance_miles("sphere", F.col("Latitude"), F.col("Longitude"), F.col("c_Latitude"), F.col("c_Longitude"))
+    for miles in (3.0, 60.0):
+        want = _rows(cross.where(d < miles), "id", "c_cid")
+        assert len(want) > 1000
+        for dense in (50, 700, 10 ** 6):
+            assert _rows(pairs_within(p, c, miles, dense=dense), "id", "c_cid") == want
+
+
+def test_a_town_makes_even_keys(spark):
+    from storelens.operators.spatial import keyed
+
+    p = spark.createDataFrame(_town(), "id long, Latitude double, Longitude double")
+    c = spark.createDataFrame([(0, 41.0, -87.0), (1, 41.0, 20.0)], "cid long, Latitude double, Longitude double")
+    points, centres = keyed(p, c, 60.0, dense=100)
+    sizes = [r["count"] for r in points.where("Latitude is not null and Longitude is not null").groupBy("_depth", "_node", "_salt").count().collect()]
+    assert sum(sizes) == 4002 and max(sizes) <= 200  # salts deal by hash, so a little above 100
+    # a centre far from the town meets none of its leaves
+    assert centres.where("c_cid = 1 and _depth > 0").count() == 0 < centres.where("c_cid = 0 and _depth > 0").count()
+
+
 def test_sphere_and_ellipsoid_agree_within_one_percent(spark):
     df = spark.createDataFrame([(30.0, -90.0, 31.0, -91.0), (45.0, -120.0, 40.0, -75.0),
                                 (0.0, 0.0, 0.0, 1.0)], "a double, b double, c double, d double")
