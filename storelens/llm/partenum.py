@@ -1,24 +1,22 @@
-"""Jaccard self-join of the documents' word shingles by dyadic signatures with a frequency prefix filter.
-
-These stand in for PartEnum, whose subsets of partitions and bands of set sizes are not built.
-
-**Signatures.** The 64-bit hash domain of shingles is partitioned, and partitions again:
-a node is a dyadic range of the domain; a set whose part in a node has at most BAND
-elements has one signature there, the part itself; a larger part is split into the
-node's two halves, both treated the same way.  Nothing else depends on the size of a set, so sets of
-equal or neighbouring sizes always meet.
-
-**Why no link is lost.** Let d be the symmetric difference of r and s and T = |r| + |s|;
-J >= 0.8 is d <= T / 9.  Over the nodes at which the splitting of r or s ends and no
-signature is shared, the parts (a, b) differ by a share of at least 1 / (2 BAND + 1) of
-a + b (that of BAND against BAND + 1; parts of BAND at most that differ have more).  So those
-nodes hold at most (2 BAND + 1) d, and shared signatures hold at least the share
-KEPT = 0.9 - 0.1 (2 BAND + 1) of r's elements, and of s's: (T - (2 BAND + 1) T / 9) / 2
-with T >= 1.8 |r|.  Hence a set may leave out its most frequent signatures, in an order
-common to all sets, as long as they hold less than KEPT of its elements: the rarest
-shared signature stays in both.  That is what keeps a passage that very many documents
-share from pairing them.  A small BAND drops more but has more signatures.  A part is
-never empty, unlike in fixed partitions, so no signature is shared by default.
+"""Jaccard self-join of the documents' word shingles by PartEnum signatures.
+
+**Bands of sizes.** A set of n shingles belongs to the band [2**b, 2**(b+1)) of n, and signs there.  A partner of
+a similarity of 0.8 may be smaller and lie one band below; a set small enough for that signs in that band too.
+Any two linked sets therefore sign in one band together, and there their symmetric difference d has a bound that
+depends on the band alone.
+
+**Partitions and subsets.** In a band the 64-bit hash domain of shingles is cut into first-level partitions, each of
+them into SECOND parts; a signature is what a set holds in SECOND - MISSED parts of one first-level partition, and
+all such subsets are enumerated.  There are more than d / (MISSED + 1) first-level partitions, so in one of them
+linked sets differ in at most MISSED parts, and share a signature.  Partition and subset are part of the signature.
+
+**What a set may leave out.** d differences spoil at most loss(d) signatures of the pair, since the first part spoiled
+in a partition costs most.  A set with M signatures that hold anything thus shares at least L = M - loss(d) of them with
+each partner.  Of these it leaves out L - 1, by two orders that are common to all sets: first those of
+fewest shingles, before anything moves, then, up to a number given by the band, those that most classes
+share.  Both numbers grow with L, so of the signatures that a pair shares the two sets together leave out at most one
+less than the larger L, and one remains.  A signature that holds nothing is sent only by a set with L <= 0: if
+neither set of a pair has L > 0 both send all, empty ones included, and else the one with L > 0 ensures the link.
 
 **Copies and families.** Documents with equal sets are one class.  Within a signature
 every class is first held against one leader, the class whose signatures are shared
@@ -33,6 +31,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +44,13 @@ from storelens.llm.components import components
 from storelens.llm.wordhash import U64, WordHasher, between_spaces, byte_slices, distinct, grams, mix
 
 WIDTH = 5
-BAND = 2
-#: KEPT in tenths.
-KEPT = 9 - (2 * BAND + 1)
+#: Parts of a first-level partition, and how many of them a signature leaves out.
+SECOND, MISSED = 2, 1
+#: First-level partitions, as a share of the largest difference of a linked pair in the band (one more than
+#: 1 / (MISSED + 1) of it at least).
+PARTITIONS = 0.6
+#: Signatures that a set may leave out for being shared by many, as a share of that difference.
+FREQUENT = 0.2
 CELLS = 64
 #: What the join itself compares: the parities of the counts of 256 cells, in four longs.
 PARITIES = ["p0", "p1", "p2", "p3"]
@@ -82,28 +86,69 @@ def class_ids(key: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(np.diff(at) > 0, out, U64(0)).view("int64")
 
 
-def signatures(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all sets and their rows; the two lowest bits say how many elements one holds."""
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    out, rows = [], []
-    for depth in range(65):
-        if not len(key):
-            break
-        node = key >> U64(64 - depth) if depth else np.zeros(len(key), "u8")
-        new = np.ones(len(key), bool)
-        new[1:] = (node[1:] != node[:-1]) | (row[1:] != row[:-1])
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(key)))
-        small = size <= BAND
-        inside = np.repeat(small, size)
-        if small.any():
-            with np.errstate(over="ignore"):
-                part = mix(key[inside] + U64(depth + 1) * U64(0xD1342543DE82EF95))
-                sums = np.add.reduceat(part, np.cumsum(size[small]) - size[small])
-            out.append((mix(sums) & ~U64(3)) | size[small].astype("u8"))
-            rows.append(row[start[small]])
-        key, row = key[~inside], row[~inside]
-    return (np.concatenate(out), np.concatenate(rows)) if out else (key, row)
+def differences(x, y, percent: int):
+    """The largest symmetric difference of linked sets of x and y elements."""
+    return (x + y) * (100 - percent) // (100 + percent)
+
+
+def layout(band: int, percent: int) -> tuple[int, int, int]:
+    """Largest size in the band, largest difference of a linked pair whose smaller set lies in it, first-level partitions."""
+    largest = (2 << band) - 1
+    most = differences(largest, largest * 100 // percent, percent)
+    return largest, most, max(most // (MISSED + 1) + 1, ceil(most * PARTITIONS))
+
+
+def loss(d, firsts: int):
+    """The most signatures that ``d`` differences spoil: first one part in each partition, then a second one, ..."""
+    levels = range(1, MISSED + 2)
+    return sum(np.clip(d - (t - 1) * firsts, 0, firsts) * comb(SECOND - t, SECOND - MISSED - 1) for t in levels)
+
+
+def _in_band(key: np.ndarray, at: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, ...]:
+    """What :func:`signatures` returns, of sets that all sign in ``band``."""
+    sets, size = len(at) - 1, np.diff(at)
+    largest, most, firsts = layout(band, percent)
+    parts = firsts * SECOND
+    slot = np.repeat(np.arange(sets), size) * parts + ((key >> U64(32)) * U64(parts) >> U64(32)).astype("int64")
+    begins = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))  # keys are in order, so slots are too
+    with np.errstate(over="ignore"):
+        held, sums = np.zeros(sets * parts, "int64"), np.zeros(sets * parts, "u8")
+        held[slot[begins]] = np.diff(np.append(begins, len(slot)))
+        sums[slot[begins]] = np.add.reduceat(mix(key + U64(0xD1342543DE82EF95)), begins)
+        held, sums = held.reshape(sets, firsts, SECOND), sums.reshape(sets, firsts, SECOND)
+        # the enumeration: every subset of SECOND - MISSED parts of every first-level partition
+        chosen = [list(c) for c in combinations(range(SECOND), SECOND - MISSED)]
+        count = np.stack([held[:, :, c].sum(axis=2) for c in chosen], axis=2).reshape(sets, -1)
+        value = np.stack([sums[:, :, c].sum(axis=2, dtype="u8") for c in chosen], axis=2).reshape(sets, -1)
+        place = mix(np.arange(value.shape[1], dtype="u8") * U64(64) + U64(band + 1))
+        value = mix(mix(value) ^ place)
+    partner = np.where(size > largest, largest, size * 100 // percent)
+    shared = (count > 0).sum(axis=1) - loss(differences(size, partner, percent), firsts)
+    frequent = np.clip(shared - 1, 0, min(int(most * FREQUENT), 1 << 24))
+    few = np.maximum(shared - 1, 0) - frequent
+    row, column = np.nonzero((count > 0) | (shared <= 0)[:, None])
+    count, value = count[row, column], value[row, column]
+    order = np.lexsort((value, count, row))
+    row, value = row[order], value[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) >= few[row]
+    return value[keep], row[keep], frequent[row[keep]]
+
+
+def signatures(key: np.ndarray, at: np.ndarray, percent: int = 80) -> tuple[np.ndarray, ...]:
+    """Signatures of all sets (distinct, ascending ``key`` in each), the sets they are of, their bands, and how many of
+    the most frequent signatures of that set and band may still be left out.  Sets too small for a difference have none."""
+    size = np.diff(at)
+    own = np.frexp(size)[1] - 1
+    out = []
+    for band in range(int(own.max(initial=0)) + 1):
+        largest, most, _ = layout(band, percent)
+        here = np.flatnonzero((own == band) | (own == band + 1) & (size * percent <= largest * 100))
+        if most and len(here):
+            some = np.zeros(len(size), bool)
+            some[here] = True
+            value, row, frequent = _in_band(*_kept(key, at, some), band, percent)
+            out.append((value, here[row], np.full(len(row), band), frequent))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (key[:0], *[np.zeros(0, "int64")] * 3)
 
 
 def _per_slice(make, schema: pa.Schema):
@@ -144,13 +189,15 @@ def _kept(key: np.ndarray, at: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray
     return key[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])])
 
 
-def _signed(hasher, texts, batch):
-    key, at = shingle_sets(hasher, texts)
-    ids = class_ids(key, at)
-    keep = _first_of_class(key, at)
-    key, at = _kept(key, at, keep)
-    out, row = signatures(key, at)
-    return out.view("int64"), ids[keep][row], np.diff(at)[row]
+def _signed(percent: int):
+    def signed(hasher, texts, batch):
+        key, at = shingle_sets(hasher, texts)
+        keep = _first_of_class(key, at)
+        ids = class_ids(key, at)[keep]
+        value, row, band, frequent = signatures(*_kept(key, at, keep), percent)
+        return value.view("int64"), ids[row], frequent * 64 + band
+
+    return signed
 
 
 def _exact(hasher, texts, batch):
@@ -176,7 +223,17 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(F.col("d") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, folder: str, name: str, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes, a written table, whose sets are similar.  The sets of a move to b once a pair, those
+    of b, the fewer ones, once."""
+    schema, kind = pa.schema([("class", pa.int64()), ("items", pa.binary())]), "class long, items binary"
+
+    def sets_of(side: str) -> DataFrame:
+        wanted = classes.join(pairs.select(F.col(side).alias("class")).distinct(), "class", "left_semi")
+        keys = stored(wanted.select(F.xxhash64("least.doc_id", "least.text_key").alias("row_key")).distinct(), folder, f"{name}_{side}")
+        texts = rows.withColumn("row_key", F.xxhash64("doc_id", "text_key")).join(broadcast_up_to(keys, BROADCAST_ROWS), "row_key", "left_semi")
+        return texts.select("text").mapInArrow(_per_slice(_exact, schema), kind)
+
     @F.arrow_udf("boolean")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -187,8 +244,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pa.array(out, pa.bool_())
 
-    pairs = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return pairs.filter(similar("sa", "sb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    one = sets_of("a").toDF("a", "sa").join(broadcast_up_to(pairs, BROADCAST_ROWS), "a")
+    two = sets_of("b").dropDuplicates(["class"]).toDF("b", "sb")
+    return one.join(two, "b").filter(similar("sa", "sb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,38 +283,32 @@ def _grouped(docs: DataFrame, percent: int, doc_id: str, text: str) -> tuple[Dat
                               + ", ".join(f"{c} long" for c in PARITIES))
     members = stored(sketched, folder, "members")
     classes = stored(members.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("cells", *PARITIES)],
-                                                                F.min(F.expr(_PLACE)).alias("least"), F.min("text_key").alias("text_key")), folder, "classes")
+                                                                F.min(F.expr(_PLACE)).alias("least")), folder, "classes")
 
-    schema = pa.schema([("signature", pa.int64()), ("class", pa.int64()), ("n", pa.int32())])
-    signed = rows.select("text").mapInArrow(_per_slice(_signed, schema), "signature long, class long, n int")
+    schema = pa.schema([("signature", pa.int64()), ("class", pa.int64()), ("tag", pa.int32())])
+    signed = rows.select("text").mapInArrow(_per_slice(_signed(percent), schema), "signature long, class long, tag int")
     # one exchange; a class comes at most once from a slice of texts, so copies do not pile up on a signature
     signed = signed.repartition("signature").dropDuplicates(["signature", "class"])
     group, own = "over (partition by signature)", "over (partition by class"
     met = signed.selectExpr("*", f"count(1) {group} as often").filter("often > 1")
-    held = f"sum(signature & 3) {own} order by often desc, signature)"
-    met = met.selectExpr("*", f"{held} as held", f"sum(often) {own}) / n as weight").filter(f"held * 10 >= n * {KEPT}").drop("held", "often")
+    # tag: the band in the six lowest bits, above them how many of the set's most frequent signatures there may go
+    nth = f"row_number() {own}, tag & 63 order by often desc, signature)"
+    met = met.selectExpr("*", f"{nth} as nth", f"sum(often / shiftleft(1L, tag & 63)) {own}) as weight").filter("nth > shiftright(tag, 6)")
     # the leader is the class whose shingles the others share most: the original, if they are its edited copies
-    met = stored(met.selectExpr("signature", "class", "n", f"max(struct(weight, class)) {group}.class as leader"), folder, "met")
+    met = stored(met.selectExpr("signature", "class", f"max(struct(weight, class)) {group}.class as leader"), folder, "met")
 
     # every class against the leader of its signatures
     stars = met.filter("class != leader").select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct()
     stars = stored(_possible(stars, classes, percent), folder, "stars")
 
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class"))
-        ids, kind = pa.schema([("class", pa.int64()), ("items", pa.binary())]), "class long, items binary"
-        keys = stored(classes.join(wanted, "class", "left_semi").select("text_key").distinct(), folder, f"{name}_keys")
-        texts = rows.join(broadcast_up_to(keys, BROADCAST_ROWS), "text_key", "left_semi")
-        return stored(texts.select("text").mapInArrow(_per_slice(_exact, ids), kind).dropDuplicates(["class"]), folder, name)
-
-    links = stored(_linked(stars, sets_of(stars, "star_sets"), percent), folder, "links")
+    links = stored(_linked(stars, classes, rows, folder, "star_sets", percent), folder, "links")
     labels = components(links, folder, "star")
 
     # then the pairs of a signature that are still in different components
     small = broadcast_up_to(labels.toDF("class", "label"), BROADCAST_CLASSES)
     apart = met.join(small, "class", "left").withColumn("label", F.coalesce("label", "class"))
     apart = apart.selectExpr("*", f"min(label) {group} as l0", f"max(label) {group} as l1").filter("l0 < l1 and class != leader").drop("l0", "l1", "leader")
-    apart = apart.join(broadcast_up_to(classes.select("class", *PARITIES), BROADCAST_CLASSES), "class")
+    apart = apart.join(broadcast_up_to(classes.select("class", "n", *PARITIES), BROADCAST_CLASSES), "class")
     before = f"collect_list(signature) {own} order by signature rows between {BEFORE} preceding and 1 preceding)"
     apart = stored(apart.selectExpr("*", f"{before} as before"), folder, "apart")
     one, two = apart.alias("one"), apart.alias("two")
@@ -271,7 +323,7 @@ def _grouped(docs: DataFrame, percent: int, doc_id: str, text: str) -> tuple[Dat
     pairs = stored(_possible(pairs, classes, percent), folder, "pairs")
     if pairs.limit(1).count():
         # the links found there join whole components
-        more = _linked(pairs, sets_of(pairs, "pair_sets"), percent)
+        more = _linked(pairs, classes, rows, folder, "pair_sets", percent)
         to = labels.toDF("class", "label")
         for end in ("u", "v"):
             more = more.join(to.toDF(end, "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
