@@ -58,6 +58,8 @@ SLICE_BYTES = 4 << 20
 #: Rows of keys, or of narrow class and label tables, that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_CLASSES = 200_000
+#: Sets that are held against one set in one place; more are spread over salts.
+PARTNERS = 256
 #: Signatures before the one at hand that are looked at so as to find a pair only once.
 BEFORE = 32
 
@@ -225,7 +227,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, folder: str, name: str, percent: int) -> DataFrame:
     """The pairs (a, b) of classes, a written table, whose sets are similar.  The sets of a move to b once a pair, those
-    of b, the fewer ones, once."""
+    of b, the fewer ones, once to every PARTNERS of their pairs."""
     schema, kind = pa.schema([("class", pa.int64()), ("items", pa.binary())]), "class long, items binary"
 
     def sets_of(side: str) -> DataFrame:
@@ -244,9 +246,14 @@ def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, folder: str,
             out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pa.array(out, pa.bool_())
 
-    one = sets_of("a").toDF("a", "sa").join(broadcast_up_to(pairs, BROADCAST_ROWS), "a")
-    two = sets_of("b").dropDuplicates(["class"]).toDF("b", "sb")
-    return one.join(two, "b").filter(similar("sa", "sb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # no leader's partners meet in one task
+    salts = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")), folder, f"{name}_salts")
+    salts = broadcast_up_to(salts, BROADCAST_ROWS)
+    salted = stored(pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt")), folder, f"{name}_salted")
+    one = sets_of("a").toDF("a", "sa").join(broadcast_up_to(salted, BROADCAST_ROWS), "a")
+    two = sets_of("b").dropDuplicates(["class"]).toDF("b", "sb").join(salts, "b")
+    two = two.select("b", "sb", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+    return one.join(two, ["b", "salt"]).filter(similar("sa", "sb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -99,6 +99,19 @@ def test_few_signatures():
     assert 0.25 * len(key) < len(sig) < 0.5 * len(key) and len(set(sig.tolist())) == len(sig)
 
 
+def test_a_leader_of_many_is_salted(spark, monkeypatch):
+    """Edited copies of one text, held against it in groups of a few."""
+    from storelens.llm import partenum
+
+    monkeypatch.setattr(partenum, "PARTNERS", 3)
+    rng = random.Random(11)
+    hub = text(rng, 150)
+    docs = [*enumerate([hub, *[edited(rng, hub, 0.01) for _ in range(40)], *[text(rng, 150) for _ in range(20)]])]
+    got = partenum.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.components(docs))
+    assert {r.component_id for r in got if r.doc_id <= 40} == {0}
+
+
 def test_near_duplicates(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).selectExpr("*", "1 as class", "'x' as n", "2 as signature")
     got = sorted(map(tuple, near_duplicates(df).collect()), key=str)
