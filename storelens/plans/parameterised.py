@@ -1,6 +1,6 @@
 """Parameterised table and scalar functions.
 
-Each function composes plan nodes, so a caller's filters and projections are
+Each function composes plan nodes (those that ``plans.sql_functions`` defines once for both uses are read from there), so a caller's filters and projections are
 optimised together with the function body (the reference's inline functions
 behave the same way).
 """
@@ -13,32 +13,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.operators.distinct import count_distinct
-from storelens.functions.semantics import as_long, day_diff, in_years, int_avg, safe_ratio
-from storelens.operators.ranking import asc, desc, top_n
+from storelens.functions.semantics import as_long, in_years, safe_ratio
+from storelens.operators.ranking import asc, top_n
 from storelens.operators.spatial import within_of_point
+from storelens.plans.sql_functions import table
 from storelens.sources.tables import Tables
 
 
-def _order_delays(t: Tables) -> DataFrame:
-    last_ship = t.order_lines.groupBy("OrderId").agg(F.max("ShipDate").alias("max_date"))
-    o = t.orders.select("OrderId", "OrderDate")
-    return last_ship.join(o, "OrderId").select(
-        F.col("OrderId").alias("order_id"), F.col("OrderDate").alias("order_date"), "max_date",
-        as_long(day_diff("OrderDate", "max_date")).alias("delay"))
-
-
 def orders_with_delay(t: Tables, days: int = 10) -> DataFrame:
-    return _order_delays(t).where(F.col("delay") >= days).orderBy(F.desc("delay"), "order_id")
+    return table(t, "orders_with_delay", days=days).orderBy(F.desc("delay"), "order_id")
 
 
 def count_orders_with_delay(t: Tables, days: int = 10) -> DataFrame:
-    return _order_delays(t).where(F.col("delay") >= days).agg(F.count(F.lit(1)).alias("number_of_orders"))
+    return table(t, "count_orders_with_delay", days=days)
 
 
 def top_products(t: Tables, n: int = 10) -> DataFrame:
-    units = t.order_lines.groupBy(F.col("ProductId").alias("product_id")).agg(
-        as_long(F.sum("NumUnits")).alias("total_units"))
-    return top_n(units, n, [desc("total_units"), asc("product_id")])
+    return table(t, "top_products", n=n).orderBy(F.desc("total_units"), "product_id")
 
 
 def areas_other_language(t: Tables, limit: float = 0.66) -> DataFrame:
@@ -58,26 +49,15 @@ def areas_closest_in_size(t: Tables, area: float = 0.0, n: int = 10) -> DataFram
 
 
 def customers_by_purchase(t: Tables, lo: float = 19.63, hi: float = 39.95) -> DataFrame:
-    money = "decimal(19,4)"
-    o = t.orders.where(F.col("TotalPrice").between(F.lit(lo).cast(money), F.lit(hi).cast(money))
-                       & (F.col("CustomerId") != 0))
-    return (o.select(F.col("CustomerId").alias("customer_id"), F.col("OrderId").alias("order_id"),
-                     F.col("TotalPrice").alias("total_price"), F.col("OrderDate").alias("order_date"))
-            .orderBy("customer_id", "order_date", "order_id"))
+    return table(t, "customers_by_purchase", lo=lo, hi=hi).orderBy("customer_id", "order_date", "order_id")
 
 
 def areas_named_like(t: Tables, text: str = "South") -> DataFrame:
-    z = t.zip_census.where(F.like(F.upper(F.col("County")), F.upper(F.lit(f"%{text}%"))))
-    return (z.select("state", "zcta5", F.col("ZIPName").alias("zip_name"), F.col("County").alias("county"),
-                     F.col("Stab").alias("stab"), F.col("TotPop").alias("tot_pop"))
-            .orderBy("county", "zcta5"))
+    return table(t, "areas_named_like", txt=text).orderBy("county", "zcta5")
 
 
 def active_subscribers(t: Tables, cutoff: dt.date = dt.date(2015, 10, 12)) -> DataFrame:
-    c = F.lit(cutoff)
-    stop, start = F.col("StopDate"), F.col("StartDate")
-    s = t.subscribers.where((stop.isNull() & (start <= c)) | (stop.isNotNull() & (stop >= c) & (start <= c)))
-    return s.orderBy("StartDate", "SubscriberId")
+    return table(t, "active_subscribers", cutoff=cutoff).orderBy("StartDate", "SubscriberId")
 
 
 def areas_around_point(t: Tables, lat: float = 39.8, lon: float = -98.6, radius: float = 10.0) -> DataFrame:
@@ -92,12 +72,7 @@ def areas_around_point(t: Tables, lat: float = 39.8, lon: float = -98.6, radius:
 
 
 def state_info(t: Tables, state: str = "NY") -> DataFrame:
-    z = t.zip_census.where(F.col("Stab") == state)
-    pop = F.col("TotPop")
-    return z.agg(as_long(F.sum(pop)).alias("total_pop"), int_avg(pop).alias("avg_pop"),
-                 F.min(pop).alias("min_pop"), F.max(pop).alias("max_pop"), F.count("zcta5").alias("n_areas"),
-                 F.round(F.var_pop(pop), 2).alias("var_pop"),
-                 F.round(F.stddev_pop(pop), 2).alias("stddev_pop"))
+    return table(t, "state_info", stab_p=state)
 
 
 def customers_per_month(t: Tables, year: int = 2013) -> DataFrame:

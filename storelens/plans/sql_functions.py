@@ -9,39 +9,93 @@ calls run unchanged in ``spark.sql``:
     SELECT * FROM areas_closest_in_size(34.02, 10) ORDER BY area_sqmi;
 
 Each body is one SELECT that Spark inlines into the calling query, like the
-reference's inline table functions.  Results equal the DataFrame functions
-in ``plans.parameterised`` (tests/test_sql_functions.py).
+reference's inline table functions.  The bodies in ``SHARED`` are the only definition of their
+functions: ``plans.parameterised`` reads them through ``table``.  The others equal the DataFrame functions
+(tests/test_sql_functions.py), which differ in form: bitmap counts, spatial bounds, one pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+from dataclasses import dataclass
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
 
 from storelens.functions.geo_sql import dbl, ellipsoid
-from storelens.sources.tables import Tables, register_views
+from storelens.sources.tables import REFERENCE_NAMES, Tables, register_views
+
+
+@dataclass(frozen=True)
+class Function:
+    """A SQL function: declared parameters and result, and its SELECT, in which {Name} is a
+    relation and :name a parameter."""
+
+    parameters: str
+    returns: str
+    body: str
+
+    def declaration(self, prefix: str) -> str:
+        relations = {name: prefix + name for name in REFERENCE_NAMES.values()}
+        return f"({self.parameters}) RETURNS {self.returns} RETURN {re.sub(r':([a-z_]+)', r'\1', self.body).format(**relations)}"
+
+
+_DELAYS = """(SELECT a.OrderId AS order_id, o.OrderDate AS order_date, a.max_date,
+         CAST(datediff(a.max_date, o.OrderDate) AS BIGINT) AS delay
+  FROM (SELECT OrderId, max(ShipDate) AS max_date FROM {OrderLines} GROUP BY OrderId) a
+  JOIN {Orders} o ON o.OrderId = a.OrderId)
+  WHERE delay >= :days"""
+
+SHARED = {
+    "orders_with_delay": Function(
+        "days INT", "TABLE (order_id BIGINT, order_date DATE, max_date DATE, delay BIGINT)",
+        f"SELECT order_id, order_date, max_date, delay FROM {_DELAYS}"),
+    "count_orders_with_delay": Function(
+        "days INT", "BIGINT", f"SELECT count(*) AS number_of_orders FROM {_DELAYS}"),
+    # Spark turns the bound on the number into a partial top-n, so the window numbers n rows
+    "top_products": Function(
+        "n INT", "TABLE (product_id BIGINT, total_units BIGINT)",
+        """SELECT product_id, total_units FROM
+  (SELECT ProductId AS product_id, CAST(sum(NumUnits) AS BIGINT) AS total_units,
+          row_number() OVER (ORDER BY sum(NumUnits) DESC, ProductId) AS top_rank
+   FROM {OrderLines} GROUP BY ProductId)
+  WHERE top_rank <= :n"""),
+    "customers_by_purchase": Function(
+        "lo DECIMAL(19,4), hi DECIMAL(19,4)",
+        "TABLE (customer_id BIGINT, order_id BIGINT, total_price DECIMAL(12,2), order_date DATE)",
+        """SELECT CustomerId AS customer_id, OrderId AS order_id, TotalPrice AS total_price, OrderDate AS order_date
+  FROM {Orders}
+  WHERE TotalPrice BETWEEN CAST(:lo AS DECIMAL(19,4)) AND CAST(:hi AS DECIMAL(19,4)) AND CustomerId != 0"""),
+    "areas_named_like": Function(
+        "txt STRING", "TABLE (state STRING, zcta5 STRING, zip_name STRING, county STRING, stab STRING, tot_pop BIGINT)",
+        """SELECT state, zcta5, ZIPName AS zip_name, County AS county, Stab AS stab, TotPop AS tot_pop FROM {ZipCensus}
+  WHERE upper(County) LIKE upper(concat('%', :txt, '%'))"""),
+    "active_subscribers": Function(
+        "cutoff DATE",
+        "TABLE (SubscriberId BIGINT, RatePlan STRING, MonthlyFee DECIMAL(12,2), StartDate DATE, StopDate DATE)",
+        """SELECT SubscriberId, RatePlan, MonthlyFee, StartDate, StopDate FROM {Subscribers}
+  WHERE StartDate <= :cutoff AND (StopDate IS NULL OR StopDate >= :cutoff)"""),
+    "state_info": Function(
+        "stab_p STRING",  # another name than the column's, which would win
+        """TABLE (total_pop BIGINT, avg_pop BIGINT, min_pop BIGINT, max_pop BIGINT, n_areas BIGINT,
+               var_pop DOUBLE, stddev_pop DOUBLE)""",
+        """SELECT CAST(sum(TotPop) AS BIGINT) AS total_pop, CAST(sum(TotPop) div count(TotPop) AS BIGINT) AS avg_pop,
+    min(TotPop) AS min_pop, max(TotPop) AS max_pop, count(zcta5) AS n_areas,
+    round(var_pop(TotPop), 2) AS var_pop, round(stddev_pop(TotPop), 2) AS stddev_pop
+  FROM {ZipCensus} WHERE Stab = :stab_p"""),
+}
+
+
+def table(t: Tables, name: str, **args: Any) -> DataFrame:
+    """The rows of a function of ``SHARED`` over ``t``, without registering anything."""
+    body = SHARED[name].body
+    used = {n: getattr(t, attr) for attr, n in REFERENCE_NAMES.items() if f"{{{n}}}" in body}
+    return t.spark.sql(body, args=args, **used)
 
 
 def _definitions(p: str) -> dict[str, str]:
     dist = ellipsoid("z.Latitude", "z.Longitude", "lat", "lon")
     return {
-        "orders_with_delay": f"""(days INT)
-RETURNS TABLE (order_id BIGINT, order_date DATE, max_date DATE, delay BIGINT)
-RETURN SELECT a.OrderId, o.OrderDate, a.max_date, CAST(datediff(a.max_date, o.OrderDate) AS BIGINT)
-  FROM (SELECT OrderId, max(ShipDate) AS max_date FROM {p}OrderLines GROUP BY OrderId) a
-  JOIN {p}Orders o ON o.OrderId = a.OrderId
-  WHERE datediff(a.max_date, o.OrderDate) >= days""",
-        "count_orders_with_delay": f"""(days INT)
-RETURNS BIGINT
-RETURN SELECT count(*) FROM
-  (SELECT a.OrderId FROM (SELECT OrderId, max(ShipDate) AS max_date FROM {p}OrderLines GROUP BY OrderId) a
-   JOIN {p}Orders o ON o.OrderId = a.OrderId WHERE datediff(a.max_date, o.OrderDate) >= days)""",
-        "top_products": f"""(n INT)
-RETURNS TABLE (product_id BIGINT, total_units BIGINT)
-RETURN SELECT ProductId, total_units FROM
-  (SELECT ProductId, CAST(sum(NumUnits) AS BIGINT) AS total_units,
-          row_number() OVER (ORDER BY sum(NumUnits) DESC, ProductId) AS top_rank
-   FROM {p}OrderLines GROUP BY ProductId)
-  WHERE top_rank <= n""",
         "areas_other_language": f"""(lim DOUBLE)
 RETURNS TABLE (stab STRING, county STRING, tot_pop BIGINT, over5 BIGINT, non_en_sp DOUBLE)
 RETURN SELECT Stab, County, TotPop, Over5, CAST(OthLang - Spanish AS DOUBLE) / Over5
@@ -52,19 +106,6 @@ RETURN SELECT Stab, County, AreaSQMI FROM
   (SELECT Stab, County, AreaSQMI, row_number() OVER (ORDER BY abs(AreaSQMI - area), zcta5) AS seq
    FROM {p}ZipCensus)
   WHERE seq <= n""",
-        "customers_by_purchase": f"""(lo DECIMAL(19,4), hi DECIMAL(19,4))
-RETURNS TABLE (customer_id BIGINT, order_id BIGINT, total_price DECIMAL(12,2), order_date DATE)
-RETURN SELECT CustomerId, OrderId, TotalPrice, OrderDate FROM {p}Orders
-  WHERE TotalPrice BETWEEN lo AND hi AND CustomerId != 0""",
-        "areas_named_like": f"""(txt STRING)
-RETURNS TABLE (state STRING, zcta5 STRING, zip_name STRING, county STRING, stab STRING, tot_pop BIGINT)
-RETURN SELECT state, zcta5, ZIPName, County, Stab, TotPop FROM {p}ZipCensus
-  WHERE upper(County) LIKE upper(concat('%', txt, '%'))""",
-        "active_subscribers": f"""(cutoff DATE)
-RETURNS TABLE (SubscriberId BIGINT, RatePlan STRING, MonthlyFee DECIMAL(12,2), StartDate DATE, StopDate DATE)
-RETURN SELECT SubscriberId, RatePlan, MonthlyFee, StartDate, StopDate FROM {p}Subscribers
-  WHERE (StopDate IS NULL AND StartDate <= cutoff)
-     OR (StopDate IS NOT NULL AND StopDate >= cutoff AND StartDate <= cutoff)""",
         "areas_around_point": f"""(lat DOUBLE, lon DOUBLE, radius INT)
 RETURNS TABLE (stab STRING, zcta5 STRING, zip_name STRING, county STRING, longitude DOUBLE, latitude DOUBLE,
                distance DECIMAL(18,0))
@@ -73,12 +114,6 @@ RETURN SELECT Stab, zcta5, ZIPName, County, Longitude, Latitude,
   FROM (SELECT z.*, {dist} AS distance FROM {p}ZipCensus z
         WHERE z.Latitude BETWEEN lat - radius / {dbl(68.0)} AND lat + radius / {dbl(68.0)})
   WHERE distance < radius""",
-        "state_info": f"""(stab_p STRING)
-RETURNS TABLE (total_pop BIGINT, avg_pop BIGINT, min_pop BIGINT, max_pop BIGINT, n_areas BIGINT,
-               var_pop DOUBLE, stddev_pop DOUBLE)
-RETURN SELECT CAST(sum(TotPop) AS BIGINT), CAST(sum(TotPop) div count(TotPop) AS BIGINT), min(TotPop),
-    max(TotPop), count(zcta5), round(var_pop(TotPop), 2), round(stddev_pop(TotPop), 2)
-  FROM {p}ZipCensus WHERE Stab = stab_p""",
         "customers_per_month": f"""(focus_year INT)
 RETURNS TABLE (month_order BIGINT, number_of_customers BIGINT)
 RETURN SELECT CAST(month(OrderDate) AS BIGINT), count(DISTINCT CustomerId) FROM {p}Orders
@@ -124,7 +159,8 @@ def register_functions(t: Tables, prefix: str = "") -> list[str]:
     spark: SparkSession = t.spark
     register_views(t, prefix)
     names = []
-    for name, body in _definitions(prefix).items():
+    shared = {name: f.declaration(prefix) for name, f in SHARED.items()}
+    for name, body in {**shared, **_definitions(prefix)}.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}{body}")
         names.append(prefix + name)
     return names

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from storelens.plans import parameterised as s6
-from storelens.plans.sql_functions import register_functions
+from storelens.plans.sql_functions import SHARED, register_functions, table
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +72,27 @@ def test_cutoff_functions(spark, tables, fns, name):
     want = getattr(classify, name)(tables, dt.date(2000, 1, 1))
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_shared_functions_leave_no_views_and_keep_columns(spark, tables, fns):
+    before = {v.name for v in spark.catalog.listTables()}
+    args = {"orders_with_delay": [10], "top_products": [3], "customers_by_purchase": [1, 2], "areas_named_like": ["x"],
+            "active_subscribers": [__import__("datetime").date(2000, 1, 1)], "state_info": ["S01"]}
+    for name, values in args.items():
+        names = [p.split()[0] for p in SHARED[name].parameters.split(", ")]
+        lib = table(tables, name, **dict(zip(names, values)))
+        literals = ", ".join(f"'{v}'" if isinstance(v, str) else f"DATE'{v}'" if hasattr(v, "year") else str(v) for v in values)
+        sql = spark.sql(f"SELECT * FROM fx_{name}({literals})")
+        assert sql.dtypes == lib.dtypes, name
+    assert {v.name for v in spark.catalog.listTables()} == before
+
+
+def test_quotes_in_a_parameter_stay_text(tables):
+    assert s6.areas_named_like(tables, "x') OR ('1' = '1").count() == 0
+
+
+@pytest.mark.parametrize("call", ["top_products(10)", "areas_closest_in_size(34.02, 10)"])
+def test_numbered_rows_are_limited_before_they_meet(spark, fns, call):
+    plan = spark.sql(f"SELECT * FROM fx_{call}")._jdf.queryExecution().executedPlan().toString()
+    window = plan.index("Window [row_number()")
+    assert "TakeOrderedAndProject(limit=10" in plan[window:]
